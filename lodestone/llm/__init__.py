@@ -1,0 +1,10 @@
+"""Operators for training-data pipelines. Nothing outside this package imports it.
+
+Functions that run in Python workers travel by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
