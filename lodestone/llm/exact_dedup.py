@@ -125,6 +125,8 @@ def exact_dedup(docs: DataFrame, capacity: int = BUCKET_CAPACITY, key_bits: int
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, all columns, once each."""
+    """The rows of docs that stay, all columns, once each (of rows that repeat a doc_id, any one)."""
     stays = exact_dedup(docs).filter("kept").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(stays, "doc_id", "left_semi").select(docs.columns)
+    if not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        docs = docs.dropDuplicates(["doc_id"])
+    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi")
