@@ -32,7 +32,7 @@ STEPS = 4
 #: A group of fewer rows is judged by its language's estimate; a language of fewer by none.
 MIN_GROUP = 200
 #: Standard deviations below which a statistic's spread isn't taken to shrink.
-FLOOR_SD = (0.9, 0.08, 0.25, 0.15, 0.15, 0.15, 0.2)
+FLOOR_SD = (0.9, 0.08, 0.25, 0.4, 0.4, 0.15, 0.2)
 #: Squared distance; far beyond the 0.9999 quantile of chi-square with 7 degrees (29.9), since lengths have long tails.
 CUTOFF = 80.0
 STATS = len(FLOOR_SD)
