@@ -68,7 +68,7 @@ def build_index(docs: DataFrame, capacity: int = BUCKET_CAPACITY, key_bits: int
     deepest = min(key_bits, max(0, math.ceil(math.log2(max(1, entries.rows() / capacity)))) + EXTRA_DEPTH)
     directory = _directory(entries.df, capacity, deepest)
     depth = directory.df.agg(F.max("depth")).first()[0] or 0
-    span = F.shiftleft(F.lit(1).cast("long"), F.lit(depth) - F.col("depth")) if depth else F.lit(1)
+    span = F.expr(f"shiftleft(1L, {depth} - depth)")
     slots = directory.df.select("depth", F.explode(F.sequence(F.col("prefix") * span, (F.col("prefix") + 1) * span - 1)).alias("slot"))
     in_chain = W.partitionBy("slot", "key")
     buckets = Staged(
@@ -126,7 +126,7 @@ def exact_dedup(docs: DataFrame, capacity: int = BUCKET_CAPACITY, key_bits: int
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, all columns, once each (of rows that repeat a doc_id, any one)."""
-    stays = exact_dedup(docs).filter("kept").select("doc_id").distinct()
+    stays = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__stays")).distinct()
     if not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
         docs = docs.dropDuplicates(["doc_id"])
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi")
+    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__stays")), "left_semi")

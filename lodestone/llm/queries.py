@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import exact_dedup, mixing, quality_rules
+from lodestone.llm import chat, exact_dedup, lm_scoring, mixing, packing, quality_rules, simhash, substring_dedup, toxicity, warc
 from lodestone.session import table
 
 
@@ -24,6 +25,69 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what `labels` says is of good quality."""
+    targets = table(spark, sf_dir, "labels").filter("quality = 1")
+    return lm_scoring.score(table(spark, sf_dir, "documents"), targets)
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's second capture, resolved; the payload as its length and digest, headers in one line."""
+    found = warc.resolve(warc.captures(table(spark, sf_dir, "pages")))
+    page = lambda c: F.substring(c, 2, 19).cast("long")
+    line = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return found.select(
+        page("record_id").alias("page_id"), "canonical_url", page("refers_to").alias("refers_to"), "status", line.alias("headers"),
+        F.length("payload").cast("long").alias("payload_chars"), F.md5("payload").alias("payload_md5"),
+    )
+
+
+OP8_SQL = r"""
+WITH bare AS (
+  SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS b, coalesce(html, '') AS page FROM pages),
+parts AS (
+  SELECT *, regexp_extract(b, '^[^?]*', 0) AS address, regexp_extract(b, '\?(.*)$', 1) AS query FROM bare),
+named AS (
+  SELECT page_id, page, md5(page) AS etag,
+         regexp_replace(lower(regexp_extract(address, '^[^/]*', 0)), '^www\.|:(80|443)$', '', 'g')
+         || regexp_replace(regexp_extract(address, '/.*$', 0), '/+$', '') AS place,
+         list_sort(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid|session)(=|$)'))) AS kept
+  FROM parts),
+urls AS (SELECT *, place || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical_url FROM named),
+found AS (
+  SELECT r.*, (SELECT max(f.page_id) FROM urls f WHERE f.canonical_url = r.canonical_url AND 2 * f.page_id < 2 * (r.page_id + 1000) + 1) AS stored
+  FROM urls r),
+judged AS (SELECT f.*, s.page AS stored_page, s.etag = f.etag AS same FROM found f LEFT JOIN urls s ON s.page_id = f.stored)
+SELECT page_id, canonical_url, CASE WHEN same THEN stored END AS refers_to,
+       CASE WHEN stored IS NULL THEN 'missing' WHEN same THEN 'resolved' ELSE 'changed' END AS status,
+       CASE WHEN same THEN 'content-length=' || CAST(octet_length(encode(stored_page)) AS VARCHAR) || ';content-type=text/html;date='
+            || CAST(2 * (page_id + 1000) + 1 AS VARCHAR) || ';etag=' || etag END AS headers,
+       CASE WHEN same THEN length(stored_page) END AS payload_chars, CASE WHEN same THEN md5(stored_page) END AS payload_md5
+FROM judged
+"""
+
+
+def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = chat.link_tool_calls(chat.conversations(table(spark, sf_dir, "conversations")), chat.SCHEMAS)
+    return linked.withColumn("violations", F.array_join("violations", ","))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies", "position")
 
@@ -56,5 +120,16 @@ SELECT doc_id, size, source_size, target,
 FROM lined
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_quality_rules": op2_quality_rules, "op10_mixing": op10_mixing}
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op10_mixing": OP10_SQL}
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_lm_scoring": op3_lm_scoring,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_toxicity": op6_toxicity,
+    "op7_simhash": op7_simhash,
+    "op8_warc_revisits": op8_warc_revisits,
+    "op9_tool_calls": op9_tool_calls,
+    "op10_mixing": op10_mixing,
+}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op8_warc_revisits": OP8_SQL, "op10_mixing": OP10_SQL}
