@@ -148,7 +148,7 @@ def _moments(rows: DataFrame) -> DataFrame:
 def _start(rows: DataFrame) -> DataFrame:
     """Medians as the centre, scaled median deviations as a diagonal scatter."""
     values = rows.select("g", F.posexplode("x").alias("k", "v"))
-    centre = _ranked(values, ["g", "k"], "v", 1 / 64, 0.5, "m")
+    centre = Staged(_ranked(values, ["g", "k"], "v", 1 / 64, 0.5, "m")).for_join(100)
     apart = values.join(centre, ["g", "k"]).select("g", "k", F.abs(F.col("v") - F.col("m")).alias("d"))
     scatter = _ranked(apart, ["g", "k"], "d", 1 / 64, 0.5, "mad").join(centre, ["g", "k"])
     floor = F.element_at(F.array(*[F.lit(v) for v in FLOOR_SD]), F.col("k") + 1)
