@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -86,26 +87,29 @@ def _segment(seg: int, ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
 
 
 class _Block:
-    """Some consecutive documents of a segment: their words and the windows of LENGTH words."""
+    """Some consecutive documents of a segment: their words, and where windows of LENGTH words lie within one document."""
 
     def __init__(self, ids: np.ndarray, texts: list[bytes]):
-        self.data, self.starts, self.ends, first = boundaries(texts)
-        self.first = first
-        words = word_hashes(self.data, self.starts, self.ends)
-        per_text = np.diff(first)
-        owner = np.repeat(np.arange(len(texts)), per_text)
-        whole = windows(words, LENGTH)
-        n = len(whole)
-        inside = np.arange(n) + LENGTH <= first[owner[:n] + 1]
-        self.at = np.flatnonzero(inside)
-        self.hash = whole[self.at]
+        self.data, self.starts, self.ends, self.first = boundaries(texts)
+        self.words = word_hashes(self.data, self.starts, self.ends)
+        owner = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        self.n = max(0, len(self.words) - LENGTH + 1)
+        self.at = np.flatnonzero(np.arange(self.n) + LENGTH <= self.first[owner[: self.n] + 1])
         self.row = owner[self.at]
         self.doc = ids[self.row]
-        short = windows(words, ANCHOR)
-        least = short[:n].copy()
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return windows(self.words, LENGTH)[self.at]
+
+    @cached_property
+    def anchor(self) -> np.ndarray:
+        """Least hash of the ANCHOR-word windows in each window."""
+        short = windows(self.words, ANCHOR)
+        least = short[: self.n].copy()
         for k in range(1, LENGTH - ANCHOR + 1):
-            np.minimum(least, short[k : k + n], out=least)
-        self.anchor = least[self.at]
+            np.minimum(least, short[k : k + self.n], out=least)
+        return least[self.at]
 
 
 def _read_segment(row: dict) -> Iterator[tuple[int, list[bytes], _Block]]:
@@ -118,17 +122,6 @@ def _read_segment(row: dict) -> Iterator[tuple[int, list[bytes], _Block]]:
         yield a, texts[a:b], _Block(ids[a:b], texts[a:b])
 
 
-def _own(values: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values, the least doc_id with each, and whether several doc_ids have it."""
-    order = np.argsort(values, kind="stable")
-    v, d = values[order], docs[order]
-    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
-    if not len(first):
-        return v, d, np.zeros(0, bool)
-    low, high = np.minimum.reduceat(d, first), np.maximum.reduceat(d, first)
-    return v[first], low, low != high
-
-
 def _pieces(seg: int, values: np.ndarray, ranges: int) -> pa.RecordBatch:
     """The set of a segment's hashes, a row for each hash range."""
     return _record(_PIECE, [(seg, "set", k, None, None, pack(values[a:b])) for k, a, b in split_ranges(values, ranges)])
@@ -165,17 +158,30 @@ def _known(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([v for v, _ in parts]), np.concatenate([np.unpackbits(unpack_plain(s, np.uint8))[: len(v)].astype(bool) for v, s in parts])
 
 
-def _judge(values: np.ndarray, docs: np.ndarray, own, known) -> tuple[np.ndarray, np.ndarray]:
-    """Of windows: whether another document starts with them too, and whether one of a smaller doc_id does."""
-    distinct, low, several = own
-    at = np.searchsorted(distinct, values)
-    shared, earlier = several[at].copy(), low[at] < docs
-    others, before = known
+def _judge(values: np.ndarray, docs: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows: whether another document starts with them too, and whether one of a smaller doc_id does.
+
+    docs are the windows' own doc_ids, known what other segments have.
+    """
+    shared, earlier = np.zeros(len(values), bool), np.zeros(len(values), bool)
+    if not len(values):
+        return shared, earlier
+    order = np.argsort(values)
+    v, d = values[order], docs[order]
+    new = np.concatenate([[True], v[1:] != v[:-1]])
+    first = np.flatnonzero(new)
+    low, high = np.minimum.reduceat(d, first), np.maximum.reduceat(d, first)
+    several, before = low != high, np.zeros(len(first), bool)
+    others, smaller = known
     if len(others):
-        place = np.minimum(np.searchsorted(others, values), len(others) - 1)
-        hit = others[place] == values
-        shared |= hit
-        earlier |= hit & before[place]
+        distinct = v[first]
+        place = np.minimum(np.searchsorted(distinct, others), len(distinct) - 1)
+        hit = distinct[place] == others
+        several[place[hit]] = True
+        before[place[hit & smaller]] = True
+    group = np.cumsum(new) - 1
+    shared[order] = several[group]
+    earlier[order] = before[group] | (low[group] < d)
     return shared, earlier
 
 
@@ -247,7 +253,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         known = _known(answers)
         read = list(_read_segment(own_rows[0]))
         anchor, doc = (np.concatenate([getattr(b, c) for _, _, b in read]) for c in ("anchor", "doc"))
-        shared, _ = _judge(anchor, doc, _own(anchor, doc), known)
+        shared, _ = _judge(anchor, doc, known)
         hashes = np.concatenate([b.hash for _, _, b in read])
         return pa.Table.from_batches([_pieces(own_rows[0]["seg"], np.unique(hashes[shared]), ranges)])
 
@@ -258,7 +264,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         seg, known = own_rows[0]["seg"], _known(answers)
         read = list(_read_segment(own_rows[0]))
         hashes, docs_ = (np.concatenate([getattr(b, c) for _, _, b in read]) for c in ("hash", "doc"))
-        shared, earlier = _judge(hashes, docs_, _own(hashes, docs_), known)
+        shared, earlier = _judge(hashes, docs_, known)
         out, rows, ats, seen = [], [], [], 0
         ids = unpack_plain(own_rows[0]["ids"], np.int64)
         for first, texts, block in read:
@@ -283,7 +289,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             ids, value = unpack_plain(state["ids"], np.int64), unpack_plain(state["body"], np.uint64)
             row, at = unpack_plain(state["sizes"], np.uint32).astype(np.int64).reshape(2, -1)
             doc = ids[row]
-            shared, earlier = _judge(value, doc, _own(value, doc), known)
+            shared, earlier = _judge(value, doc, known)
             long_ = np.unique(doc[earlier])
             n = len(long_)
             found = pa.table({"seg": pa.array([state["seg"]] * n, pa.int64()), "kind": pa.array(["length"] * n, pa.string()), "range": pa.nulls(n, pa.int32()), "ids": pa.nulls(n, _B), "sizes": pa.nulls(n, _B), "body": pa.nulls(n, _B), "doc_id": pa.array([None if d == LAST else d for d in long_.tolist()], pa.int64()), "n_words": pa.nulls(n, pa.int64()), "n_removed": pa.nulls(n, pa.int64()), "kept_sha256": pa.nulls(n, pa.string()), "spans": pa.nulls(n, _NO_RESULT[4][1]), "length": pa.array([length] * n, pa.int64())})

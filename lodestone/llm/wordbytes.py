@@ -53,13 +53,19 @@ def finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's powers from 0 on, and their inverses modulo 2^64."""
+    both = []
+    for factor in (_BASE, _INVERSE):
+        line = np.full(n, factor, np.uint64)
+        line[:1] = 1
+        both.append(np.cumprod(line))
+    return both[0], both[1]
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of every word: differences of a running polynomial over the bytes, brought back to position 0."""
-    n = len(data)
-    powers = np.full(n, _BASE, np.uint64)
-    inverses = np.full(n, _INVERSE, np.uint64)
-    powers[:1] = inverses[:1] = 1
-    powers, inverses = np.cumprod(powers), np.cumprod(inverses)
+    powers, inverses = _powers(len(data))
     running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUES[data] * powers)])
     own = (running[ends] - running[starts]) * inverses[starts]
     return finish(own + (ends - starts).astype(np.uint64))
@@ -71,12 +77,14 @@ def combine(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def windows(words: np.ndarray, length: int) -> np.ndarray:
-    """Hash of every window of so many consecutive words (across texts too; the caller knows which are within one)."""
+    """Hash of every window of so many consecutive words (across texts too; the caller knows which are within one).
+
+    Differences of a running polynomial over the words, brought back to position 0.
+    """
     n = max(0, len(words) - length + 1)
-    h = np.zeros(n, np.uint64)
-    for k in range(length):
-        h = combine(h, words[k : k + n])
-    return h
+    powers, inverses = _powers(len(words))
+    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers)])
+    return finish((running[length : length + n] - running[:n]) * inverses[:n])
 
 
 def pack(values: np.ndarray) -> bytes:
