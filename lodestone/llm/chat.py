@@ -45,34 +45,59 @@ def violations(name: Column, arguments: Column, schemas: Schemas) -> Column:
     return cases.otherwise(F.array(F.lit("unknown tool")))
 
 
+def _chains(calls: DataFrame, edges: DataFrame) -> Staged:
+    """(conv_id, call_id, at, steps): the first call without, or with several, dependencies that a call leads to, and how far.
+
+    Calls of one dependency point to it; every round each points to where its target points, so
+    a chain of n calls takes log2(n) rounds. `at` is null on or behind a cycle of such calls.
+    """
+    one = edges.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.min("needs").alias("needs"))
+    joined = calls.select("conv_id", "call_id").join(one, ["conv_id", "call_id"], "left")
+    live = F.coalesce(F.col("n") == 1, F.lit(False))
+    state = Staged(joined.select("conv_id", "call_id", F.when(live, F.col("needs")).otherwise(F.col("call_id")).alias("at"), live.cast("long").alias("steps"), live.alias("live")))
+    for _ in range(state.rows().bit_length() + 1):
+        if state.df.filter("live").isEmpty():
+            break
+        target = state.df.select(F.col("conv_id").alias("c"), F.col("call_id").alias("k"), F.col("at").alias("then"), F.col("steps").alias("more"), F.col("live").alias("still"))
+        moved = state.df.filter("live").join(target, (F.col("conv_id") == F.col("c")) & (F.col("at") == F.col("k")))
+        moved = moved.select("conv_id", "call_id", F.col("then").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), F.col("still").alias("live"))
+        after = Staged(state.df.filter("not live").unionByName(moved))
+        state.drop()
+        state = after
+    found = Staged(state.df.withColumn("at", F.when(~F.col("live"), F.col("at"))).drop("live"))
+    state.drop()
+    return found
+
+
 def levels(calls: DataFrame) -> Staged:
     """(conv_id, call_id, level): 0 without known dependencies, else one more than the greatest of them; null on or behind a cycle.
 
-    Each round settles the calls all of whose dependencies are settled, so there are as many
-    rounds as the longest chain has calls, and the first round without progress ends it.
+    Chains of calls with one dependency are shortened first. Then each round settles the calls
+    of several dependencies whose chains all end at settled calls; there are as many rounds as
+    the longest path has such calls, and the first round without progress ends it.
     """
     known = calls.select(F.col("conv_id").alias("c"), F.col("call_id").alias("k"))
     asked = calls.select("conv_id", "call_id", F.explode("depends_on").alias("needs"))
     edges = Staged(asked.join(known, (F.col("conv_id") == F.col("c")) & (F.col("needs") == F.col("k")), "left_semi").distinct())
-    waiting = edges.df.select("conv_id", "call_id").distinct()
-    settled = Staged(calls.select("conv_id", "call_id").join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
-    parts, left, level = [settled.df], edges, 0
-    while True:
-        level += 1
-        done = parts[-1].select(F.col("conv_id").alias("c"), F.col("call_id").alias("k"))
-        met = (F.col("conv_id") == F.col("c")) & (F.col("needs") == F.col("k"))
-        rest = Staged(left.df.join(done, met, "left_anti"))
-        before, after = left.df.select("conv_id", "call_id").distinct(), rest.df.select("conv_id", "call_id").distinct()
-        newly = Staged(before.join(after, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)))
-        left.drop()
-        left = rest
+    chains = _chains(calls, edges.df)
+    own = chains.df.select(F.col("conv_id").alias("c"), F.col("call_id").alias("k"), "at", "steps")
+    several = edges.df.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("conv_id", "call_id")
+    to_chain = (F.col("conv_id") == F.col("c")) & (F.col("needs") == F.col("k"))
+    waiting = Staged(edges.df.join(several, ["conv_id", "call_id"], "left_semi").join(own, to_chain).select("conv_id", "call_id", F.col("at").alias("needs"), "steps"))
+    settled = Staged(calls.select("conv_id", "call_id").join(edges.df, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long")))
+    while not waiting.df.isEmpty():
+        done = settled.df.select(F.col("conv_id").alias("c"), F.col("call_id").alias("k"), "level")
+        met = waiting.df.join(done, to_chain, "left").groupBy("conv_id", "call_id")
+        newly = Staged(met.agg(F.max(F.col("level") + F.col("steps") + 1).alias("level"), F.bool_or(F.col("level").isNull()).alias("waits")).filter("not waits").drop("waits"))
         if newly.rows() == 0:
             break
-        parts.append(newly.df)
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return Staged(result.unionByName(left.df.select("conv_id", "call_id").distinct().withColumn("level", F.lit(None).cast("int"))))
+        rest, more = Staged(waiting.df.join(newly.df, ["conv_id", "call_id"], "left_anti")), Staged(settled.df.unionByName(newly.df))
+        for old in (waiting, settled, newly):
+            old.drop()
+        waiting, settled = rest, more
+    ends = settled.df.select(F.col("conv_id").alias("c"), F.col("call_id").alias("k"), "level")
+    joined = chains.df.join(ends, (F.col("conv_id") == F.col("c")) & (F.col("at") == F.col("k")), "left")
+    return Staged(joined.select("conv_id", "call_id", (F.col("level") + F.col("steps")).alias("level")))
 
 
 def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
