@@ -1 +1,10 @@
-"""Retrieval, structured-facts and evaluation analytics expressed as Spark plans."""
+"""Retrieval, structured-facts and evaluation analytics expressed as Spark plans.
+
+Functions that run in Python workers travel by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

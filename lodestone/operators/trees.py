@@ -21,7 +21,7 @@ def descendants(spark: SparkSession, edges: DataFrame, roots: DataFrame, max_dep
     """(root, node, depth) of everything below roots(root) over edges(parent, child)."""
     found = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
     return spark.sql(
-        f"""WITH RECURSIVE MAX RECURSION LEVEL {max_depth} below(root, node, depth) AS (
+        f"""WITH RECURSIVE below(root, node, depth) MAX RECURSION LEVEL {max_depth} AS (
               SELECT root, node, depth FROM {{found}}
               UNION ALL
               SELECT b.root, e.child, b.depth + 1 FROM below b JOIN {{edges}} e ON e.parent = b.node)

@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lodestone.plans import eval_queries, fact_queries, search_queries, text_queries
+
+_PARTS = (search_queries, fact_queries, eval_queries, text_queries)
+QUERIES: dict = {name: run for part in _PARTS for name, run in part.QUERIES.items()}
+ORACLES: dict = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

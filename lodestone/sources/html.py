@@ -5,6 +5,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _HIDDEN = {"script", "style", "noscript"}
@@ -71,6 +72,10 @@ def visible(html: str | None) -> str | None:
     return "\n".join(parser.lines)
 
 
-@F.pandas_udf("string")
-def visible_text(html: pd.Series) -> pd.Series:
+def _all_visible(html: pd.Series) -> pd.Series:
     return html.map(visible)
+
+
+def visible_text(html: Column | str) -> Column:
+    """Text of an HTML column; an Arrow-batched UDF, since a tag parser has no column form."""
+    return F.pandas_udf(_all_visible, "string")(html)
