@@ -11,7 +11,7 @@ CAUSAL = ("because", "due to", "as a result", "driven by", "primarily", "resulte
 
 def clean_lines(text: Column) -> Column:
     """Line ends unified, lines trimmed, empty ones dropped."""
-    lines = F.transform(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"), F.trim)
+    lines = F.transform(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"), lambda line: F.trim(line))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 

@@ -30,7 +30,7 @@ def html_visible_text(spark, sf_dir):
 
 def table_density(spark, sf_dir):
     """Share of numeric cells, and whether a page's tables read like financial ones."""
-    cells = F.filter(F.transform(F.regexp_extract_all("html", F.lit(r"<td>([^<]*)</td>"), F.lit(1)), F.trim), lambda c: c != "")
+    cells = F.filter(F.transform(F.regexp_extract_all("html", F.lit(r"<td>([^<]*)</td>"), F.lit(1)), lambda c: F.trim(c)), lambda c: c != "")
     numeric = F.size(F.filter(cells, lambda c: c.rlike(r"^[$(]?[0-9][0-9,.]*[%)]?$")))
     rows = table(spark, sf_dir, "pages").select("page_id", F.size(cells).cast("long").alias("n_cells"), numeric.cast("long").alias("n_numeric"))
     return rows.withColumn("financial", (F.col("n_cells") >= 6) & (F.col("n_numeric") >= 0.3 * F.col("n_cells")))
