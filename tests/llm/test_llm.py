@@ -159,18 +159,19 @@ def test_removed_words_agree_with_plain_search(spark, monkeypatch, segment):
     shared = [" ".join(str(rng.randint(0, 999)) for _ in range(n)) for n in (12, 13, 14, 60, 300)]
     texts = [" ".join([str(rng.random()) for _ in range(rng.randint(0, 30))] + rng.sample(shared, rng.randint(0, 3)) + [str(rng.random())]) for _ in range(60)] + [None, "", shared[4], shared[4]]
     got = {r.doc_id: r for r in substring_dedup.remove_repeats(documents(spark, texts)).collect()}
-    first = {}
+    first = {n: {} for n in (13, 26, 52, 104, 208, 416, 832)}
     for i, t in enumerate(texts):
         w = words(t)
-        for p in range(len(w) - 12):
-            first.setdefault(tuple(w[p : p + 13]), i)
+        for n, seen in first.items():
+            for p in range(len(w) - n + 1):
+                seen.setdefault(tuple(w[p : p + n]), i)
     for i, t in enumerate(texts):
         w = words(t)
-        gone = {k for p in range(len(w) - 12) if first[tuple(w[p : p + 13])] < i for k in range(p, p + 13)}
+        gone = {k for p in range(len(w) - 12) if first[13][tuple(w[p : p + 13])] < i for k in range(p, p + 13)}
         kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), len(gone), hashlib.sha256(kept).hexdigest())
         assert {k for s in got[i].spans for k in range(s.first, s.end)} == gone
-        longest = max((13 * 2**k for k in range(8) if any(tuple(w[p : p + 13 * 2**k]) in {tuple(words(u)[q : q + 13 * 2**k]) for u in texts[:i] for q in range(len(words(u)) - 13 * 2**k + 1)} for p in range(len(w) - 13 * 2**k + 1))), default=None)
+        longest = max((n for n, seen in first.items() if any(seen[tuple(w[p : p + n])] < i for p in range(len(w) - n + 1))), default=None)
         assert got[i].longest == longest
 
 
