@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.llm import asof, chat, components, exact_dedup, lm_scoring, mixing, packing, quality_rules, queries, simhash, substring_dedup, toxicity, warc
+from lodestone.llm.staging import Staged
 from tests.conftest import SF, multiset
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -105,7 +106,7 @@ def test_base_statistics(spark, worst):
 
 def test_concentration_steps_agree_with_numpy_and_reject_outliers(spark, monkeypatch):
     monkeypatch.setattr(quality_rules, "MIN_GROUP", 50)
-    stats = quality_rules.base_statistics(spark.read.parquet(f"{SF}/documents.parquet"))
+    stats = Staged(quality_rules.base_statistics(spark.read.parquet(f"{SF}/documents.parquet"))).df
     fitted = {(r.g.lang): r for r in quality_rules.estimates(stats).df.filter("g.whole").collect()}
     floor = np.diag(np.array(quality_rules.FLOOR_SD) ** 2)
     rows = [(r.lang, r.x) for r in stats.filter("not base_failed").collect()]
