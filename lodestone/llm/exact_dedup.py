@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.staging import Staged
+from lodestone.llm.staging import Staged, without_repeats
 
 #: Entries per bucket; a bucket is one owner's unit of work, about 8 MB.
 BUCKET_CAPACITY = 1 << 17
@@ -125,8 +125,12 @@ def exact_dedup(docs: DataFrame, capacity: int = BUCKET_CAPACITY, key_bits: int
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, all columns, once each (of rows that repeat a doc_id, any one)."""
-    stays = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__stays")).distinct()
-    if not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
-        docs = docs.dropDuplicates(["doc_id"])
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__stays")), "left_semi")
+    """The rows of docs that stay, all columns. A row is known by its doc_id (null ones included) and text.
+
+    Rows that repeat both stay once, that of the least hash over all columns; rows that share a
+    doc_id but not a text are judged apart.
+    """
+    stays = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__stays"), F.col("text_sha256").alias("__stays_sha")).distinct()
+    known = without_repeats(docs.withColumn("__sha", F.sha2(normalised(F.col("text")), 256)), ["doc_id", "__sha"])
+    same = F.col("doc_id").eqNullSafe(F.col("__stays")) & (F.col("__sha") == F.col("__stays_sha"))
+    return known.join(stays, same, "left_semi").drop("__sha")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -63,6 +64,14 @@ class Staged:
         return F.broadcast(self.df) if self.rows() * row_bytes <= BROADCAST_BYTES else self.df
 
 
+def without_repeats(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """docs with each combination of keys once: the row of the least hash over all columns. Shuffles whole rows only if some repeat."""
+    if docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return docs
+    first = W.partitionBy(*keys).orderBy(F.xxhash64(*docs.columns))
+    return docs.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, even where body uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -412,3 +412,15 @@ def test_pipeline_keeps_clean_documents_and_drops_copies(spark):
     assert counts[0] > 0.8 * docs.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert packed.agg(F.sum("n_words")).first()[0] == kept.select(F.sum(mixing.words_of(F.col("text")))).first()[0]
+
+
+def test_rows_that_share_a_doc_id_are_known_by_their_texts(spark):
+    rows = [(None, "one two", "en", "a"), (None, "three four", "en", "a"), (1, "five six", "en", "a"), (1, "seven  eight", "en", "b"), (1, "seven eight", "en", "b"), (2, "five six", "en", "b"), (3, None, "en", None), (3, None, "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = exact_dedup.kept_documents(docs)
+    assert kept.columns == docs.columns
+    found = sorted((r.doc_id or 0, " ".join((r.text or "").split())) for r in kept.collect())
+    assert found == [(0, "one two"), (0, "three four"), (1, "five six"), (1, "seven eight"), (3, "")]
+    mixed = mixing.curriculum(docs.filter("source = 'a'").unionByName(docs.filter("source = 'a'")))
+    counts = Counter((r.doc_id, r.text) for r in mixed.collect())
+    assert mixed.columns == docs.columns and set(counts) == {(None, "one two"), (None, "three four"), (1, "five six")} and set(counts.values()) == {1}
