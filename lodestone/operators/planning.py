@@ -54,3 +54,78 @@ def narrowed(documents: DataFrame, plans: DataFrame, key: str = "query_id") -> D
     hit = years.join(wanted, "year").select(key, "document_id").distinct()
     none = plans.select(key).join(hit.select(key).distinct(), key, "left_anti")
     return hit.unionByName(documents.select("document_id").crossJoin(none).select(key, "document_id"))
+
+
+# What each narrative target looks for, in titles and as soft hints.
+TITLE_HINTS = {
+    "liquidity": ("liquidity", "capital resource"),
+    "results_of_operations": ("results of operations",),
+    "management_discussion": ("management's discussion", "management discussion"),
+    "risk_factors": ("risk factor",),
+    "segment": ("segment",),
+    "revenue": ("revenue", "net sales"),
+    "operating": ("operating income", "operating expense"),
+}
+SOFT_HINTS = {
+    "liquidity": {"section_role": ("liquidity",), "leaf_role": ("liquidity_driver",), "topic_tags": ("liquidity",), "rerank_terms": ("liquidity", "capital resources", "working capital")},
+    "margin_cost_structure": {"section_role": ("results_of_operations",), "leaf_role": ("results_driver",), "topic_tags": ("gross_margin", "cost_of_revenue", "operating_expense"), "rerank_terms": ("gross margin", "cost of revenue", "operating expenses")},
+    "going_concern": {"section_role": ("liquidity",), "leaf_role": ("liquidity_driver",), "topic_tags": ("liquidity",), "rerank_terms": ("going concern", "substantial doubt")},
+    "management_discussion": {"section_role": ("mda", "results_of_operations"), "leaf_role": ("results_driver",), "topic_tags": ("revenue", "operating_income"), "rerank_terms": ("management discussion and analysis", "results of operations")},
+    "risk_factors": {"section_role": ("risk_factors",), "leaf_role": ("risk_factor_item",), "topic_tags": (), "rerank_terms": ("risk factors",)},
+}
+FOCUS = {
+    "risk_factors": ("distribution through carriers, wholesalers, retailers, resellers, channel dependence.", "trade receivables, counterparties, credit risk, supplier or customer payment exposure."),
+    "results": ("gross margin, operating expenses, cost of revenue and results of operations drivers.",),
+}
+COMPLIANCE = ("问询", "回复", "合规", "draft", "comment letter", "监管", "草稿")
+
+
+def _texts(values: tuple[str, ...]) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
+def titled_for(title: Column, targets: Column) -> Column:
+    """Whether a title holds a keyword of a target; a target without keywords is its own, _ read as a space."""
+    low = F.lower(F.coalesce(title, F.lit("")))
+    known = F.create_map(*[x for t, words in TITLE_HINTS.items() for x in (F.lit(t), _texts(words))])
+    words = F.flatten(F.transform(targets, lambda t: F.coalesce(F.try_element_at(known, t), F.array(F.replace(t, F.lit("_"), F.lit(" "))))))
+    return F.coalesce(F.exists(words, lambda w: low.contains(F.lower(w))), F.lit(False))
+
+
+def soft_hints(targets: Column) -> Column:
+    """section_role, leaf_role, topic_tags and rerank_terms of all targets, in their order, each once."""
+
+    def of(field: str) -> Column:
+        known = F.create_map(*[x for t, hints in SOFT_HINTS.items() for x in (F.lit(t), _texts(hints[field]))])
+        return F.array_distinct(F.flatten(F.transform(targets, lambda t: F.coalesce(F.try_element_at(known, F.trim(t)), _texts(())))))
+
+    return F.struct(*[of(f).alias(f) for f in ("section_role", "leaf_role", "topic_tags", "rerank_terms")])
+
+
+def rerank_queries(query: Column, targets: Column, most: int = 3) -> Column:
+    """The query, and with it what its targets ask to focus on; at most six, and `most`."""
+    base = F.trim(F.coalesce(query, F.lit("")))
+    focused = lambda key: F.transform(_texts(("", *FOCUS[key])), lambda f: F.when(f == "", base).otherwise(F.concat(base, F.lit("\nFocus: "), f)))
+    results = F.array_contains(targets, "margin_cost_structure") | F.array_contains(targets, "management_discussion")
+    found = F.when((base != "") & F.array_contains(targets, "risk_factors"), focused("risk_factors")).when((base != "") & results, focused("results")).otherwise(F.array(base))
+    return F.slice(F.array_distinct(found), 1, max(1, min(most, 6)))
+
+
+def section_policy(targets: Column) -> Column:
+    """Stricter for questions about management's discussion, margins and liquidity."""
+    strict = F.coalesce(F.exists(targets, lambda t: F.lower(F.trim(t)).isin("management_discussion", "margin_cost_structure", "liquidity")), F.lit(False))
+    return F.struct(strict.alias("penalize_forward_looking"), strict.alias("penalize_early_position"), F.when(strict, 2.0).otherwise(1.5).alias("pass_score"))
+
+
+def scenario(question: Column) -> Column:
+    return F.when(any_of(F.lower(F.coalesce(question, F.lit(""))), COMPLIANCE), "compliance").otherwise("research")
+
+
+def risk_flags(n_citations: Column, n_facts: Column, limitations: Column, reasons: Column) -> Column:
+    """What an answer lacks, in order."""
+    return F.array_compact(
+        F.array(
+            F.when(n_citations == 0, "no_citations"), F.when(n_facts == 0, "no_sql"), F.when(F.coalesce(limitations, F.lit("")) != "", "limitations"),
+            F.when(F.array_contains(reasons, "filing_divergence"), "filing_divergence"),
+        )
+    )

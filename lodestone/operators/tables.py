@@ -81,3 +81,35 @@ def set_violations(sets: DataFrame, most_ids: int = 500) -> DataFrame:
         .when(F.count(F.lit(1)).over(W.partitionBy("name")) > 1, "name used twice")
     )
     return sets.withColumn("violation", rule).filter("violation is not null").select("set_id", "violation")
+
+
+def rebuilt_texts(nodes: DataFrame, built: Column, by: str = "document_id") -> tuple[DataFrame, DataFrame]:
+    """(nodes whose text differs from `built`, with it; per `by` the rows seen and changed). Running it on its own result changes nothing."""
+    fresh = nodes.withColumn("__text", built)
+    differs = ~F.col("text").eqNullSafe(F.col("__text"))
+    changed = fresh.filter(differs).withColumn("text", F.col("__text")).drop("__text")
+    return changed, fresh.groupBy(by).agg(F.count(F.lit(1)).alias("seen"), F.count_if(differs).alias("changed"))
+
+
+def without_documents(stores: dict[str, DataFrame], ids: DataFrame, key: str = "document_id") -> dict[str, DataFrame]:
+    """Every store without the documents, in the order given: indexes and files first and the document table last, so that a broken run can be repeated."""
+    gone = ids.select(key).distinct()
+    return {name: rows.join(gone, key, "left_anti") for name, rows in stores.items()}
+
+
+def copy_differences(source: DataFrame, target: DataFrame, key: str = "name") -> DataFrame:
+    """Files(key, content) that are missing, extra, or differ in size or md5 between two stores."""
+    seen = lambda rows, side: rows.select(key, F.length("content").alias(f"{side}_size"), F.md5("content").alias(f"{side}_md5"))
+    both = seen(source, "source").join(seen(target, "target"), key, "full_outer")
+    what = (
+        F.when(F.col("target_md5").isNull(), "missing").when(F.col("source_md5").isNull(), "extra")
+        .when(F.col("source_size") != F.col("target_size"), "size").when(F.col("source_md5") != F.col("target_md5"), "content")
+    )
+    return both.withColumn("difference", what).filter("difference is not null").select(key, "difference")
+
+
+def kept_jobs(jobs: DataFrame, most: int = 50) -> DataFrame:
+    """jobs(job_id, status, created_at): all that run, and the newest finished ones as far as `most` leaves room."""
+    over = W.orderBy(F.col("status").isin("completed", "failed"), F.desc_nulls_last("created_at"), "job_id")
+    finished = F.col("status").isin("completed", "failed")
+    return jobs.withColumn("__n", F.row_number().over(over)).filter(~F.coalesce(finished, F.lit(False)) | (F.col("__n") <= most)).drop("__n")
