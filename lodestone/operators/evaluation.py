@@ -51,3 +51,32 @@ def first_mode(rows: DataFrame, by: list[str], value: str, position: str) -> Dat
     """The most frequent value of each group; of equally frequent ones the one seen first."""
     counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("first_at"))
     return counted.groupBy(*by).agg(F.max(F.struct("n", -F.col("first_at"), F.col(value).alias("mode"))).alias("m")).select(*by, "m.mode", F.col("m.n").alias("n"))
+
+
+#: Windows of questions up to which they are broadcast (about 16 MB).
+BROADCAST_WINDOWS = 100_000
+
+
+def char_windows(rows: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """key, w: every run of n characters of a text, white space left out; shorter texts have none."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D\x20]+", "")
+    starts = F.when(F.length("bare") >= n, F.sequence(F.lit(1), F.length("bare") - (n - 1)))
+    return rows.select(key, bare.alias("bare")).select(key, "bare", F.explode(starts).alias("i")).select(key, F.substring(F.col("bare"), F.col("i"), F.lit(n)).alias("w"))
+
+
+def copied_runs(questions: DataFrame, texts: DataFrame, n: int = 16) -> DataFrame:
+    """(question_id, text_id, shared): how many different runs of n characters a question(question_id, text) has in common with a text(text_id, text).
+
+    The windows of texts are met where they are read: those of the questions are broadcast as
+    long as few enough are counted, and joined by key beyond that.
+    """
+    asked = char_windows(questions, "question_id", "text", n).distinct()
+    few = asked.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    found = char_windows(texts, "text_id", "text", n).join(F.broadcast(asked) if few else asked, "w")
+    return found.groupBy("question_id", "text_id").agg(F.count_distinct("w").alias("shared"))
+
+
+def soft_scores(rows: DataFrame) -> DataFrame:
+    """rows(metric, score) -> scored, skipped and the mean of each metric, 4 digits; null and NaN scores are skipped."""
+    good = F.col("score").isNotNull() & ~F.isnan("score")
+    return rows.groupBy("metric").agg(F.count_if(good).alias("scored"), F.count_if(~good).alias("skipped"), F.round(F.avg(F.when(good, F.col("score"))), 4).alias("mean"))

@@ -229,3 +229,29 @@ def best_sources(leads: DataFrame, sources: DataFrame, least: float = 0.05, limi
     scored = pairs.withColumn("score", F.round(alike + 0.05 * F.coalesce("quality", F.lit(0.0)), 6)).filter(F.col("score") >= least)
     order = W.partitionBy("query_id", "lead_id").orderBy(F.desc("score"), "url")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= limit).select("query_id", "lead_id", "url", "score", "rank")
+
+
+def packed_context(hits: DataFrame, budget: int = 6000) -> DataFrame:
+    """(query_id, context, parts): numbered hits(query_id, rank, filename, page_no, title, kind, text) until the first that would pass the budget.
+
+    Pictures count by their description. A query whose first hit is too long has an empty context.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    by = W.partitionBy("query_id").orderBy("rank")
+    label = F.concat(F.lit("["), F.row_number().over(by).cast("string"), F.lit("] "), blank("filename"), F.lit(" 第"), (F.coalesce("page_no", F.lit(0)) + 1).cast("string"), F.lit("页"))
+    label = F.concat(label, F.when(blank("title") != "", F.concat(F.lit(" · "), "title")).otherwise(""))
+    body = F.concat(F.when(F.col("kind") == "image", "（图片描述）").otherwise(""), blank("text"))
+    parts = hits.withColumn("part", F.concat(label, F.lit("\n"), body))
+    used = parts.withColumn("used", F.sum(F.length("part")).over(by.rowsBetween(W.unboundedPreceding, 0)))
+    fits = F.when(F.col("used") <= budget, F.struct("rank", "part"))
+    grouped = used.groupBy("query_id").agg(F.array_sort(F.collect_list(fits)).alias("kept"))
+    return grouped.select("query_id", F.array_join("kept.part", "\n\n").alias("context"), F.size("kept").cast("long").alias("parts"))
+
+
+def second_query(question: Column, filings: Column, leads: Column, targets: Column) -> Column:
+    """A question with the likely filings (3), the leading kind of evidence and the narrative targets (4), a line each."""
+    listed = lambda head, values, n: F.when(F.size(values) > 0, F.concat(F.lit(head), F.array_join(F.slice(values, 1, n), ", ")))
+    led = F.when(F.coalesce(leads, F.lit("")) != "", F.concat(F.lit("Coordination mode: "), leads, F.lit("-led")))
+    more = F.concat_ws("\n", listed("Likely filings: ", filings, 3), led, listed("Narrative targets: ", targets, 4))
+    base = F.trim(F.coalesce(question, F.lit("")))
+    return F.when(more == "", base).otherwise(F.concat(base, F.lit("\n\n"), more))

@@ -113,3 +113,14 @@ def kept_jobs(jobs: DataFrame, most: int = 50) -> DataFrame:
     over = W.orderBy(F.col("status").isin("completed", "failed"), F.desc_nulls_last("created_at"), "job_id")
     finished = F.col("status").isin("completed", "failed")
     return jobs.withColumn("__n", F.row_number().over(over)).filter(~F.coalesce(finished, F.lit(False)) | (F.col("__n") <= most)).drop("__n")
+
+
+def cleanup_blockers(known: DataFrame, on_disk: DataFrame, expected_rows: int | None = None) -> list[str]:
+    """Why orphans on disk must not be deleted: nothing is known of what is in use, or less was read than is there."""
+    read = known.count()
+    reasons = []
+    if read == 0 and not on_disk.isEmpty():
+        reasons.append("nothing known while files exist")
+    if expected_rows is not None and read < expected_rows:
+        reasons.append(f"read {read} of {expected_rows} rows")
+    return reasons

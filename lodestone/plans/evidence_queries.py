@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions import formats, narrative
+from lodestone.functions import chunking, formats, narrative
 from lodestone.functions import text as T
-from lodestone.operators import evidence, sampling
+from lodestone.operators import evaluation, evidence, planning, sampling
 from lodestone.session import table
 from lodestone.sources import filings
 
@@ -85,7 +85,25 @@ def page_elements(spark, sf_dir):
     return found.select("page_id", "position", "element_id", "element_type", F.array_join("section_path", " / ").alias("section"), "table_name", "text")
 
 
-QUERIES = {f.__name__: f for f in (filing_hypotheses, facts_for_plan, subqueries_merged, lists_by_priority, weights_merged, evaluation_draw, citability, passage_roles, fact_values, page_elements)}
+def leak_check(spark, sf_dir):
+    """Runs of 16 characters that benchmark items and documents have in common."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
+    return evaluation.copied_runs(items, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text"))
+
+
+def question_plan(spark, sf_dir):
+    """Mode, targets and facts limit of every turn."""
+    planned = planning.plan(table(spark, sf_dir, "conversations"), "text")
+    return planned.select("conv_id", "turn", "mode", F.array_join("targets", ",").alias("targets"), F.col("budget.facts").cast("long").alias("facts_limit"))
+
+
+def sentence_chunks(spark, sf_dir):
+    """Pieces of every document for embedding."""
+    found = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.embedding_pieces(F.col("text"))).alias("place", "piece"))
+    return found.select("doc_id", "place", F.length("piece").cast("long").alias("size"), F.md5("piece").alias("key"))
+
+
+QUERIES = {f.__name__: f for f in (filing_hypotheses, facts_for_plan, subqueries_merged, lists_by_priority, weights_merged, evaluation_draw, citability, passage_roles, fact_values, page_elements, leak_check, question_plan, sentence_chunks)}
 
 
 def _holds(text: str, phrases: tuple[str, ...]) -> str:
@@ -141,4 +159,14 @@ ORACLES = {
     "fact_values": """WITH v AS (SELECT event_id, value * pow(10.0, event_id % 4) AS x, value / 100 AS s FROM events)
       SELECT event_id, CASE WHEN x IS NULL THEN 'n/a' WHEN abs(x) >= 1e9 THEN format('{:,.0f}', x) WHEN abs(x) >= 1e3 THEN format('{:,.2f}', x) ELSE rtrim(rtrim(format('{:.4f}', x), '0'), '.') END AS shown,
              round(greatest(0::DOUBLE, least(1::DOUBLE, s)), 4) AS score FROM v""",
+    "leak_check": r"""WITH q AS (SELECT item_id, regexp_replace(coalesce(text, ''), '[\x09-\x0D\x20]+', '', 'g') AS t FROM benchmark),
+      d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x09-\x0D\x20]+', '', 'g') AS t FROM documents),
+      a AS (SELECT DISTINCT item_id, substr(t, i, 16) AS w FROM (SELECT item_id, t, unnest(range(1, length(t) - 14)) AS i FROM q)),
+      b AS (SELECT DISTINCT doc_id, substr(t, i, 16) AS w FROM (SELECT doc_id, t, unnest(range(1, length(t) - 14)) AS i FROM d) WHERE substr(t, i, 16) IN (SELECT w FROM a))
+      SELECT item_id AS question_id, doc_id AS text_id, count(*) AS shared FROM a JOIN b USING (w) GROUP BY ALL""",
+    "question_plan": rf"""WITH q AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS low,
+        len(list_filter(regexp_extract_all(coalesce(text, ''), '\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b'), lambda x: length(x) >= 8)) > 0 OR {_holds("lower(coalesce(text, ''))", tuple(p for p, _ in planning.ALIASES))} AS facts,
+        concat_ws(',', {", ".join(f"CASE WHEN {_holds("lower(coalesce(text, ''))", words)} THEN '{name}' END" for name, words in planning.TARGETS)}) AS targets FROM conversations),
+      m AS (SELECT *, CASE WHEN facts AND regexp_matches(low, 'year[ -]over[ -]year|yoy|同比|quarter[ -]over[ -]quarter|qoq|环比') THEN 'cross_filing_compare' WHEN facts AND targets = '' THEN 'facts_only' WHEN NOT facts AND targets <> '' THEN 'narrative_only' ELSE 'mixed' END AS mode FROM q)
+      SELECT conv_id, turn, mode, targets, CASE mode WHEN 'facts_only' THEN 80 WHEN 'narrative_only' THEN 0 WHEN 'mixed' THEN 40 ELSE 80 END AS facts_limit FROM m""",
 }

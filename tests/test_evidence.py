@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import evidence, reports, sampling
+from lodestone.operators import evaluation, evidence, reports, sampling, tables
 from lodestone.sources import layout, questions
 
 FACT = "q string, id long, accn string, taxonomy string, metric_key string, metric_label string, form string, frame string, value_numeric double, value_text string, period_end string, filed_date string, position long"
@@ -153,3 +153,24 @@ def test_filing_catalogs(spark):
     assert [tuple(r) for r in got] == [("a", "2020-01-01", "10-K", ""), ("b", "", "10-Q", "")]
     files = spark.createDataFrame([("f", 0, "a-index.html", "99"), ("f", 1, "b.htm", "5"), ("f", 2, "c.HTM", "5"), ("f", 3, "d.pdf", "9"), ("g", 0, "e.html", "x")], "filing string, position int, name string, size string")
     assert sorted(map(tuple, questions.largest_body(files, ["filing"]).collect())) == [("f", "b.htm"), ("g", "e.html")]
+
+
+def test_packed_context(spark):
+    rows = spark.createDataFrame([("q", 1, "a.pdf", 0, "T", "text", "x"), ("q", 2, None, None, None, "image", "y"), ("q", 3, "c", 1, "", "text", "z" * 99), ("q", 4, "d", 1, "", "text", "w"), ("r", 1, "a", 0, "", "text", "z" * 99)], "query_id string, rank long, filename string, page_no int, title string, kind string, text string")
+    got = {r.query_id: (r.context, r.parts) for r in evidence.packed_context(rows, 60).collect()}
+    assert got == {"q": ("[1] a.pdf 第1页 · T\nx\n\n[2]  第1页\n（图片描述）y", 2), "r": ("", 0)}
+    none = texts()
+    queries = [evidence.second_query(F.lit(" q "), none, F.lit(None).cast("string"), none), evidence.second_query(F.lit("q"), texts("a", "b"), F.lit("rag"), texts("t"))]
+    assert tuple(spark.range(1).select(*[q.alias(str(i)) for i, q in enumerate(queries)]).first()) == ("q", "q\n\nLikely filings: a, b\nCoordination mode: rag-led\nNarrative targets: t")
+
+
+def test_copied_runs_and_soft_scores(spark, monkeypatch):
+    questions_ = spark.createDataFrame([(1, "abcd efgh"), (2, None), (3, "ab")], "question_id long, text string")
+    docs = spark.createDataFrame([(1, "xxabc\ndex abcde"), (2, ""), (3, None)], "text_id long, text string")
+    for most in (100, 0):
+        monkeypatch.setattr(evaluation, "BROADCAST_WINDOWS", most)
+        assert [tuple(r) for r in evaluation.copied_runs(questions_, docs, 4).collect()] == [(1, 1, 2)]
+    scores = spark.createDataFrame([("a", 0.5), ("a", None), ("a", float("nan")), ("b", None)], "metric string, score double")
+    assert sorted(map(tuple, evaluation.soft_scores(scores).collect())) == [("a", 1, 2, 0.5), ("b", 0, 1, None)]
+    assert tables.cleanup_blockers(docs.limit(0), docs, 3) == ["nothing known while files exist", "read 0 of 3 rows"]
+    assert tables.cleanup_blockers(docs, docs, 3) == []
