@@ -57,11 +57,18 @@ def first_mode(rows: DataFrame, by: list[str], value: str, position: str) -> Dat
 BROADCAST_WINDOWS = 100_000
 
 
-def char_windows(rows: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """key, w: every run of n characters of a text, white space left out; shorter texts have none."""
+def char_windows(rows: DataFrame, key: str, text: str, n: int, block: int = 512) -> DataFrame:
+    """key, w: every run of n characters of a text, white space left out; shorter texts have none.
+
+    Texts are first cut into overlapping blocks, since finding a character by its number takes
+    time in proportion to that number.
+    """
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D\x20]+", "")
-    starts = F.when(F.length("bare") >= n, F.sequence(F.lit(1), F.length("bare") - (n - 1)))
-    return rows.select(key, bare.alias("bare")).select(key, "bare", F.explode(starts).alias("i")).select(key, F.substring(F.col("bare"), F.col("i"), F.lit(n)).alias("w"))
+    upto = lambda c, step: F.when(F.length(c) >= n, F.sequence(F.lit(0), ((F.length(c) - n) / step).cast("int")))
+    cut = lambda c, at, size: F.substring(F.col(c), at + 1, F.lit(size))
+    placed = rows.select(key, bare.alias("bare")).select(key, "bare", F.explode(upto("bare", block)).alias("i"))
+    blocks = placed.select(key, cut("bare", F.col("i") * block, block + n - 1).alias("part"))
+    return blocks.select(key, "part", F.explode(upto("part", 1)).alias("j")).select(key, cut("part", F.col("j"), n).alias("w"))
 
 
 def copied_runs(questions: DataFrame, texts: DataFrame, n: int = 16) -> DataFrame:

@@ -167,6 +167,8 @@ def test_packed_context(spark):
 def test_copied_runs_and_soft_scores(spark, monkeypatch):
     questions_ = spark.createDataFrame([(1, "abcd efgh"), (2, None), (3, "ab")], "question_id long, text string")
     docs = spark.createDataFrame([(1, "xxabc\ndex abcde"), (2, ""), (3, None)], "text_id long, text string")
+    blocked = sorted(r.w for r in evaluation.char_windows(questions_, "question_id", "text", 4, 2).collect())
+    assert blocked == sorted("abcdefgh"[i : i + 4] for i in range(5))
     for most in (100, 0):
         monkeypatch.setattr(evaluation, "BROADCAST_WINDOWS", most)
         assert [tuple(r) for r in evaluation.copied_runs(questions_, docs, 4).collect()] == [(1, 1, 2)]
