@@ -4,131 +4,233 @@ Two interpolated word-bigram models, of target documents and of the whole corpus
 vocabulary, one set of bigrams and one smoothing. The mean over a document's words of target
 loss minus background loss is its score: below 0 reads like the target.
 
-Counts cover every word of every document. They meet in hash ranges as packed sets, one from
-each map task, so a very frequent word or pair is a row per task. The vocabulary is the words
-whose share of all words is at least VOCABULARY_SHARE, the bigrams those of at least
-BIGRAM_SHARE; at most 1/share of them can exist, whatever the corpus, and that bounds what is
-broadcast (about 30 MB). All other words are one class, whose probability both models hold, and
-other bigrams fall back to their second word.
+Both models hold every word and bigram that occurs LEAST_COUNT times in the corpus, so they grow
+with it. Rarer words are one class, whose probability both models hold; rarer bigrams fall back
+to their second word, and their counts are taken out of their first word's context, so that a
+bigram left out favours neither model.
+
+No task and no broadcast holds a model. Documents become units of some UNIT_WORDS words, kept as
+places in the unit's sorted distinct words. A unit sends its distinct bigrams, then its words, in
+packed hash ranges, one row each; the range adds up all units' counts and answers each unit with
+the corpus' counts of what it sent, in the same order. A very frequent word or pair is one entry
+a unit. The units then meet their answers and score their documents.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.staging import Staged
 from lodestone.llm.wordbytes import blocks, boundaries, combine, pack, pack_plain, split_ranges, texts_of, unpack, unpack_plain, word_hashes
 
-#: At most 2^17 words and 2^20 bigrams have such shares.
-VOCABULARY_SHARE = 2.0**-17
-BIGRAM_SHARE = 2.0**-20
 LEAST_COUNT = 2
 #: Weight, in words, of the unigram model behind every context.
 PRIOR = 50.0
-#: Entries at which a map task sends on what it has counted.
-FLUSH = 1 << 22
+#: Words at which a unit of documents is closed.
+UNIT_WORDS = 1 << 21
+#: Words of the corpus a hash range; a range is added up in one piece, so their number grows with the corpus.
+RANGE_WORDS = 1 << 22
 
-_PIECES = "range int, keys binary, target binary, background binary"
-_COUNTS = "key long, target long, background long"
+_UNIT = {"unit": pa.int64(), "ids": pa.binary(), "lengths": pa.binary(), "hits": pa.binary(), "words": pa.binary(), "at": pa.binary(), "n": pa.int64(), "n_target": pa.int64()}
+_SENT = {"range": pa.int32(), "unit": pa.int64(), "keys": pa.binary(), "target": pa.binary(), "background": pa.binary(), "firsts": pa.binary()}
+_ANSWER = {"kind": pa.string(), "range": pa.int32(), "unit": pa.int64(), "keys": pa.binary(), "target": pa.binary(), "background": pa.binary(), "context_target": pa.binary(), "context_background": pa.binary()}
+_SQL = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string"}
 
 
-def _merged(keys: list[np.ndarray], target: list[np.ndarray], background: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    all_keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-    distinct, where = np.unique(all_keys, return_inverse=True)
-    sums = [np.bincount(where, np.concatenate(v), len(distinct)).astype(np.int64) if keys else np.zeros(0, np.int64) for v in (target, background)]
-    return distinct, *sums
+def _ddl(columns: dict) -> str:
+    return ", ".join(f"{name} {_SQL[kind]}" for name, kind in columns.items())
 
 
-def counts(docs: DataFrame, keys_of, ranges: int) -> DataFrame:
-    """(key, target, background) of all keys that occur LEAST_COUNT times; keys_of gives a block's keys and their texts' places."""
+def _rows(rows: list[dict], columns: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, pa.schema(list(columns.items())))
 
-    def count(batches):
-        held: tuple[list, list, list] = ([], [], [])
 
-        def flush():
-            keys, *sums = _merged(*held)
-            for part in held:
+def _squeezed(values: np.ndarray) -> bytes:
+    """64-bit counts, byte plane by byte plane."""
+    return pack_plain(np.ascontiguousarray(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T))
+
+
+def _spread(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unpack_plain(blob, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def _joined(parts: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *parts])
+
+
+@dataclass
+class Unit:
+    """Documents as places in the sorted distinct words; `hits` says which are of the target."""
+
+    lengths: np.ndarray
+    hits: np.ndarray
+    words: np.ndarray
+    at: np.ndarray
+
+    @classmethod
+    def read(cls, row: dict) -> Unit:
+        return cls(unpack_plain(row["lengths"], np.int64), unpack_plain(row["hits"], np.bool_), unpack(row["words"]), unpack_plain(row["at"], np.int32))
+
+    def follows(self) -> np.ndarray:
+        """Places of the words that have a word before them in their text."""
+        first = (np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]
+        inner = np.ones(len(self.at), bool)
+        inner[first] = False
+        return np.flatnonzero(inner)
+
+    def pairs(self, places: np.ndarray) -> np.ndarray:
+        """The bigrams that end at these places."""
+        return combine(self.words[self.at[places - 1]], self.words[self.at[places]])
+
+    def in_target(self) -> np.ndarray:
+        return np.repeat(self.hits, self.lengths)
+
+
+def units(rows: DataFrame) -> DataFrame:
+    """rows(doc_id, text, target) as units; every row is in one."""
+    enough = UNIT_WORDS
+
+    def build(batches):
+        ids, lengths, hits, found = [], [], [], []
+        made = 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal made
+            sink = pa.BufferOutputStream()
+            column = pa.record_batch([pa.concat_arrays(ids)], names=["doc_id"])
+            with pa.ipc.new_stream(sink, column.schema) as out:
+                out.write_batch(column)
+            n, hit = np.concatenate(lengths), np.concatenate(hits)
+            words, at = np.unique(np.concatenate(found), return_inverse=True)
+            row = {"unit": (TaskContext.get().partitionId() << 32) + made, "ids": sink.getvalue().to_pybytes(), "lengths": pack_plain(n), "hits": pack_plain(hit), "words": pack(words), "at": pack_plain(at.astype(np.int32)), "n": int(n.sum()), "n_target": int(n[hit].sum())}
+            made += 1
+            for part in (ids, lengths, hits, found):
                 part.clear()
-            rows = [(k, pack(keys[a:b]), *(pack_plain(s[a:b].astype(np.int64)) for s in sums)) for k, a, b in split_ranges(keys, ranges)]
-            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            return pa.record_batch([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["range", "keys", "target", "background"])
+            return _rows([row], _UNIT)
 
         for batch in batches:
             texts = texts_of(batch.column("text"))
-            target = batch.column("target").to_numpy(zero_copy_only=False).astype(np.int64)
+            target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
             for a, b in blocks(texts):
-                keys, text = keys_of(texts[a:b])
-                distinct, where = np.unique(keys, return_inverse=True)
-                held[0].append(distinct)
-                held[1].append(np.bincount(where, target[a:b][text], len(distinct)).astype(np.int64))
-                held[2].append(np.bincount(where, minlength=len(distinct)))
-            if sum(map(len, held[0])) >= FLUSH:
-                yield flush()
-        yield flush()
-
-    def add(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        keys, *sums = _merged([unpack(r["keys"]) for r in rows], *([unpack_plain(r[c], np.int64) for r in rows] for c in ("target", "background")))
-        often = sums[1] >= LEAST_COUNT
-        return pa.table({"key": keys[often].view(np.int64), "target": sums[0][often], "background": sums[1][often]})
+                data, starts, ends, first = boundaries(texts[a:b])
+                ids.append(batch.column("doc_id").slice(a, b - a))
+                lengths.append(np.diff(first).astype(np.int64))
+                hits.append(target[a:b])
+                found.append(word_hashes(data, starts, ends))
+                if sum(map(len, found)) >= enough:
+                    yield close()
+        if ids:
+            yield close()
 
-    return docs.mapInArrow(count, _PIECES).groupBy("range").applyInArrow(add, _COUNTS)
+    return rows.mapInArrow(build, _ddl(_UNIT))
 
 
-def words_in(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    data, starts, ends, first = boundaries(texts)
-    return word_hashes(data, starts, ends), np.repeat(np.arange(len(texts)), np.diff(first))
+def _each(batches) -> Iterator[tuple[int, Unit]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            yield row["unit"], Unit.read(row)
 
 
-def pairs_in(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bigram that ends at each word (0 at a text's first word), and the words' texts."""
-    pairs = np.zeros(len(words), np.uint64)
-    if len(words) > 1:
-        pairs[1:] = np.where(text[1:] == text[:-1], combine(words[:-1], words[1:]), 0)
-    return pairs, text
+def pairs_sent(found: DataFrame, ranges: int) -> DataFrame:
+    """Each unit's distinct bigrams with their counts, and the first words of those that may be cut."""
 
+    def send(batches):
+        for name, unit in _each(batches):
+            places = unit.follows()
+            keys, one, where, n = np.unique(unit.pairs(places), return_index=True, return_inverse=True, return_counts=True)
+            target = np.bincount(where, unit.in_target()[places], len(keys))
+            rare = n < LEAST_COUNT
+            firsts = unit.words[unit.at[places[one] - 1]]
+            cuts = split_ranges(keys, ranges)
+            yield _rows([{"range": k, "unit": name, "keys": pack(keys[a:b]), "target": _squeezed(target[a:b]), "background": _squeezed(n[a:b]), "firsts": pack_plain(firsts[a:b][rare[a:b]])} for k, a, b in cuts], _SENT)
 
-@dataclass
-class Models:
-    """Sorted words and bigrams with counts by (target, background), and the totals."""
+    return found.mapInArrow(send, _ddl(_SENT))
 
-    words: np.ndarray
-    word_counts: np.ndarray
-    pairs: np.ndarray
-    pair_counts: np.ndarray
-    totals: np.ndarray
-
-    def losses(self, words: np.ndarray, text: np.ndarray) -> np.ndarray:
-        """(target, background) loss in nats of every word."""
-        known = np.concatenate([self.word_counts, [self.totals - self.word_counts.sum(0)]]).astype(float)
-        unigram = (known + 1) / (self.totals + len(known))
-        at = _find(self.words, words, len(self.words))
-        pairs, _ = pairs_in(words, text)
-        pair = np.concatenate([self.pair_counts, [[0, 0]]])[_find(self.pairs, pairs, len(self.pairs))]
-        before = np.concatenate([[len(self.words)], at[:-1]]) if len(at) else at
-        context = np.where((pairs != 0)[:, None], known[before], 0)
-        context[before == len(self.words)] = 0  # the class of other words is no context
-        return -np.log((pair + PRIOR * unigram[at]) / (context + PRIOR))
-
-
-def _find(sorted_: np.ndarray, values: np.ndarray, missing: int) -> np.ndarray:
-    if not len(sorted_):
-        return np.full(len(values), missing)
-    at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
-    return np.where(sorted_[at] == values, at, missing)
-
-
-def _collected(found: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of at least so many; the share behind `least` bounds how many there are."""
-    rows = found.filter(F.col("background") >= least).toArrow()
-    keys = rows["key"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], np.stack([rows[c].to_numpy() for c in ("target", "background")], 1).astype(np.int64)[order]
+
+def words_sent(found: DataFrame, ranges: int) -> DataFrame:
+    """Each unit's distinct words with their counts."""
+
+    def send(batches):
+        for name, unit in _each(batches):
+            n = np.bincount(unit.at, minlength=len(unit.words))
+            target = np.bincount(unit.at, unit.in_target(), len(unit.words))
+            yield _rows([{"range": k, "unit": name, "keys": pack(unit.words[a:b]), "target": _squeezed(target[a:b]), "background": _squeezed(n[a:b]), "firsts": None} for k, a, b in split_ranges(unit.words, ranges)], _SENT)
+
+    return found.mapInArrow(send, _ddl(_SENT))
+
+
+def _added(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct keys, each entry's place in them, the entries' own counts, and the distinct keys' sums."""
+    keys, where = np.unique(_joined([unpack(r["keys"]) for r in rows], np.uint64), return_inverse=True)
+    own = [_joined([_spread(r[c]) for r in rows], np.int64) for c in ("target", "background")]
+    sums = [np.bincount(where, v, len(keys)).astype(np.int64) for v in own]
+    return keys, where, own, *sums
+
+
+def pairs_judged(sent: DataFrame, ranges: int) -> DataFrame:
+    """Answers with the bigrams' counts (0 for those cut), and by first word the counts that were cut."""
+
+    def judge(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        _, where, own, target, background = _added(rows)
+        cut = background < LEAST_COUNT
+        lost = cut[where]
+        firsts = _joined([unpack_plain(r["firsts"], np.uint64) for r in rows], np.uint64)[lost[own[1] < LEAST_COUNT]]
+        words, of = np.unique(firsts, return_inverse=True)
+        gone = [np.bincount(of, v[lost], len(words)) for v in own]
+        out = [{"kind": "cut", "range": k, "unit": -1, "keys": pack(words[a:b]), "target": _squeezed(gone[0][a:b]), "background": _squeezed(gone[1][a:b])} for k, a, b in split_ranges(words, ranges)]
+        target[cut] = background[cut] = 0
+        begin = 0
+        for r in rows:
+            mine = where[begin : (begin := begin + len(unpack(r["keys"])))]
+            out.append({"kind": "pair", "range": r["range"], "unit": r["unit"], "target": _squeezed(target[mine]), "background": _squeezed(background[mine])})
+        return pa.Table.from_batches([_rows(out, _ANSWER)])
+
+    return sent.groupBy("range").applyInArrow(judge, _ddl(_ANSWER))
+
+
+def words_judged(sent: DataFrame) -> DataFrame:
+    """Answers with the words' counts and their contexts' (0 for the class of rare words), and a row of totals a range."""
+
+    def judge(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["unit"] < 0)
+        asked = [r for r in rows if r["unit"] >= 0]
+        keys, where, own, *_ = _added(rows)
+        sizes = [len(unpack(r["keys"])) for r in asked]
+        n = sum(sizes)
+        target, background = (np.bincount(where[:n], v[:n], len(keys)).astype(np.int64) for v in own)
+        context = [np.bincount(where[:n], v[:n], len(keys)) - np.bincount(where[n:], v[n:], len(keys)) for v in own]
+        rare = background < LEAST_COUNT
+        for v in (target, background, *context):
+            v[rare] = 0
+        out = [{"kind": "total", "range": 0, "unit": -1, "target": _squeezed(np.array([(~rare).sum(), target.sum(), background.sum()]))}]
+        begin = 0
+        for r, size in zip(asked, sizes, strict=True):
+            mine = where[begin : (begin := begin + size)]
+            out.append({"kind": "word", "range": r["range"], "unit": r["unit"], "target": _squeezed(target[mine]), "background": _squeezed(background[mine]), "context_target": _squeezed(context[0][mine]), "context_background": _squeezed(context[1][mine])})
+        return pa.Table.from_batches([_rows(out, _ANSWER)])
+
+    return sent.groupBy("range").applyInArrow(judge, _ddl(_ANSWER))
+
+
+def losses(unit: Unit, words: np.ndarray, contexts: np.ndarray, pairs: np.ndarray, totals: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """(target, background) loss in nats of every word; counts by distinct word and by distinct bigram, known is the vocabulary's size and its words' sums."""
+    rare = words[:, 1] == 0
+    unigram = (np.where(rare[:, None], totals - known[1:], words) + 1.0) / (totals + known[0] + 1.0)
+    places = unit.follows()
+    _, where = np.unique(unit.pairs(places), return_inverse=True)
+    seen, context = np.zeros((2, len(unit.at), 2))
+    seen[places] = pairs[where]
+    context[places] = contexts[unit.at[places - 1]]
+    return -np.log((seen + PRIOR * unigram[unit.at]) / (context + PRIOR))
 
 
 def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -140,51 +242,37 @@ def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
     Other columns are ignored, an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chosen = targets.select(F.col("doc_id").alias("of")).distinct().withColumn("hit", F.lit(True))
     rows = docs.select("doc_id", "text").join(chosen.hint("merge"), F.col("doc_id") == F.col("of"), "left")
-    held = Staged(rows.select("doc_id", "text", F.coalesce("hit", F.lit(False)).alias("target")))
-
-    totals_of = held.df.mapInArrow(_word_totals, "target long, background long").agg(F.sum("target"), F.sum("background")).first()
+    held = Staged(units(rows.select("doc_id", "text", F.coalesce("hit", F.lit(False)).alias("target"))))
+    totals_of = held.df.agg(F.sum("n_target"), F.sum("n")).first()
     totals = np.array([v or 0 for v in totals_of], np.int64)
-    words = Staged(counts(held.df, words_in, ranges))
-    vocabulary, word_counts = _collected(words.df, max(LEAST_COUNT, VOCABULARY_SHARE * totals[1]))
-    words.drop()
-    shared = spark.sparkContext.broadcast(vocabulary)
-
-    def known_pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found, text = words_in(texts)
-        inside = _find(shared.value, found, -1) >= 0
-        pairs, _ = pairs_in(found, text)
-        both = inside & (pairs != 0)
-        both[1:] &= inside[:-1]
-        return pairs[both], text[both]
-
-    found = Staged(counts(held.df, known_pairs, ranges))
-    pairs, pair_counts = _collected(found.df, max(LEAST_COUNT, BIGRAM_SHARE * totals[1]))
-    found.drop()
-    models = spark.sparkContext.broadcast(Models(vocabulary, word_counts, pairs, pair_counts, totals))
-
-    def run(batches):
-        for batch in batches:
-            texts = texts_of(batch.column("text"))
-            n, sums = np.zeros(len(texts), np.int64), np.zeros((len(texts), 2))
-            for a, b in blocks(texts):
-                found, text = words_in(texts[a:b])
-                losses = models.value.losses(found, text)
-                n[a:b] = np.bincount(text, minlength=b - a)
-                sums[a:b] = np.stack([np.bincount(text, losses[:, k], b - a) for k in (0, 1)], 1)
-            means = sums / np.maximum(n, 1)[:, None]
-            empty = n == 0
-            values = [pa.array(v, mask=empty) for v in (means[:, 0], means[:, 1], means[:, 0] - means[:, 1])]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n), *values], names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(totals[1]) // RANGE_WORDS))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return held.df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, target_loss double, background_loss double, score double")
+    pairs = Staged(pairs_judged(pairs_sent(held.df, ranges), ranges), "kind")
+    cut = pairs.df.filter("kind = 'cut'").select("range", "unit", "keys", "target", "background", F.lit(None).cast("binary").alias("firsts"))
+    words = Staged(words_judged(words_sent(held.df, ranges).unionByName(cut)), "kind")
+    parts = [_spread(r["target"]) for r in words.df.filter("kind = 'total'").select("target").collect()]
+    known = np.sum([np.zeros(3, np.int64), *parts], axis=0)
 
-
-def _word_totals(batches):
-    for batch in batches:
-        n = np.array([len(t.split()) for t in texts_of(batch.column("text"))], np.int64)
-        hit = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
-        yield pa.record_batch([pa.array([int(n[hit].sum())]), pa.array([int(n.sum())])], names=["target", "background"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    fields = ("target", "background", "context_target", "context_background")
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["range"])
+        own = next(r for r in rows if r["kind"] == "unit")
+        unit = Unit.read(own)
+        of = lambda kind, c: _joined([_spread(r[c]) for r in rows if r["kind"] == kind], np.int64)
+        word, pair = (np.stack([of(k, c) for c in fields[:2]], 1) for k in ("word", "pair"))
+        found = losses(unit, word, np.stack([of("word", c) for c in fields[2:]], 1), pair, totals, known)
+        n = unit.lengths
+        text = np.repeat(np.arange(len(n)), n)
+        means = np.stack([np.bincount(text, found[:, k], len(n)) for k in (0, 1)], 1) / np.maximum(n, 1)[:, None]
+        values = [pa.array(v, mask=n == 0) for v in (means[:, 0], means[:, 1], means[:, 0] - means[:, 1])]
+        ids = pa.ipc.open_stream(own["ids"]).read_all().column("doc_id")
+        return pa.table([ids, pa.array(n), *values], names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
+
+    answers = pairs.df.filter("kind = 'pair'").unionByName(words.df.filter("kind = 'word'")).select("kind", "range", "unit", *fields)
+    own = held.df.select(F.lit("unit").alias("kind"), F.lit(-1).alias("range"), "unit", "ids", "lengths", "hits", "words", "at")
+    both = own.unionByName(answers, allowMissingColumns=True)
+    return both.groupBy("unit").applyInArrow(run, f"doc_id {kind}, n_words long, target_loss double, background_loss double, score double")

@@ -153,6 +153,42 @@ def test_losses_agree_with_plain_counting(spark):
         assert got[i].target_loss == pytest.approx(means[0]) and got[i].score == pytest.approx(means[0] - means[1])
 
 
+@pytest.mark.parametrize("unit_words", [1 << 21, 1000])
+def test_rare_words_and_bigrams_of_a_large_corpus_are_in_the_models(spark, monkeypatch, unit_words):
+    """300,000 words, so that what occurs twice is far below 2^-17 of them; bigrams that occur once leave their context too."""
+    monkeypatch.setattr(lm_scoring, "UNIT_WORDS", unit_words)
+    monkeypatch.setattr(lm_scoring, "RANGE_WORDS", 16 * unit_words)
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(1000)) for _ in range(300)] + ["rare own words w1 once", "w2 rare own words", "x own words rare w1"]
+    targets = [*range(0, 300, 10), 300, 302]
+    got = {r.doc_id: r for r in lm_scoring.score(documents(spark, texts), spark.createDataFrame([(i,) for i in targets], "doc_id long")).collect()}
+    uni, bi = [Counter(), Counter()], [Counter(), Counter()]
+    for i, t in enumerate(texts):
+        for k in (0, 1) if i in targets else (1,):
+            uni[k].update(t.split())
+            bi[k].update(itertools.pairwise(t.split()))
+    vocabulary = {w for w in uni[1] if uni[1][w] >= 2}
+    context = [Counter(u) for u in uni]
+    for pair, n in bi[1].items():
+        if n < 2:
+            for k in (0, 1):
+                context[k][pair[0]] -= bi[k][pair]
+
+    def loss(k, before, w):
+        total = sum(uni[k].values())
+        seen = uni[k][w] if w in vocabulary else total - sum(uni[k][v] for v in vocabulary)
+        p = (seen + 1) / (total + len(vocabulary) + 1)
+        pair = bi[k][before, w] if bi[1][before, w] >= 2 else 0
+        return -math.log((pair + lm_scoring.PRIOR * p) / ((context[k][before] if before in vocabulary else 0) + lm_scoring.PRIOR))
+
+    assert {"rare", "own", "words"} <= vocabulary and min(bi[1].values()) == 1
+    for i in (0, 1, 300, 301, 302):
+        w = texts[i].split()
+        means = [sum(loss(k, b, a) for b, a in zip([None, *w], w, strict=False)) / len(w) for k in (0, 1)]
+        assert got[i].target_loss == pytest.approx(means[0]) and got[i].background_loss == pytest.approx(means[1])
+    assert len(got) == len(texts)
+
+
 @pytest.mark.parametrize("segment", [2_000, 16 << 20])
 def test_removed_words_agree_with_plain_search(spark, monkeypatch, segment):
     monkeypatch.setattr(substring_dedup, "SEGMENT_BYTES", segment)
