@@ -104,6 +104,12 @@ def mix(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).alias("taken"), first.alias("position"))
 
 
+def in_training_order(rows: DataFrame) -> DataFrame:
+    """What mix() returns, range-sorted by position; rows that are not taken come last."""
+    by = [F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_last()]
+    return Staged(rows).df.repartitionByRange(*by).sortWithinPartitions(*by, "size")
+
+
 def curriculum(docs: DataFrame) -> DataFrame:
     """The documents in training order: a row for each taken copy, range-sorted by its time, with the columns of docs.
 

@@ -89,7 +89,8 @@ def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies", "position")
+    """Every document in the order of its position in training; the columns are those of the SQL."""
+    return mixing.in_training_order(mixing.mix(table(spark, sf_dir, "documents"))).drop("copies", "position")
 
 
 OP10_SQL = r"""

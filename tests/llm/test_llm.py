@@ -413,6 +413,28 @@ def test_mix_agrees_with_sql_at_any_range(spark, duck, monkeypatch):
         assert multiset(queries.op10_mixing(spark, SF).toPandas()) == want
 
 
+def test_op10_rows_come_in_training_order(spark):
+    """Positions found again by bisection of each source's integral, in md5 order within the source."""
+    lines = defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        lines[r.source].append((hashlib.md5(str(r.doc_id).encode()).hexdigest(), r.doc_id, len(words(r.text))))
+    rows = queries.op10_mixing(spark, SF).collect()
+    got = {r.doc_id: r for r in rows}
+    position = {}
+    for k, source in enumerate(sorted(lines)):
+        tilt, begins = (-0.5, 0.0, 0.5)[k % 3], 0
+        for _, i, size in sorted(lines[source]):
+            low, high = 0.0, 1.0
+            for _ in range(60):
+                t = (low + high) / 2
+                low, high = (t, high) if t + tilt * (t * t - t) < begins / got[i].target else (low, t)
+            position[i] = low if got[i].taken else 2.0
+            begins += size
+    order = [position[r.doc_id] for r in rows]
+    assert len(order) == len(position) and all(a <= b + 1e-9 for a, b in itertools.pairwise(order))
+    assert 2.0 in order and len(set(order)) > len(order) / 2
+
+
 def test_mix_meets_targets_and_schedules(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").toPandas()
