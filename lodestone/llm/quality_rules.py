@@ -1,7 +1,8 @@
 """Quality rules: robust multivariate outliers. DataFrame operations only.
 
-Every text becomes a vector of transformed statistics. For each (lang, source), and each lang
-for groups too small to stand alone, a minimum-covariance-determinant estimate is fitted: from
+Every text becomes a vector of transformed statistics. For each (lang, source), each lang for
+groups too small to stand alone, and all rows together for languages too small for that, a
+minimum-covariance-determinant estimate is fitted: from
 a start by medians and median deviations, concentration steps take the mean and covariance of
 the `SHARE` of rows that are nearest under the last estimate, until the steps are through. A
 document goes if its squared Mahalanobis distance exceeds the cutoff.
@@ -29,7 +30,7 @@ MAX_REPEATED_PERCENT = 20
 #: Rows nearest to the centre that an estimate uses.
 SHARE = 0.75
 STEPS = 4
-#: A group of fewer rows is judged by its language's estimate; a language of fewer by none.
+#: A group of fewer rows is judged by its language's estimate; a language of fewer by that of all rows.
 MIN_GROUP = 200
 #: Standard deviations below which a statistic's spread isn't taken to shrink.
 FLOOR_SD = (0.9, 0.08, 0.25, 0.4, 0.4, 0.15, 0.2)
@@ -161,12 +162,22 @@ def _start(rows: DataFrame) -> DataFrame:
 
 
 def estimates(stats: DataFrame) -> Staged:
-    """(g, centre, whitening) of each group of enough rows; g is struct(lang, source), or (lang, null, true) for a language."""
-    group = lambda source, whole: F.struct("lang", source.alias("source"), F.lit(whole).alias("whole"))
-    levels = stats.filter(~F.col("base_failed")).select("x", F.explode(F.array(group(F.col("source"), False), group(F.lit(None).cast("string"), True))).alias("g"))
+    """(g, centre, whitening) of each group of enough rows; g is struct(lang, source), (lang, null, whole) for a language, or (null, null, every) for all rows.
+
+    That of all rows, however few, is there if a language of stats has none of its own.
+    """
+    none = F.lit(None).cast("string")
+    group = lambda lang, source, whole, every: F.struct(lang.alias("lang"), source.alias("source"), F.lit(whole).alias("whole"), F.lit(every).alias("every"))
+    judged = [group(F.col("lang"), F.col("source"), False, False), group(F.col("lang"), none, True, False)]
+    passing = stats.filter(~F.col("base_failed"))
+    levels = passing.select("x", F.explode(F.array(*judged)).alias("g"))
     sized = Staged(levels.groupBy("g").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= MIN_GROUP))
     large = F.col("g").eqNullSafe(F.col("large"))
-    rows = Staged(levels.join(sized.for_join(100).select(F.col("g").alias("large")), large, "left_semi"))
+    kept = levels.join(sized.for_join(100).select(F.col("g").alias("large")), large, "left_semi")
+    fitted = sized.df.filter("g.whole").select(F.col("g.lang").alias("fitted"))
+    if not stats.select("lang").distinct().join(fitted, F.col("lang").eqNullSafe(F.col("fitted")), "left_anti").isEmpty():
+        kept = kept.unionByName(passing.select("x", group(none, none, False, True).alias("g")))
+    rows = Staged(kept)
     sized.drop()
     current = Staged(_start(rows.df))
     for _ in range(STEPS):
@@ -185,21 +196,24 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     """Counts, base verdict, squared distance and final verdict of every row of docs(doc_id, text, lang, source).
 
     Null texts have no words and fail the base rule; null lang or source form groups of their
-    own; where neither the group nor its language has MIN_GROUP rows the distance is null and
-    the base verdict stands. Repeated rows are judged alike. Other columns are ignored, an
-    empty table gives an empty result.
+    own; where neither the group nor its language has MIN_GROUP rows that pass the base rules,
+    the estimate of all rows judges. The distance is null only where no row at all passes them.
+    Repeated rows are judged alike. Other columns are ignored, an empty table gives an empty
+    result.
     """
     stats = Staged(base_statistics(docs))
     fitted = estimates(stats.df)
-    own = fitted.df.filter("not g.whole").select(F.col("g.lang").alias("own_lang"), F.col("g.source").alias("own_source"), F.col("centre").alias("c1"), F.col("whitening").alias("w1"))
+    own = fitted.df.filter("not g.whole and not g.every").select(F.col("g.lang").alias("own_lang"), F.col("g.source").alias("own_source"), F.col("centre").alias("c1"), F.col("whitening").alias("w1"))
     whole = fitted.df.filter("g.whole").select(F.col("g.lang").alias("whole_lang"), F.col("centre").alias("c2"), F.col("whitening").alias("w2"))
+    every = F.broadcast(fitted.df.filter("g.every").select(F.col("centre").alias("c3"), F.col("whitening").alias("w3")))
     small = fitted.rows() * 1000 <= 16 << 20
     own, whole = (F.broadcast(own), F.broadcast(whole)) if small else (own, whole)
     judged = (
         stats.df.join(own, F.col("lang").eqNullSafe(F.col("own_lang")) & F.col("source").eqNullSafe(F.col("own_source")), "left")
         .join(whole, F.col("lang").eqNullSafe(F.col("whole_lang")), "left")
-        .withColumn("centre", F.coalesce("c1", "c2"))
-        .withColumn("whitening", F.coalesce("w1", "w2"))
+        .join(every, F.lit(True), "left")
+        .withColumn("centre", F.coalesce("c1", "c2", "c3"))
+        .withColumn("whitening", F.coalesce("w1", "w2", "w3"))
         .withColumn("distance", _squared_distance())
     )
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)

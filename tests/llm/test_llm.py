@@ -123,6 +123,17 @@ def test_concentration_steps_agree_with_numpy_and_reject_outliers(spark, monkeyp
     assert share[1] > 0.97 and share[0] < 0.1
 
 
+def test_languages_of_few_rows_are_judged_by_all_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
+    judged = quality_rules.quality_verdicts(docs).join(labels, "doc_id", "left").toPandas()
+    assert judged.distance.notna().all()
+    share = judged[~judged.base_failed].groupby("quality").kept.mean()
+    assert share[1] > 0.97 and share[0] < 0.1
+    few = quality_rules.quality_verdicts(docs.limit(30)).toPandas()
+    assert len(few) == 30 and few.distance.notna().all()
+
+
 def test_losses_agree_with_plain_counting(spark):
     rng = random.Random(1)
     texts = [" ".join(rng.choice("a b c d e the of and".split()) for _ in range(rng.randint(0, 60))) for _ in range(60)]
