@@ -32,8 +32,8 @@ SHARE = 0.75
 STEPS = 4
 #: A group of fewer rows is judged by its language's estimate; a language of fewer by that of all rows.
 MIN_GROUP = 200
-#: Standard deviations below which a statistic's spread isn't taken to shrink.
-FLOOR_SD = (0.9, 0.08, 0.25, 0.4, 0.4, 0.15, 0.2)
+#: Standard deviations below which a statistic's spread isn't taken to shrink. No base rule looks at repeated lines, so a share near 1 alone must pass CUTOFF: (asinh(9) / 0.3)^2 = 93.
+FLOOR_SD = (0.9, 0.08, 0.25, 0.4, 0.3, 0.15, 0.2)
 #: Squared distance; far beyond the 0.9999 quantile of chi-square with 7 degrees (29.9), since lengths have long tails.
 CUTOFF = 80.0
 STATS = len(FLOOR_SD)

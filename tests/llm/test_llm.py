@@ -134,6 +134,18 @@ def test_languages_of_few_rows_are_judged_by_all_rows(spark):
     assert len(few) == 30 and few.distance.notna().all()
 
 
+def test_repeated_lines_alone_reject_a_text(spark):
+    """Lines of one word in changing order: nearly all lines repeat, hardly a window of five words does."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
+    rng = random.Random(3)
+    common = Counter(w for r in docs.filter("lang = 'en'").limit(50).collect() for w in r.text.split() if w.isalpha() and w.islower())
+    menu = [w for w, _ in common.most_common(60) if 4 <= len(w) <= 8][:12]
+    text = "\n".join(rng.choice(menu) for _ in range(150))
+    made = spark.createDataFrame([(-1, text, "en", docs.filter("lang = 'en'").first().source)], docs.schema)
+    row = quality_rules.quality_verdicts(docs.unionByName(made)).filter("doc_id = -1").first()
+    assert row.n_dup_lines > 0.9 * 150 and not row.base_failed and not row.kept, row
+
+
 def test_losses_agree_with_plain_counting(spark):
     rng = random.Random(1)
     texts = [" ".join(rng.choice("a b c d e the of and".split()) for _ in range(rng.randint(0, 60))) for _ in range(60)]
