@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 
 #: Bytes of text taken at a time; a longer text makes a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+#: Bytes hashed at a time, also of one long word.
+SLICE_BYTES = 1 << 17
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -53,6 +56,7 @@ def finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+@lru_cache(maxsize=4)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers from 0 on, and their inverses modulo 2^64."""
     both = []
@@ -63,12 +67,37 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
+def _polynomials(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of every word the sum of its bytes' values times powers of the base: differences of a running sum, brought back to position 0."""
+    powers, inverses = _powers(2 * SLICE_BYTES)
+    n = len(data)
+    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUES[data] * powers[:n])])
+    return (running[ends] - running[starts]) * inverses[starts]
+
+
+def _long_word(data: np.ndarray) -> np.uint64:
+    total, factor = 0, 1
+    for a in range(0, len(data), SLICE_BYTES):
+        part = data[a : a + SLICE_BYTES]
+        total += int(_polynomials(part, np.array([0]), np.array([len(part)]))[0]) * factor
+        factor = factor * pow(_BASE, SLICE_BYTES, 2**64) % 2**64
+    return np.uint64(total % 2**64)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word: differences of a running polynomial over the bytes, brought back to position 0."""
-    powers, inverses = _powers(len(data))
-    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUES[data] * powers)])
-    own = (running[ends] - running[starts]) * inverses[starts]
-    return finish(own + (ends - starts).astype(np.uint64))
+    """64-bit hash of every word, a slice of the bytes at a time."""
+    own = np.zeros(len(starts), np.uint64)
+    lengths = ends - starts
+    long_ = lengths > SLICE_BYTES
+    for i in np.flatnonzero(long_).tolist():
+        own[i] = _long_word(data[starts[i] : ends[i]])
+    short = np.flatnonzero(~long_)
+    piece = starts[short] // SLICE_BYTES
+    for some in np.split(short, np.flatnonzero(np.diff(piece)) + 1):
+        if len(some):
+            first = starts[some[0]]
+            own[some] = _polynomials(data[first : ends[some[-1]]], starts[some] - first, ends[some] - first)
+    return finish(own + lengths.astype(np.uint64))
 
 
 def combine(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -81,10 +110,15 @@ def windows(words: np.ndarray, length: int) -> np.ndarray:
 
     Differences of a running polynomial over the words, brought back to position 0.
     """
-    n = max(0, len(words) - length + 1)
-    powers, inverses = _powers(len(words))
-    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers)])
-    return finish((running[length : length + n] - running[:n]) * inverses[:n])
+    powers, inverses = _powers(2 * SLICE_BYTES)
+    found = []
+    step = len(powers) - length + 1
+    for a in range(0, len(words) - length + 1, step):
+        part = words[a : a + step + length - 1]
+        n = len(part) - length + 1
+        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * powers[: len(part)])])
+        found.append(finish((running[length : length + n] - running[:n]) * inverses[:n]))
+    return np.concatenate([np.zeros(0, np.uint64), *found])
 
 
 def pack(values: np.ndarray) -> bytes:
