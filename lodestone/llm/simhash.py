@@ -4,9 +4,9 @@ A text's fingerprint has a bit set where more than half of its shingle hashes ha
 bits form a ring of SEGMENTS segments. If two fingerprints differ in at most MAX_BITS bits,
 there is a segment from which every chain of l consecutive segments differs in at most
 l * MAX_BITS / SEGMENTS bits (the pigeonhole principle on a ring, in its strong form). With
-8 segments and 2 bits the first three must agree and the first seven differ in at most one
-bit. So fingerprints meet in 8 tables keyed by three consecutive segments, the chain's budget
-prunes pairs, and the full Hamming distance decides.
+16 segments and 2 bits the first seven must agree and the first fifteen differ in at most one
+bit. So fingerprints meet in 16 tables keyed by seven consecutive segments, 28 bits, the chain's
+budget prunes pairs, and the full Hamming distance decides.
 
 Only distinct fingerprints meet, so copies make no pairs. Where more than PAIRWISE of them
 share a key, pairs would grow with the square; there the links come from meeting points: two
@@ -17,6 +17,9 @@ exact. A key with more than SPREAD fingerprints does the same as a distributed a
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,36 +27,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.staging import Staged
+from lodestone.llm.staging import Staged, in_small_batches, without_repeats
 from lodestone.llm.wordbytes import blocks, texts_of
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 2
-SEGMENTS = 8
+SEGMENTS = 16
 SEGMENT_BITS = 64 // SEGMENTS
 #: Leading segments of a chain whose budget is below one bit.
 AGREEING = -(-SEGMENTS // MAX_BITS) - 1
 KEY_BITS = AGREEING * SEGMENT_BITS
 PAIRWISE = 64
 SPREAD = 1 << 20
+#: Rows of the tables that one task links.
+TASK_ROWS = 1 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_UNPACK_ROWS = 1 << 17
-
-
-def shingle_hashes(text: bytes) -> list[int]:
-    words = text.translate(_LOWER).split()
-    if not words:
-        return []
-    joined = b" ".join(words)
-    if len(words) <= SHINGLE:
-        return [xxhash.xxh64_intdigest(joined, SEED)]
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    starts = np.cumsum(lengths + 1) - lengths - 1
-    ends = starts[SHINGLE - 1 :] + lengths[SHINGLE - 1 :]
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_UNPACK_ROWS = 1 << 16
+#: Bytes of a text of which shingles are made at a time.
+PART_BYTES = 1 << 17
+
+
+def shingle_hashes(text: bytes) -> Iterator[np.ndarray]:
+    """Hashes of the text's shingles, some words at a time."""
     digest = xxhash.xxh64_intdigest
-    return [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=False)]
+    words, done = [], False
+    for part in _parts(text):
+        words += part.translate(_LOWER).split()
+        if len(words) < SHINGLE:
+            continue
+        done = True
+        joined = b" ".join(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        ends = starts[SHINGLE - 1 :] + lengths[SHINGLE - 1 :]
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=False)], np.uint64)
+        words = words[-(SHINGLE - 1) :] if SHINGLE > 1 else []
+    if words and not done:
+        yield np.array([digest(b" ".join(words), SEED)], np.uint64)
+
+
+def _parts(text: bytes) -> Iterator[bytes]:
+    """The text in pieces of about PART_BYTES that end where a word does."""
+    a = 0
+    while a < len(text):
+        end = _SPACE.search(text, a + PART_BYTES)
+        b = end.start() if end else len(text)
+        yield text[a:b]
+        a = b
 
 
 def fingerprints(texts: list[bytes]) -> np.ndarray:
@@ -75,14 +98,14 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
         rows = 0
 
     for i, text in enumerate(texts):
-        hashes = np.array(shingle_hashes(text), np.uint64)
-        sizes[i] = len(hashes)
-        for k in range(0, len(hashes), _UNPACK_ROWS):
-            held.append(hashes[k : k + _UNPACK_ROWS])
-            owners.append(i)
-            rows += len(held[-1])
-            if rows >= _UNPACK_ROWS:
-                flush()
+        for hashes in shingle_hashes(text):
+            sizes[i] += len(hashes)
+            for k in range(0, len(hashes), _UNPACK_ROWS):
+                held.append(hashes[k : k + _UNPACK_ROWS])
+                owners.append(i)
+                rows += len(held[-1])
+                if rows >= _UNPACK_ROWS:
+                    flush()
     flush()
     return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
@@ -98,7 +121,7 @@ def fingerprint_rows(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return in_small_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, fp long")
 
 
 def tables(distinct: DataFrame) -> DataFrame:
@@ -175,6 +198,7 @@ def _forest(a: np.ndarray, b: np.ndarray, members: np.ndarray) -> tuple[np.ndarr
 
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): links that connect exactly what pairs at most MAX_BITS apart connect; about as many as fingerprints."""
+    spark = distinct.sparkSession
     keyed = Staged(tables(distinct))
     heavy = Staged(keyed.df.groupBy("at", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPREAD).select("at", "key"))
     some = heavy.rows() > 0
@@ -187,7 +211,8 @@ def links(distinct: DataFrame) -> DataFrame:
             a, b = local_links(at, key, fp.astype(np.int64).view(np.uint64))
             yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    found = rows.repartition(F.col("at"), F.col("key")).mapInArrow(run, "a long, b long")
+    tasks = max(1, -(-keyed.rows() // TASK_ROWS))
+    found = rows.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.col("at"), F.col("key")).mapInArrow(run, "a long, b long")
     if some:
         ball = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.expr("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
         points = keyed.df.join(heavy.for_join(24), ["at", "key"], "left_semi").select("fp").distinct().select("fp", F.explode(ball).alias("point"))
@@ -196,6 +221,18 @@ def links(distinct: DataFrame) -> DataFrame:
     return found
 
 
+def classes(prints: DataFrame) -> Staged:
+    """(fp, component_id, first): every distinct fingerprint of prints(doc_id, fp), the least doc_id its links reach, and the least fingerprint that has it."""
+    distinct = Staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    grouped = components(links(distinct.df))
+    rooted = distinct.df.join(grouped.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    of = F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc_id"), "fp")
+    ids = rooted.groupBy("root").agg(F.min(of).alias("of")).select("root", F.col("of.doc_id").alias("component_id"), F.col("of.fp").alias("first"))
+    found = Staged(rooted.join(ids, "root").select("fp", "component_id", "first"))
+    distinct.drop()
+    return found
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable over links) of every row.
 
@@ -205,17 +242,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     is in it. Other columns are ignored, an empty table gives an empty result.
     """
     prints = Staged(fingerprint_rows(docs))
-    distinct = Staged(prints.df.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    grouped = components(links(distinct.df))
-    rooted = distinct.df.join(grouped.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = Staged(rooted.join(ids, "root").select("fp", "component_id"))
-    distinct.drop()
-    joined = prints.df.join(classes.df, "fp")
+    joined = prints.df.join(classes(prints.df).df, "fp")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their group of near duplicates (the smallest doc_id), all columns."""
-    stays = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stays")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__stays")), "left_semi")
+    """One row of docs for each group of near duplicates, all columns: that of the smallest doc_id (null ones last).
+
+    A row is known by its doc_id, text and fingerprint: of rows that share the smallest doc_id
+    the one of the least fingerprint stays, of rows that repeat all three the one of the least
+    hash over all columns. Null and empty texts are one group. An empty table gives an empty result.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            found = [fingerprints(texts_of(batch.column("text")))]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("__row"), pa.array(found[0].view(np.int64))], names=["doc_id", "__row", "fp"])
+
+    marked = docs.withColumn("__row", F.xxhash64(*docs.columns))
+    prints = Staged(in_small_batches(marked.select("doc_id", "__row", "text"), run, f"doc_id {kind}, __row long, fp long"))
+    stands = classes(prints.df)
+    first = prints.df.join(stands.df.filter("fp = first"), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stays = first.groupBy("first").agg(F.min("__row").alias("__row"), F.first("doc_id").alias("doc_id")).select(F.col("doc_id").alias("__stays"), F.col("__row").alias("__stays_row"))
+    met = marked.join(stays, F.col("doc_id").eqNullSafe(F.col("__stays")) & (F.col("__row") == F.col("__stays_row")), "left_semi")
+    return without_repeats(met, ["doc_id", "__row"]).drop("__row")
