@@ -4,18 +4,20 @@ The index of a set of texts is what inserting them one by one leaves behind: a d
 2^depth slots over the leading bits of a 64-bit key, buckets that were split (doubling the
 directory where needed) as long as they held more than `capacity` entries, and in each bucket
 a chain of entries for every key. That end state depends on the keys alone, so it is computed
-in three steps instead of by insertion:
+in four steps instead of by insertion:
 
-* entries: texts are grouped by (key, bytes) with combination before the shuffle, so a text
-  copied a billion times reaches its reducer once per map task, and texts that merely share a
-  key stay apart because their bytes are compared;
+* keys: every text is read once for its key and digest; only these travel;
+* entries: a key that one document has is an entry as it is. Where a key repeats the texts
+  themselves are grouped by (key, bytes), with combination before the shuffle, so a text copied
+  a billion times reaches its reducer once per map task, and texts that merely share a key stay
+  apart because their bytes are compared;
 * directory: counts by key prefix are rolled up over all depths; a prefix is a bucket if it
-  fits while its parent overflowed;
-* buckets: entries are range-partitioned by (slot, key), so each owner task writes one key
+  fits while its parent overflowed, and it is the target of 2^(depth - its own depth) slots;
+* buckets: entries are range-partitioned by (bucket, key), so each owner task writes one key
   range, and get their place in their key's chain.
 
-A document finds its entry by key. Where a chain has one entry it can only be the document's
-own text (every text was inserted); where it has several, bytes are compared again.
+A document finds its entry through the directory: the leading bits of its key name a slot, the
+slot a bucket, and in the bucket the key a chain, along which digests are compared.
 """
 
 from __future__ import annotations
@@ -50,37 +52,55 @@ def prefix(key: Column, depth: int) -> Column:
 
 @dataclass
 class ExtendibleIndex:
-    """`buckets`: slot, depth, key, position and length of the chain, keep_id, group_size, text_sha256."""
+    """`slots`: slot, bucket. `buckets`: bucket, key, position and length of the chain, keep_id, group_size, text_sha256.
 
+    `keyed` has doc_id, key and text_sha256 of the indexed rows.
+    """
+
+    keyed: Staged
+    slots: Staged
     buckets: Staged
     depth: int
     key_bits: int
 
 
+def keys_of(docs: DataFrame, key_bits: int) -> DataFrame:
+    """doc_id, key and text_sha256 of docs(doc_id, text)."""
+    rows = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
+    return rows.select("doc_id", hash_key(F.col("norm"), key_bits).alias("key"), F.sha2("norm", 256).alias("text_sha256"))
+
+
 def build_index(docs: DataFrame, capacity: int = BUCKET_CAPACITY, key_bits: int = 64) -> ExtendibleIndex:
     """Index of the texts of docs(doc_id, text); null texts count as empty, an empty table gives an empty index."""
-    rows = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
-    entries = Staged(
-        rows.groupBy(hash_key(F.col("norm"), key_bits).alias("key"), "norm")
+    keyed = Staged(keys_of(docs, key_bits))
+    of_key = Staged(keyed.df.groupBy("key").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.min("text_sha256").alias("text_sha256")))
+    repeated = Staged(of_key.df.filter("group_size > 1").select("key"))
+    texts = docs.select("doc_id", normalised(F.col("text")).alias("norm")).withColumn("key", hash_key(F.col("norm"), key_bits))
+    compared = (
+        texts.join(repeated.for_join(16), "key", "left_semi")
+        .groupBy("key", "norm")
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .select("key", "keep_id", "group_size", F.sha2("norm", 256).alias("text_sha256"))
     )
+    entries = Staged(of_key.df.filter("group_size = 1").select("key", "keep_id", "group_size", "text_sha256").unionByName(compared))
     deepest = min(key_bits, max(0, math.ceil(math.log2(max(1, entries.rows() / capacity)))) + EXTRA_DEPTH)
     directory = _directory(entries.df, capacity, deepest)
     depth = directory.df.agg(F.max("depth")).first()[0] or 0
     span = F.expr(f"shiftleft(1L, {depth} - depth)")
-    slots = directory.df.select("depth", F.explode(F.sequence(F.col("prefix") * span, (F.col("prefix") + 1) * span - 1)).alias("slot"))
-    in_chain = W.partitionBy("slot", "key")
+    bucket = (F.col("prefix") * span).alias("bucket")
+    slots = Staged(directory.df.select(bucket, F.explode(F.sequence(F.col("prefix") * span, (F.col("prefix") + 1) * span - 1)).alias("slot")))
+    in_chain = W.partitionBy("bucket", "key")
     buckets = Staged(
         entries.df.withColumn("slot", prefix(F.col("key"), depth))
-        .join(slots, "slot")
-        .repartitionByRange("slot", "key")
+        .join(slots.for_join(24), "slot")
+        .drop("slot")
+        .repartitionByRange("bucket", "key")
         .withColumn("position", F.row_number().over(in_chain.orderBy("keep_id", "text_sha256")))
         .withColumn("chain", F.count(F.lit(1)).over(in_chain))
     )
-    entries.drop()
-    directory.drop()
-    return ExtendibleIndex(buckets, depth, key_bits)
+    for old in (of_key, repeated, entries, directory):
+        old.drop()
+    return ExtendibleIndex(keyed, slots, buckets, depth, key_bits)
 
 
 def _directory(entries: DataFrame, capacity: int, deepest: int) -> Staged:
@@ -98,18 +118,10 @@ def _directory(entries: DataFrame, capacity: int, deepest: int) -> Staged:
     return Staged(fits.filter("depth = 0").unionByName(below).select("depth", "prefix"))
 
 
-def look_up(docs: DataFrame, index: ExtendibleIndex) -> DataFrame:
-    """The entry of every document's text: doc_id, keep_id, group_size, kept, text_sha256."""
-    keyed = docs.select("doc_id", normalised(F.col("text")).alias("norm")).withColumn("key", hash_key(F.col("norm"), index.key_bits))
-    entry = ["key", "keep_id", "group_size", "text_sha256"]
-    alone = index.buckets.df.filter("chain = 1").select(entry)
-    found = keyed.select("doc_id", "key").join(alone, "key")
-    if not index.buckets.df.filter("chain > 1").isEmpty():
-        chained = index.buckets.df.filter("chain > 1").select("key").distinct()
-        texts = keyed.join(chained, "key", "left_semi")
-        own = texts.groupBy("key", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        byte_equal = texts.join(own, ["key", "norm"]).select("doc_id", "key", "keep_id", "group_size", F.sha2("norm", 256).alias("text_sha256"))
-        found = found.unionByName(byte_equal)
+def look_up(keyed: DataFrame, index: ExtendibleIndex) -> DataFrame:
+    """What the index holds of keyed(doc_id, key, text_sha256): doc_id, keep_id, group_size, kept, text_sha256."""
+    routed = keyed.withColumn("slot", prefix(F.col("key"), index.depth)).join(index.slots.for_join(24), "slot")
+    found = routed.join(index.buckets.df.select("bucket", "key", "text_sha256", "keep_id", "group_size"), ["bucket", "key", "text_sha256"])
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
@@ -121,7 +133,8 @@ def exact_dedup(docs: DataFrame, capacity: int = BUCKET_CAPACITY, key_bits: int
     alone; null doc_ids stay only where no row of the group has one. Columns other than
     doc_id and text are ignored, an empty table gives an empty result.
     """
-    return look_up(docs, build_index(docs, capacity, key_bits))
+    index = build_index(docs, capacity, key_bits)
+    return look_up(index.keyed.df, index)
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
