@@ -8,7 +8,7 @@ not taken. Sorting by that time gives the training order.
 
 Cumulative words are two-level sums: running sums inside hash ranges of bounded size, and over
 the ranges' totals, so one source with a third of all rows is spread over as many tasks as it
-has ranges.
+has ranges. Sources are ranked and their targets levelled by windows over one row a source.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from lodestone.llm.staging import Staged, without_repeats
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
-#: Rows of a source that are summed in one range.
-RANGE_ROWS = 1 << 12
+#: Rows of a source that are summed in one range; a source has as many ranges as its own rows ask for.
+RANGE_ROWS = 1 << 9
 
 
 def words_of(text: Column) -> Column:
@@ -71,12 +71,13 @@ def placed(sizes: DataFrame) -> DataFrame:
     The order is by md5 of doc_id (null ones last), then doc_id and size.
     """
     rank = F.md5(F.col("doc_id").cast("string"))
-    per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
-    sources = Staged(per_source)
-    most = sources.df.agg(F.max("rows")).first()[0] or 1
-    bits = min(32, max(0, math.ceil(math.log2(max(1, most / RANGE_ROWS)))))
-    cut = F.shiftrightunsigned(F.conv(F.substring(rank, 1, 8), 16, 10).cast("long"), 32 - bits)
-    lined = sizes.withColumn("rank", rank).withColumn("range", F.coalesce(cut, F.lit(1 << bits).cast("long")))
+    sources = Staged(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")))
+    bits = F.least(F.lit(32), F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / RANGE_ROWS)))).cast("int")
+    cuts = Staged(sources.df.select(F.col("source").alias("of"), bits.alias("bits"))).for_join(200)
+    leading = F.conv(F.substring("rank", 1, 8), 16, 10).cast("long")
+    cut = F.call_function("shiftrightunsigned", leading, 32 - F.col("bits"))
+    ranked = sizes.withColumn("rank", rank).join(cuts, F.col("source").eqNullSafe(F.col("of")))
+    lined = ranked.withColumn("range", F.coalesce(cut, F.lit(1 << 32).cast("long"))).drop("of", "bits")
     upto = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     ranges = lined.groupBy("source", "range").agg(F.sum("size").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(upto), F.lit(0)))
     goals = targets(sources.df.select("source", "source_size"))
@@ -92,7 +93,7 @@ def placed(sizes: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken and position (time of the first copy) of every row of docs.
+    """doc_id, size, source_size, target, copies, taken and position (time of the first copy, null if none is taken) of every row of docs.
 
     Null texts have size 0 and are taken 0 words; a null source is a source of its own, last in
     the order. A source without words has target 0. Repeated rows are separate documents that

@@ -89,8 +89,9 @@ def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document in the order of its position in training; the columns are those of the SQL."""
-    return mixing.in_training_order(mixing.mix(table(spark, sf_dir, "documents"))).drop("copies", "position")
+    """Every document, range-sorted by its position in training (0 to 1); those that the mix doesn't take come last."""
+    found = mixing.in_training_order(mixing.mix(table(spark, sf_dir, "documents")))
+    return found.withColumn("position", F.round("position", 9))
 
 
 OP10_SQL = r"""
@@ -98,27 +99,30 @@ WITH sizes AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM sources),
-weighed AS (SELECT *, CAST(k % 3 + 1 AS BIGINT) AS weight, 3 * source_size AS most FROM ranked),
+weighed AS (SELECT *, CAST(k % 3 + 1 AS BIGINT) AS weight, CAST((k % 3 - 1) / 2 AS DOUBLE) AS tilt, 3 * source_size AS most FROM ranked),
 levels AS (
   SELECT *, (CAST(sum(source_size) OVER () AS BIGINT)
              - CAST(coalesce(sum(most) OVER (ORDER BY most / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT))
             / CAST(sum(weight) OVER (ORDER BY most / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS level
   FROM weighed),
 goals AS (
-  SELECT source, source_size,
+  SELECT source, source_size, tilt,
          CASE WHEN most <= level * weight THEN CAST(most AS DOUBLE)
               ELSE (SELECT level FROM levels WHERE most > level * weight ORDER BY most / weight, k LIMIT 1) * weight END AS target
   FROM levels),
 lined AS (
-  SELECT s.*, g.source_size, g.target,
+  SELECT s.*, g.source_size, g.target, g.tilt,
          CAST(coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, size
                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins
   FROM sizes s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-       size * ((CASE WHEN 2 * begins + size < 2 * target THEN 1 ELSE 0 END)
-             + (CASE WHEN 2 * (source_size + begins) + size < 2 * target THEN 1 ELSE 0 END)
-             + (CASE WHEN 2 * (2 * source_size + begins) + size < 2 * target THEN 1 ELSE 0 END)) AS taken
-FROM lined
+SELECT doc_id, size, source_size, target, copies, size * copies AS taken,
+       CASE WHEN copies > 0 AND target > 0 THEN
+         round(2 * share / (1 - tilt + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * share)), 9) END AS position
+FROM (SELECT *, CAST((CASE WHEN 2 * begins + size < 2 * target THEN 1 ELSE 0 END)
+                   + (CASE WHEN 2 * (source_size + begins) + size < 2 * target THEN 1 ELSE 0 END)
+                   + (CASE WHEN 2 * (2 * source_size + begins) + size < 2 * target THEN 1 ELSE 0 END) AS BIGINT) AS copies,
+             CASE WHEN target > 0 THEN least(1.0, begins / target) END AS share
+      FROM lined)
 """
 
 QUERIES = {
