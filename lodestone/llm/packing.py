@@ -1,10 +1,13 @@
 """Best-fit packing into bins of several permitted sequence lengths.
 
-Texts are cut into pieces of at most the greatest length. Pieces are dealt by hash into groups
-of bounded size; each group is packed by best-fit decreasing: the longest piece first, into the
-open bin that it leaves with the least room. Where none fits, a bin is opened of the permitted
-length whose cost per word is least, given the words that are still to come; at the end each
-bin shrinks to the least permitted length that holds its contents.
+Texts are cut into pieces of at most the greatest length. Pieces are dealt into groups of
+bounded size. A group is packed by best-fit decreasing: the longest piece first, into the open
+bin that it leaves with the least room; where none fits, a bin of the least-cost length is
+opened; at the end each bin shrinks to the least permitted length that holds its contents.
+
+Which lengths may be opened is optimised for all of them together: a group is packed once for
+every set of permitted lengths that holds the greatest one, and the packing whose bins cost
+least after shrinking is kept.
 
 A bin of c words costs OVERHEAD + c + c * c / QUADRATIC: a fixed part, a linear one, and one for
 attention over all pairs.
@@ -12,6 +15,8 @@ attention over all pairs.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,13 +36,13 @@ def cost(length: int) -> float:
     return OVERHEAD + length + length * length / QUADRATIC
 
 
-def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
-    """Sizes, longest first -> each one's bin and offset, and the length of each bin."""
-    costs = [(c, cost(c)) for c in sorted(lengths)]
+def best_fit(sizes: list[int], opening: tuple[int, ...], lengths: tuple[int, ...]) -> tuple[list[int], list[int], list[int]]:
+    """Sizes, longest first -> each one's bin and offset, and the length of each bin; bins are opened in the lengths `opening`."""
+    costs = [(c, cost(c)) for c in sorted(opening)]
     most = costs[-1][0]
     with_room: list[list[int]] = [[] for _ in range(most + 1)]
     rooms = 0  # bit r is set if a bin has room r
-    used, opened, bins, offsets = [], [], [], []
+    used, bins, offsets = [], [], []
     to_come = sum(sizes)
     for size in sizes:
         fitting = rooms >> size
@@ -50,7 +55,6 @@ def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int
             room = min((price / max(1, min(c, to_come)), c) for c, price in costs if c >= size)[1]
             b = len(used)
             used.append(0)
-            opened.append(room)
         bins.append(b)
         offsets.append(used[b])
         used[b] += size
@@ -58,7 +62,23 @@ def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int
         with_room[left].append(b)
         rooms |= 1 << left
         to_come -= size
-    return bins, offsets, [next(c for c, _ in costs if c >= u) for u in used]
+    return bins, offsets, [next(c for c in sorted(lengths) if c >= u) for u in used]
+
+
+def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
+    """What best_fit() returns for the set of lengths whose bins cost least together; the first such set, the larger ones first."""
+    most = max(lengths)
+    rest = sorted(set(lengths) - {most})
+    sets = [(*some, most) for n in range(len(rest), -1, -1) for some in combinations(rest, n)]
+    found = (best_fit(sizes, some, lengths) for some in sets)
+    return min(found, key=lambda f: sum(map(cost, f[2])))
+
+
+def fill(rows: DataFrame) -> DataFrame:
+    """What packed() returns -> bin_length, bins, words and fill (the share of the bins' places that hold a word) of each length."""
+    bins = rows.groupBy("bin").agg(F.first("bin_length").alias("bin_length"), F.sum("n_words").alias("words"))
+    whole = bins.groupBy("bin_length").agg(F.count(F.lit(1)).alias("bins"), F.sum("words").alias("words"))
+    return whole.withColumn("fill", F.col("words") / (F.col("bins") * F.col("bin_length")))
 
 
 def packed(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
@@ -67,10 +87,12 @@ def packed(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
     doc_id, piece (from 0), first_word, n_words, bin, bin_length, bin_words and position (the
     piece's first word in the bin). Words are runs of other characters than white space. Null
     texts and texts without words are one piece of 0 words and sit in some bin. Repeated rows
-    are packed once each. Other columns are ignored, an empty table gives an empty result.
+    are packed once each. Rows are dealt to groups by doc_id and their place in the table, so
+    repeated ones don't share a group. Other columns are ignored, an empty table gives an empty
+    result.
     """
     most = max(lengths)
-    sizes = Staged(docs.select("doc_id", words_of(F.col("text")).alias("words"), F.xxhash64("doc_id", "text").alias("hash")))
+    sizes = Staged(docs.select("doc_id", words_of(F.col("text")).alias("words"), F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("hash")))
     groups = max(1, -(-sizes.rows() // GROUP_ROWS))
     last = F.greatest(F.ceil(F.col("words") / most) - 1, F.lit(0)).cast("int")
     pieces = sizes.df.select("doc_id", "words", "hash", F.posexplode(F.sequence(F.lit(0), last)).alias("piece", "_")).select(
