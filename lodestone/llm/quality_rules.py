@@ -1,25 +1,30 @@
 """Quality rules: robust multivariate outliers. DataFrame operations only.
 
-Every text becomes a vector of transformed statistics. For each (lang, source), each lang for
-groups too small to stand alone, and all rows together for languages too small for that, a
-minimum-covariance-determinant estimate is fitted: from
-a start by medians and median deviations, concentration steps take the mean and covariance of
-the `SHARE` of rows that are nearest under the last estimate, until the steps are through. A
-document goes if its squared Mahalanobis distance exceeds the cutoff.
-
-Everything is aggregated with combination before the shuffle, and ranks come from counts in
-fixed-width bins, so a source that holds a third of all rows loads no single task. The
-regularised covariance (a floor on each variance) keeps statistics that are constant in clean
-text, such as a share of symbols that is nearly always 0, from giving a singular estimate.
+Every text becomes a vector of transformed statistics. For each (lang, source), each lang and
+all rows a minimum-covariance-determinant estimate is fitted: from several starts, one by
+medians and median deviations and others by a few rows of least hash, concentration steps take
+the mean and covariance of the SHARE of rows that are nearest under the last estimate. After
+FIRST_STEPS of them the start of least determinant goes on, until determinants stay. A group's
+estimate is pooled with its language's, and that with the whole's, by numbers of rows, so a
+group of any size is judged. A document goes if its squared Mahalanobis distance, made
+consistent for normal data, exceeds the chi-square quantile.
+
+A step is one pass: counts, sums and products are added up by group and bin of distance, with
+combination before the shuffle, and the nearest SHARE are the first bins. So a source that holds
+a third of all rows loads no single task. Pivots of the covariance's Cholesky factor have floors,
+as statistics that are constant in clean text, such as a share of symbols that is nearly always 0,
+would give a singular estimate.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.staging import Staged, let
+from lodestone.llm.staging import BROADCAST_BYTES, Staged, let
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -29,14 +34,42 @@ MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 #: Rows nearest to the centre that an estimate uses.
 SHARE = 0.75
-STEPS = 4
-#: A group of fewer rows is judged by its language's estimate; a language of fewer by that of all rows.
-MIN_GROUP = 200
-#: Standard deviations below which a statistic's spread isn't taken to shrink. No base rule looks at repeated lines, so a share near 1 alone must pass CUTOFF: (asinh(9) / 0.3)^2 = 93.
-FLOOR_SD = (0.9, 0.08, 0.25, 0.4, 0.3, 0.15, 0.2)
-#: Squared distance; far beyond the 0.9999 quantile of chi-square with 7 degrees (29.9), since lengths have long tails.
-CUTOFF = 80.0
+STARTS = 3
+#: Rows of a start by hash, about.
+START_ROWS = 16
+FIRST_STEPS = 2
+#: Steps end when no logarithm of a determinant moves by more, or after MOST_STEPS.
+SETTLED = 0.01
+MOST_STEPS = 15
+#: Rows that a language's estimate weighs in its groups', and that of all rows in a language's.
+POOL = 200
+#: Standard deviations, given the statistics before, below which a statistic's spread isn't taken to shrink. No base rule looks at repeated lines, so a share near 1 alone must pass CUTOFF.
+FLOOR_SD = (0.6, 0.06, 0.2, 0.4, 0.3, 0.12, 0.15)
 STATS = len(FLOOR_SD)
+#: Share of normal data beyond the cutoff.
+TAIL = 1e-6
+
+
+def chi_square_tail(x: float, degrees: int) -> float:
+    """Share of the chi-square distribution beyond x, for odd degrees."""
+    total, term = 0.0, math.sqrt(x)
+    for k in range(1, degrees - 1, 2):
+        total += term
+        term *= x / (k + 2)
+    return math.erfc(math.sqrt(x / 2)) + math.sqrt(2 / math.pi) * math.exp(-x / 2) * total
+
+
+def chi_square_quantile(tail: float, degrees: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square_tail(middle, degrees) > tail else (low, middle)
+    return low
+
+
+CUTOFF = chi_square_quantile(TAIL, STATS)
+#: By how much the covariance of the nearest SHARE of normal rows falls short of that of all.
+CONSISTENCY = SHARE / (1 - chi_square_tail(chi_square_quantile(1 - SHARE, STATS), STATS + 2))
 
 
 def repeated_words(words: Column) -> Column:
@@ -117,104 +150,131 @@ def _ranked(values: DataFrame, keys: list[str], value: str, width: float, share:
     return reached.groupBy(*keys).agg(((F.min("bin") + 1) * width).alias(name))
 
 
+_PAIRS = [(i, j) for i in range(STATS) for j in range(i + 1)]
+_MOMENTS = ["n", *[f"s{i}" for i in range(STATS)], *[f"s{i}_{j}" for i, j in _PAIRS]]
+
+
+def _sum(terms: list[str]) -> str:
+    return " + ".join(terms) if terms else "0.0D"
+
+
 def _squared_distance() -> Column:
-    """|whitening (x - centre)|^2; whitening has the rows of the inverse Cholesky factor one after another."""
-    rows = []
-    for i in range(STATS):
-        rows.append(sum((F.col("whitening")[i * STATS + j] * (F.col("x")[j] - F.col("centre")[j]) for j in range(i + 1)), F.lit(0.0)))
-    return sum((row * row for row in rows), F.lit(0.0))
-
-
-def _whitened(moments: DataFrame) -> DataFrame:
-    """centre and whitening from count n, sums s_i and products s_i_j of each group."""
-    means = moments.select("g", "n", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(STATS)], *[f"s{i}_{j}" for i in range(STATS) for j in range(i + 1)])
-    cov = means.select("g", *[f"m{i}" for i in range(STATS)], *[(F.col(f"s{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") + (FLOOR_SD[i] ** 2 if i == j else 0)).alias(f"c{i}_{j}") for i in range(STATS) for j in range(i + 1)])
-    low = cov
-    for i in range(STATS):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}_{j}") - sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0))
-            low = low.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}_{j}"))
-    for j in range(STATS):
-        for i in range(j, STATS):
-            value = 1 / F.col(f"l{i}_{i}") if i == j else -sum((F.col(f"l{i}_{k}") * F.col(f"w{k}_{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l{i}_{i}")
-            low = low.withColumn(f"w{i}_{j}", value)
-    return low.select("g", F.array(*[F.col(f"m{i}") for i in range(STATS)]).alias("centre"), F.array(*[F.col(f"w{i}_{j}") if j <= i else F.lit(0.0) for i in range(STATS) for j in range(STATS)]).alias("whitening"))
-
-
-def _moments(rows: DataFrame) -> DataFrame:
-    x = [F.col("x")[i] for i in range(STATS)]
-    return rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(STATS)], *[F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i in range(STATS) for j in range(i + 1)])
-
-
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians as the centre, scaled median deviations as a diagonal scatter."""
+    """|whitening (x - centre)|^2; whitening is the inverse Cholesky factor's lower triangle, row by row."""
+    rows = [_sum([f"whitening[{i * (i + 1) // 2 + j}] * (x[{j}] - centre[{j}])" for j in range(i + 1)]) for i in range(STATS)]
+    return F.expr(_sum([f"pow({row}, 2)" for row in rows]))
+
+
+def _sums(rows: DataFrame, *by: str) -> DataFrame:
+    sums = ["count(1) AS n", *[f"sum(x[{i}]) AS s{i}" for i in range(STATS)], *[f"sum(x[{i}] * x[{j}]) AS s{i}_{j}" for i, j in _PAIRS]]
+    return rows.groupBy(*by).agg(*map(F.expr, sums))
+
+
+def _covered(sums: DataFrame, *keys: str) -> DataFrame:
+    """n, centre (array) and scatter (the covariance's lower triangle, row by row) from sums."""
+    centre = ", ".join(f"s{i} / n" for i in range(STATS))
+    scatter = ", ".join(f"s{i}_{j} / n - s{i} / n * (s{j} / n)" for i, j in _PAIRS)
+    return sums.selectExpr(*keys, "n", f"array({centre}) AS centre", f"array({scatter}) AS scatter")
+
+
+def _whitened(estimates: DataFrame) -> DataFrame:
+    """estimates(scatter) with `whitening` and `log_det`; each pivot of the Cholesky factor is FLOOR_SD at least.
+
+    Lower triangles are arrays, row by row, each value made of those before it.
+    """
+    listed = lambda values: f"array({', '.join(map(repr, values))})"
+    row, column = f"get({listed([i for i, _ in _PAIRS])}, p)", f"get({listed([j for _, j in _PAIRS])}, p)"
+    places, floor = listed(range(len(_PAIRS))), listed([v**2 for v in FLOOR_SD])
+    at = lambda array, i, j: f"get({array}, cast({i} * ({i} + 1) / 2 AS INT) + {j})"
+    over = lambda condition, term: f"aggregate(filter({listed(range(STATS))}, k -> {condition}), 0.0D, (s, k) -> s + {term})"
+    filled = lambda array, value: f"aggregate({places}, cast(array() AS array<double>), ({array}, p) -> array_append({array}, {value}))"
+    rest = f"(get(scatter, p) - {over(f'k < {column}', at('l', row, 'k') + ' * ' + at('l', column, 'k'))})"
+    factor = filled("l", f"if({row} = {column}, sqrt(greatest({rest}, cast(get({floor}, {row}) AS DOUBLE))), {rest} / {at('l', column, column)})")
+    dot = over(f"k >= {column} AND k < {row}", at("factor", row, "k") + " * " + at("w", "k", column))
+    inverse = filled("w", f"if({row} = {column}, 1.0D, -({dot})) / {at('factor', row, row)}")
+    log_det = f"aggregate({listed(range(STATS))}, 0.0D, (s, k) -> s + 2 * ln({at('factor', 'k', 'k')}))"
+    return estimates.selectExpr("*", f"{factor} AS factor").selectExpr(*estimates.columns, f"{inverse} AS whitening", f"{log_det} AS log_det")
+
+
+def _concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """One step: (g, start, n, centre, scatter, whitening, log_det) of the nearest SHARE of each group's rows, bins taken whole, and `moved`, by how much log_det changed."""
+    bins = rows.join(estimates.select("g", "start", "centre", "whitening", F.col("log_det").alias("was")), "g").withColumn("bin", F.floor(16 * F.log(_squared_distance() + 1e-6)))
+    sums = _sums(bins, "g", "start", "was", "bin")
+    by = W.partitionBy("g", "start")
+    before = F.coalesce(F.sum("n").over(by.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    near = sums.withColumn("before", before).withColumn("all", F.sum("n").over(by)).filter(F.col("before") < SHARE * F.col("all"))
+    found = _whitened(_covered(near.groupBy("g", "start", "was").agg(*[F.sum(m).alias(m) for m in _MOMENTS]), "g", "start", "was"))
+    return found.withColumn("moved", F.abs(F.col("log_det") - F.col("was"))).drop("was")
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Start 0 has medians and median deviations (without covariances), the others the moments of about START_ROWS rows by hash."""
     values = rows.select("g", F.posexplode("x").alias("k", "v"))
-    centre = Staged(_ranked(values, ["g", "k"], "v", 1 / 64, 0.5, "m")).for_join(100)
+    centre = Staged(_ranked(values, ["g", "k"], "v", 1 / 64, 0.5, "m")).for_join(200)
     apart = values.join(centre, ["g", "k"]).select("g", "k", F.abs(F.col("v") - F.col("m")).alias("d"))
-    scatter = _ranked(apart, ["g", "k"], "d", 1 / 64, 0.5, "mad").join(centre, ["g", "k"])
-    floor = F.element_at(F.array(*[F.lit(v) for v in FLOOR_SD]), F.col("k") + 1)
-    parts = scatter.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", "m", F.sqrt(F.pow(1.4826 * F.col("mad"), 2) + F.pow(floor, 2)).alias("sd")))).alias("p"))
-    return parts.select(
-        "g",
-        F.transform("p", lambda e: e["m"]).alias("centre"),
-        F.array(*[1 / F.col("p")[i]["sd"] if i == j else F.lit(0.0) for i in range(STATS) for j in range(STATS)]).alias("whitening"),
-    )
+    spread = _ranked(apart, ["g", "k"], "d", 1 / 64, 0.5, "mad").join(centre, ["g", "k"])
+    parts = spread.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", "m", F.pow(1.4826 * F.col("mad"), 2).alias("var")))).alias("p"))
+    robust = parts.select("g", F.lit(0).alias("start"), F.transform("p", lambda e: e["m"]).alias("centre"), F.array(*[F.col("p")[i]["var"] if i == j else F.lit(0.0) for i, j in _PAIRS]).alias("scatter"))
+    sizes = Staged(rows.groupBy("g").agg(F.count(F.lit(1)).alias("rows"))).for_join(100)
+    drawn = rows.join(sizes, "g").withColumn("start", F.ceil((F.pmod("h", F.lit(1 << 30)) / (1 << 30)) * F.col("rows") / START_ROWS).cast("int")).filter(f"start between 1 and {STARTS - 1}")
+    return robust.unionByName(_covered(_sums(drawn, "g", "start"), "g", "start").drop("n"))
 
 
 def estimates(stats: DataFrame) -> Staged:
-    """(g, centre, whitening) of each group of enough rows; g is struct(lang, source), (lang, null, whole) for a language, or (null, null, every) for all rows.
+    """(g, n, centre, scatter, log_det) of every group of rows that pass the base rules.
 
-    That of all rows, however few, is there if a language of stats has none of its own.
+    g is struct(lang, source, level): level 0 for a (lang, source), 1 for a lang, 2 for all rows.
     """
     none = F.lit(None).cast("string")
-    group = lambda lang, source, whole, every: F.struct(lang.alias("lang"), source.alias("source"), F.lit(whole).alias("whole"), F.lit(every).alias("every"))
-    judged = [group(F.col("lang"), F.col("source"), False, False), group(F.col("lang"), none, True, False)]
-    passing = stats.filter(~F.col("base_failed"))
-    levels = passing.select("x", F.explode(F.array(*judged)).alias("g"))
-    sized = Staged(levels.groupBy("g").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= MIN_GROUP))
-    large = F.col("g").eqNullSafe(F.col("large"))
-    kept = levels.join(sized.for_join(100).select(F.col("g").alias("large")), large, "left_semi")
-    fitted = sized.df.filter("g.whole").select(F.col("g.lang").alias("fitted"))
-    if not stats.select("lang").distinct().join(fitted, F.col("lang").eqNullSafe(F.col("fitted")), "left_anti").isEmpty():
-        kept = kept.unionByName(passing.select("x", group(none, none, False, True).alias("g")))
-    rows = Staged(kept)
-    sized.drop()
-    current = Staged(_start(rows.df))
-    for _ in range(STEPS):
-        far = rows.df.join(current.for_join(1000), "g").select("g", "x", F.log(_squared_distance() + 1e-6).alias("d"))
-        limits = Staged(_ranked(far, ["g"], "d", 1 / 16, SHARE, "limit"))
-        near = far.join(limits.for_join(100), "g").filter("d <= limit")
-        after = Staged(_whitened(_moments(near)))
+    group = lambda lang, source, level: F.struct(lang.cast("string").alias("lang"), source.cast("string").alias("source"), F.lit(level).alias("level"))
+    levels = F.array(group(F.col("lang"), F.col("source"), 0), group(F.col("lang"), none, 1), group(none, none, 2))
+    rows = Staged(stats.filter(~F.col("base_failed")).select("x", F.xxhash64("doc_id", "x").alias("h"), F.explode(levels).alias("g")))
+    current = Staged(_whitened(_starts(rows.df)))
+    small = current.rows() * 1200 <= BROADCAST_BYTES
+    for step in range(MOST_STEPS):
+        found = _concentrated(rows.df, F.broadcast(current.df) if small else current.df)
+        if step + 1 == FIRST_STEPS:
+            least = F.row_number().over(W.partitionBy("g").orderBy("log_det", "start"))
+            found = found.withColumn("place", least).filter("place = 1").drop("place")
+        after = Staged(found)
         current.drop()
-        limits.drop()
         current = after
+        if step >= FIRST_STEPS and current.df.filter(F.col("moved") > SETTLED).isEmpty():
+            break
     rows.drop()
     return current
 
 
+def pooled(groups: DataFrame, fitted: DataFrame) -> DataFrame:
+    """groups(lang, source) with centre and whitening: the group's estimate, its language's and the whole's, pooled by rows."""
+    of = lambda level, name: fitted.filter(F.col("g.level") == level).select(F.col("g.lang").alias(f"{name}_lang"), F.col("g.source").alias(f"{name}_source"), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "centre", "scatter")])
+    joined = (
+        groups.join(of(0, "own"), F.col("lang").cast("string").eqNullSafe(F.col("own_lang")) & F.col("source").cast("string").eqNullSafe(F.col("own_source")), "left")
+        .join(of(1, "whole"), F.col("lang").cast("string").eqNullSafe(F.col("whole_lang")), "left")
+        .join(F.broadcast(of(2, "every")), F.lit(True), "left")
+    )
+
+    def mixed(array: str, factor: float) -> str:
+        upper = f"if(whole_n IS NULL, v, (whole_n * get(whole_{array}, k) + {POOL} * v) / (whole_n + {POOL}))"
+        language = f"transform(every_{array}, (v, k) -> {upper})"
+        return f"transform({language}, (v, k) -> {factor!r}D * if(own_n IS NULL, v, (own_n * get(own_{array}, k) + {POOL} * v) / (own_n + {POOL}))) AS {array}"
+
+    both = joined.filter("every_n is not null").selectExpr("lang", "source", mixed("centre", 1.0), mixed("scatter", CONSISTENCY))
+    return _whitened(both).drop("scatter", "log_det")
+
+
 def quality_verdicts(docs: DataFrame) -> DataFrame:
     """Counts, base verdict, squared distance and final verdict of every row of docs(doc_id, text, lang, source).
 
     Null texts have no words and fail the base rule; null lang or source form groups of their
-    own; where neither the group nor its language has MIN_GROUP rows that pass the base rules,
-    the estimate of all rows judges. The distance is null only where no row at all passes them.
-    Repeated rows are judged alike. Other columns are ignored, an empty table gives an empty
-    result.
+    own. The distance is null only where no row at all passes the base rules. Repeated rows are
+    judged alike. Other columns are ignored, an empty table gives an empty result.
     """
     stats = Staged(base_statistics(docs))
     fitted = estimates(stats.df)
-    own = fitted.df.filter("not g.whole and not g.every").select(F.col("g.lang").alias("own_lang"), F.col("g.source").alias("own_source"), F.col("centre").alias("c1"), F.col("whitening").alias("w1"))
-    whole = fitted.df.filter("g.whole").select(F.col("g.lang").alias("whole_lang"), F.col("centre").alias("c2"), F.col("whitening").alias("w2"))
-    every = F.broadcast(fitted.df.filter("g.every").select(F.col("centre").alias("c3"), F.col("whitening").alias("w3")))
-    small = fitted.rows() * 1000 <= 16 << 20
-    own, whole = (F.broadcast(own), F.broadcast(whole)) if small else (own, whole)
-    judged = (
-        stats.df.join(own, F.col("lang").eqNullSafe(F.col("own_lang")) & F.col("source").eqNullSafe(F.col("own_source")), "left")
-        .join(whole, F.col("lang").eqNullSafe(F.col("whole_lang")), "left")
-        .join(every, F.lit(True), "left")
-        .withColumn("centre", F.coalesce("c1", "c2", "c3"))
-        .withColumn("whitening", F.coalesce("w1", "w2", "w3"))
-        .withColumn("distance", _squared_distance())
-    )
+    groups = Staged(pooled(stats.df.select("lang", "source").distinct(), fitted.df))
+    fitted.drop()
+    own = groups.for_join(800).select(F.col("lang").alias("own_lang"), F.col("source").alias("own_source"), "centre", "whitening")
+    judged = stats.df.join(own, F.col("lang").eqNullSafe(F.col("own_lang")) & F.col("source").eqNullSafe(F.col("own_source")), "left")
+    judged = judged.withColumn("distance", _squared_distance())
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("distance", 3).alias("distance"))
