@@ -1,8 +1,11 @@
 """LM scoring by cross-entropy difference.
 
-Two interpolated word-bigram models, of target documents and of the whole corpus, share one
-vocabulary, one set of bigrams and one smoothing. The mean over a document's words of target
-loss minus background loss is its score: below 0 reads like the target.
+Two interpolated word-bigram models, of the target documents and of all others, share one
+vocabulary, one set of bigrams and one smoothing, and are matched in size: the counts of the
+larger side are scaled down to the words of the smaller, which is what a sample of that size
+holds on average. The mean over a document's words of target loss minus background loss is its
+score: below 0 reads like the target. A document is judged without its own words, which are
+taken out of the model of its side.
 
 Both models hold every word and bigram that occurs LEAST_COUNT times in the corpus, so they grow
 with it. Rarer words are one class, whose probability both models hold; rarer bigrams fall back
@@ -27,16 +30,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.staging import Staged
+from lodestone.llm.staging import Staged, in_small_batches
 from lodestone.llm.wordbytes import blocks, boundaries, combine, pack, pack_plain, split_ranges, texts_of, unpack, unpack_plain, word_hashes
 
 LEAST_COUNT = 2
 #: Weight, in words, of the unigram model behind every context.
 PRIOR = 50.0
+#: Words of which losses are worked out at a time, unless one document has more.
+STEP_WORDS = 1 << 17
 #: Words at which a unit of documents is closed.
-UNIT_WORDS = 1 << 21
+UNIT_WORDS = 1 << 20
 #: Words of the corpus a hash range; a range is added up in one piece, so their number grows with the corpus.
-RANGE_WORDS = 1 << 22
+RANGE_WORDS = 1 << 20
 
 _UNIT = {"unit": pa.int64(), "ids": pa.binary(), "lengths": pa.binary(), "hits": pa.binary(), "words": pa.binary(), "at": pa.binary(), "n": pa.int64(), "n_target": pa.int64()}
 _SENT = {"range": pa.int32(), "unit": pa.int64(), "keys": pa.binary(), "target": pa.binary(), "background": pa.binary(), "firsts": pa.binary()}
@@ -129,7 +134,7 @@ def units(rows: DataFrame) -> DataFrame:
         if ids:
             yield close()
 
-    return rows.mapInArrow(build, _ddl(_UNIT))
+    return in_small_batches(rows, build, _ddl(_UNIT))
 
 
 def _each(batches) -> Iterator[tuple[int, Unit]]:
@@ -221,39 +226,80 @@ def words_judged(sent: DataFrame) -> DataFrame:
     return sent.groupBy("range").applyInArrow(judge, _ddl(_ANSWER))
 
 
+def _own(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """At every place, how often its document has its value."""
+    _, where, n = np.unique(doc << 32 | value, return_inverse=True, return_counts=True)
+    return n[where]
+
+
 def losses(unit: Unit, words: np.ndarray, contexts: np.ndarray, pairs: np.ndarray, totals: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """(target, background) loss in nats of every word; counts by distinct word and by distinct bigram, known is the vocabulary's size and its words' sums."""
-    rare = words[:, 1] == 0
-    unigram = (np.where(rare[:, None], totals - known[1:], words) + 1.0) / (totals + known[0] + 1.0)
+    """(target, background) loss in nats of every word.
+
+    words and contexts hold by distinct word, pairs by distinct bigram, how often the target and
+    the rest have it (0 if rare); totals are the sides' words, known the vocabulary's size and its
+    words on each side.
+    """
     places = unit.follows()
-    _, where = np.unique(unit.pairs(places), return_inverse=True)
-    seen, context = np.zeros((2, len(unit.at), 2))
-    seen[places] = pairs[where]
-    context[places] = contexts[unit.at[places - 1]]
-    return -np.log((seen + PRIOR * unigram[unit.at]) / (context + PRIOR))
+    pair_at = np.full(len(unit.at), -1)
+    _, pair_at[places] = np.unique(unit.pairs(places), return_inverse=True)
+    kept = np.append(pairs.sum(1) > 0, False)[pair_at]
+    rare = words.sum(1) == 0
+    scale = totals.min() / np.maximum(totals, 1) if totals.min() else np.ones(2)
+    found = np.empty((len(unit.at), 2))
+    ends = np.cumsum(unit.lengths)
+    firsts = ends - unit.lengths
+    steps = np.flatnonzero(np.diff(np.concatenate([[-1], firsts // STEP_WORDS])))
+    for a, b in zip(steps, [*steps[1:], len(ends)], strict=True):
+        here = slice(int(firsts[a]), int(ends[b - 1]))
+        at, pair, held = unit.at[here].astype(np.int64), pair_at[here], kept[here]
+        doc = np.repeat(np.arange(b - a), unit.lengths[a:b])
+        n, side = unit.lengths[a:b][doc], np.where(unit.hits[a:b], 0, 1)[doc]
+        before = np.concatenate([[0], at[:-1]])
+        own_word, own_pair, own_context = _own(doc, np.where(rare[at], len(rare), at)), np.zeros(len(at)), np.zeros(len(at))
+        own_pair[held] = _own(doc[held], pair[held])
+        own_first, index = np.unique(doc[held] << 32 | before[held], return_counts=True)
+        asked = doc << 32 | before
+        spot = np.minimum(np.searchsorted(own_first, asked), max(0, len(own_first) - 1))
+        if len(own_first):
+            own_context = np.where(own_first[spot] == asked, index[spot], 0)
+        last = unit.at[ends[a:b] - 1].astype(np.int64)[doc]
+        own_context = own_context + ((before == last) & ~rare[before])
+        follows = pair >= 0
+        for k in (0, 1):
+            mine = side == k
+            size = (totals[k] - mine * n) * scale[k]
+            one = (np.where(rare[at], totals[k] - known[1 + k], words[at, k]) - mine * own_word) * scale[k]
+            unigram = (one + 1.0) / (size + known[0] + 1.0)
+            seen = np.where(held, np.append(pairs[:, k], 0)[pair] - mine * own_pair, 0) * scale[k]
+            context = np.where(follows, contexts[before, k] - mine * own_context, 0) * scale[k]
+            found[here, k] = -np.log((seen + PRIOR * unigram) / (context + PRIOR))
+    return found
 
 
 def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss (means a word) and score, their difference, of every row of docs.
 
-    targets(doc_id) names the documents of the target; ids without a document and null ids
+    Losses are of models without the row's own words. targets(doc_id) names the documents of the target; ids without a document and null ids
     change nothing, repeats count once. Null texts and texts without words have null losses.
-    Without target words the target model is uniform. Repeated rows count and are scored each.
+    The model of a side without words is uniform; the other is then not scaled. Repeated rows count and are scored each.
     Other columns are ignored, an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    chosen = targets.select(F.col("doc_id").alias("of")).distinct().withColumn("hit", F.lit(True))
-    rows = docs.select("doc_id", "text").join(chosen.hint("merge"), F.col("doc_id") == F.col("of"), "left")
+    chosen = Staged(targets.filter("doc_id is not null").select(F.col("doc_id").alias("of")).distinct().withColumn("hit", F.lit(True)))
+    rows = docs.select("doc_id", "text").join(chosen.for_join(16), F.col("doc_id") == F.col("of"), "left")
     held = Staged(units(rows.select("doc_id", "text", F.coalesce("hit", F.lit(False)).alias("target"))))
     totals_of = held.df.agg(F.sum("n_target"), F.sum("n")).first()
-    totals = np.array([v or 0 for v in totals_of], np.int64)
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(totals[1]) // RANGE_WORDS))
+    chosen.drop()
+    target, every = (v or 0 for v in totals_of)
+    totals = np.array([target, every - target], np.int64)
+    ranges = max(1, -(-every // RANGE_WORDS))
 
     pairs = Staged(pairs_judged(pairs_sent(held.df, ranges), ranges), "kind")
     cut = pairs.df.filter("kind = 'cut'").select("range", "unit", "keys", "target", "background", F.lit(None).cast("binary").alias("firsts"))
     words = Staged(words_judged(words_sent(held.df, ranges).unionByName(cut)), "kind")
     parts = [_spread(r["target"]) for r in words.df.filter("kind = 'total'").select("target").collect()]
     known = np.sum([np.zeros(3, np.int64), *parts], axis=0)
+    known[2] -= known[1]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = ("target", "background", "context_target", "context_background")
@@ -264,7 +310,10 @@ def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
         unit = Unit.read(own)
         of = lambda kind, c: _joined([_spread(r[c]) for r in rows if r["kind"] == kind], np.int64)
         word, pair = (np.stack([of(k, c) for c in fields[:2]], 1) for k in ("word", "pair"))
-        found = losses(unit, word, np.stack([of("word", c) for c in fields[2:]], 1), pair, totals, known)
+        context = np.stack([of("word", c) for c in fields[2:]], 1)
+        for counts in (word, pair, context):
+            counts[:, 1] -= counts[:, 0]
+        found = losses(unit, word, context, pair, totals, known)
         n = unit.lengths
         text = np.repeat(np.arange(len(n)), n)
         means = np.stack([np.bincount(text, found[:, k], len(n)) for k in (0, 1)], 1) / np.maximum(n, 1)[:, None]
