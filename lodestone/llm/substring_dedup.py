@@ -33,13 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.staging import Staged
+from lodestone.llm.staging import Staged, in_small_batches
 from lodestone.llm.wordbytes import blocks, boundaries, combine, pack, pack_plain, split_ranges, texts_of, unpack, unpack_plain, windows, word_hashes
 
 LENGTH = 13
 ANCHOR = 7
 #: Bytes of text in a segment.
-SEGMENT_BYTES = 16 << 20
+SEGMENT_BYTES = 4 << 20
+#: Segments a hash range; a range's task holds what they all send it, so their number grows with the corpus.
+RANGE_SEGMENTS = 2
 #: doc_id that stands for null: after all others.
 LAST = np.iinfo(np.int64).max
 _CHUNKS = 1 << 24
@@ -68,7 +70,7 @@ def segments(docs: DataFrame) -> DataFrame:
 
     order = F.col("doc_id").asc_nulls_last()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.repartitionByRange(order).sortWithinPartitions(order).mapInArrow(run, _PACKED)
+    return in_small_batches(rows.repartitionByRange(order).sortWithinPartitions(order), run, _PACKED)
 
 
 def _record(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
@@ -236,9 +238,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     of each other. Texts shorter than a window lose nothing. Other columns are ignored, an empty
     table gives an empty result.
     """
-    spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = Staged(segments(docs))
+    ranges = max(1, -(-held.rows() // RANGE_SEGMENTS))
 
     def anchors(batches):
         for batch in batches:
