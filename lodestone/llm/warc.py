@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,14 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.asof import latest_earlier
-from lodestone.llm.staging import Staged
+from lodestone.llm.staging import BATCH_BYTES, Staged, in_small_batches
 
 #: Headers that a 304 answer may update in a stored response (RFC 9110, 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that only say where a visitor came from.
 TRACKING = r"utm_[a-z]+|ref|fbclid|gclid|session"
 
-NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
+#: End of the profile of revisits that say "not modified", in any version of the format.
+NOT_MODIFIED = "/revisit/server-not-modified"
 RECORDS = "record_id string, kind string, url string, time string, headers map<string,string>, payload binary"
 
 
@@ -43,18 +45,28 @@ def read_records(files: DataFrame) -> DataFrame:
 
     Header names are lower-case; a response's payload is its HTTP body, its headers are those
     of HTTP, with a revisit's WARC-Profile as `warc-profile`. Null contents and damaged records
-    give no rows.
+    give no rows; of a file whose compression breaks off the records before that are read.
+    Records leave in batches of about BATCH_BYTES, a file is never unpacked whole.
     """
 
     def run(batches):
         for batch in batches:
             for content in batch.column("content").to_pylist():
-                rows = list(parse(content or b""))
+                rows, size = [], 0
+                for row in parse(content or b""):
+                    rows.append(row)
+                    size += len(row[-1] or b"")
+                    if size > BATCH_BYTES:
+                        yield _batch(rows)
+                        rows, size = [], 0
                 if rows:
-                    columns = list(zip(*rows, strict=True))
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
+                    yield _batch(rows)
 
-    return files.select("content").mapInArrow(run, RECORDS)
+    return in_small_batches(files.select("content"), run, RECORDS)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
 
 
 _NAMES = ["record_id", "kind", "url", "time", "headers", "payload"]
@@ -68,27 +80,37 @@ def _headers(block: bytes) -> dict[str, str]:
 
 
 def parse(content: bytes) -> Iterator[tuple]:
-    if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
+    """Responses and revisits of a file, one after another; what is damaged is passed over."""
     stream = io.BytesIO(content)
-    while line := stream.readline():
-        if not line.startswith(b"WARC/"):
-            continue
-        head = []
-        while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
-            head.append(line)
-        warc = _headers(b"".join(head))
-        try:
-            body = stream.read(int(warc["content-length"]))
-        except (KeyError, ValueError):
-            continue
-        if warc.get("warc-type") in ("response", "revisit"):
-            first, _, payload = body.partition(b"\r\n\r\n")
-            http = _headers(first.partition(b"\r\n")[2])
-            if "warc-profile" in warc:
-                http["warc-profile"] = warc["warc-profile"]
-            revisit = warc["warc-type"] == "revisit"
-            yield warc.get("warc-record-id"), warc["warc-type"], warc.get("warc-target-uri"), warc.get("warc-date"), list(http.items()), None if revisit else payload
+    if content[:2] == b"\x1f\x8b":
+        stream = gzip.GzipFile(fileobj=stream)
+    try:
+        while line := stream.readline():
+            if not line.startswith(b"WARC/"):
+                continue
+            head = []
+            while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
+                head.append(line)
+            record = _record(_headers(b"".join(head)), stream)
+            if record:
+                yield record
+    except (EOFError, OSError, zlib.error):
+        return
+
+
+def _record(warc: dict[str, str], stream: io.BufferedIOBase) -> tuple | None:
+    length = warc.get("content-length", "")
+    if not (length.isascii() and length.isdigit()):
+        return None
+    body = stream.read(int(length))
+    if len(body) < int(length) or warc.get("warc-type") not in ("response", "revisit"):
+        return None
+    first, _, payload = body.partition(b"\r\n\r\n")
+    http = _headers(first.partition(b"\r\n")[2])
+    if "warc-profile" in warc:
+        http["warc-profile"] = warc["warc-profile"]
+    revisit = warc["warc-type"] == "revisit"
+    return warc.get("warc-record-id"), warc["warc-type"], warc.get("warc-target-uri"), warc.get("warc-date"), list(http.items()), None if revisit else payload
 
 
 def write_record(record_id: str, kind: str, url: str, time: str, headers: dict[str, str], payload: bytes | None) -> bytes:
@@ -107,8 +129,8 @@ def resolve(records: DataFrame) -> DataFrame:
 
     record_id, canonical_url, refers_to, status, headers, payload. status is `resolved`;
     `changed` if a validator (etag, last-modified) that both carry differs; `unvalidated` if they
-    share none; `missing` if no earlier full response of the URL exists. Unless resolved,
-    refers_to, headers and payload are null. Header names are lower-case. Null URLs and times
+    share none; `missing` if no earlier full response of the URL exists; `other` if the revisit's
+    profile says anything else than "not modified" (none says that). Unless resolved, refers_to, headers and payload are null. Header names are lower-case. Null URLs and times
     are `missing`; a response at a revisit's own time is not earlier; of several at one time the
     one of the greatest record_id counts. Repeated revisits are resolved each. Other columns
     are ignored, an empty table gives an empty result.
@@ -126,7 +148,8 @@ def resolve(records: DataFrame) -> DataFrame:
     agree = [(F.col(c), F.col("latest")[c]) for c in ("etag", "modified")]
     differs = [F.coalesce(a != b, F.lit(False)) for a, b in agree]
     same = [F.coalesce(a == b, F.lit(False)) for a, b in agree]
-    status = F.when(F.col("latest").isNull(), "missing").when(differs[0] | differs[1], "changed").when(same[0] | same[1], "resolved").otherwise("unvalidated")
+    other = F.coalesce(~F.col("headers")["warc-profile"].endswith(NOT_MODIFIED), F.lit(False))
+    status = F.when(other, "other").when(F.col("latest").isNull(), "missing").when(differs[0] | differs[1], "changed").when(same[0] | same[1], "resolved").otherwise("unvalidated")
     judged = found.withColumn("status", status).select(
         "record_id", "canonical_url", "status", F.col("headers").alias("fresh"), F.when(F.col("status") == "resolved", F.col("latest")["record_id"]).alias("refers_to")
     )
