@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import itertools
 import json
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -16,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import asof, chat, components, exact_dedup, lm_scoring, mixing, packing, quality_rules, queries, simhash, substring_dedup, toxicity, warc
+from lodestone.llm import asof, chat, components, exact_dedup, lm_scoring, mixing, packing, quality_rules, queries, simhash, substring_dedup, toxicity, warc, wordbytes
 from lodestone.llm.staging import Staged
 from tests.conftest import SF, multiset
 
@@ -82,7 +84,8 @@ def test_exact_dedup_agrees_with_sql_at_any_bucket_and_key_size(spark, duck, cap
 
 def test_buckets_split_until_they_fit(spark):
     index = exact_dedup.build_index(spark.read.parquet(f"{SF}/documents.parquet"), 10)
-    sizes = index.buckets.df.groupBy("depth", F.expr(f"shiftright(slot, {index.depth} - depth)")).count()
+    sizes = index.buckets.df.groupBy("bucket").count()
+    assert index.slots.rows() == 2**index.depth and index.slots.df.select("bucket").distinct().count() == sizes.count()
     assert index.depth > 5 and sizes.agg(F.max("count")).first()[0] <= 10
 
 
@@ -104,32 +107,57 @@ def test_base_statistics(spark, worst):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) in texts[r.doc_id]
 
 
-def test_concentration_steps_agree_with_numpy_and_reject_outliers(spark, monkeypatch):
-    monkeypatch.setattr(quality_rules, "MIN_GROUP", 50)
+def plain_estimate(x):
+    """Mean, covariance and pivots of the Cholesky factor with their floors."""
+    centre, cov = x.mean(0), np.cov(x.T, bias=True)
+    low = np.zeros_like(cov)
+    for i in range(len(cov)):
+        for j in range(i + 1):
+            rest = cov[i, j] - low[i, :j] @ low[j, :j]
+            low[i, j] = math.sqrt(max(rest, quality_rules.FLOOR_SD[i] ** 2)) if i == j else rest / low[j, j]
+    return centre, cov, low
+
+
+def test_estimates_are_fixed_points_of_concentration_in_numpy(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "FLOOR_SD", (0.02,) * 7)
+    monkeypatch.setattr(quality_rules, "SETTLED", 1e-9)
     stats = Staged(quality_rules.base_statistics(spark.read.parquet(f"{SF}/documents.parquet"))).df
-    fitted = {(r.g.lang): r for r in quality_rules.estimates(stats).df.filter("g.whole").collect()}
-    floor = np.diag(np.array(quality_rules.FLOOR_SD) ** 2)
+    fitted = {r.g.lang: r for r in quality_rules.estimates(stats).df.filter("g.level = 1").collect()}
     rows = [(r.lang, r.x) for r in stats.filter("not base_failed").collect()]
     for lang, found in fitted.items():
         x = np.array([v for k, v in rows if k == lang])
-        white = np.array(found.whitening).reshape(len(floor), -1)
-        d = (((x - np.array(found.centre)) @ white.T) ** 2).sum(1)
-        inner = x[d <= np.quantile(d, quality_rules.SHARE) * 1.07]
-        assert np.allclose(inner.mean(0), found.centre, atol=0.1)
-        assert np.allclose(np.linalg.inv(white) @ np.linalg.inv(white).T, np.cov(inner.T, bias=True) + floor, atol=0.1)
-    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
-    judged = quality_rules.quality_verdicts(spark.read.parquet(f"{SF}/documents.parquet")).join(labels, "doc_id").filter("not base_failed")
-    share = {r.quality: r.kept for r in judged.groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()}
-    assert share[1] > 0.97 and share[0] < 0.1
-
-
-def test_languages_of_few_rows_are_judged_by_all_rows(spark):
+        scatter = np.zeros((7, 7))
+        for k, (i, j) in enumerate(quality_rules._PAIRS):
+            scatter[i, j] = scatter[j, i] = found.scatter[k]
+        low = plain_estimate(x)[2] * 0
+        for i in range(7):
+            for j in range(i + 1):
+                rest = scatter[i, j] - low[i, :j] @ low[j, :j]
+                low[i, j] = math.sqrt(max(rest, 0.02**2)) if i == j else rest / low[j, j]
+        assert found.log_det == pytest.approx(2 * np.log(np.diag(low)).sum())
+        d = (((x - np.array(found.centre)) @ np.linalg.inv(low).T) ** 2).sum(1)
+        bins = np.floor(16 * np.log(d + 1e-6))
+        last = np.sort(bins)[math.ceil(quality_rules.SHARE * len(x)) - 1]
+        centre, cov, _ = plain_estimate(x[bins <= last])
+        assert np.allclose(centre, found.centre, atol=0.02) and np.allclose(cov, scatter, atol=0.05)
+        spread = plain_estimate(x)[2]
+        assert np.log(np.diag(low)).sum() < np.log(np.diag(spread)).sum()
+
+
+def test_quantiles_of_chi_square():
+    assert quality_rules.chi_square_quantile(0.25, 7) == pytest.approx(9.037, abs=1e-3)
+    assert quality_rules.chi_square_quantile(1e-4, 7) == pytest.approx(29.878, abs=1e-3)
+    assert quality_rules.chi_square_tail(9.037, 9) == pytest.approx(0.434, abs=1e-3)
+
+
+def test_groups_of_any_size_are_judged(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
     judged = quality_rules.quality_verdicts(docs).join(labels, "doc_id", "left").toPandas()
     assert judged.distance.notna().all()
+    assert (judged.kept == (~judged.base_failed & (judged.distance <= quality_rules.CUTOFF))).all()
     share = judged[~judged.base_failed].groupby("quality").kept.mean()
-    assert share[1] > 0.97 and share[0] < 0.1
+    assert share[1] > 0.98 and share[0] < 0.1
     few = quality_rules.quality_verdicts(docs.limit(30)).toPandas()
     assert len(few) == 30 and few.distance.notna().all()
 
@@ -146,68 +174,69 @@ def test_repeated_lines_alone_reject_a_text(spark):
     assert row.n_dup_lines > 0.9 * 150 and not row.base_failed and not row.kept, row
 
 
-def test_losses_agree_with_plain_counting(spark):
-    rng = random.Random(1)
-    texts = [" ".join(rng.choice("a b c d e the of and".split()) for _ in range(rng.randint(0, 60))) for _ in range(60)]
-    docs, targets = documents(spark, texts), list(range(0, 60, 3))
-    got = {r.doc_id: r for r in lm_scoring.score(docs, spark.createDataFrame([(i,) for i in targets], "doc_id long")).collect()}
+def plain_losses(texts, targets, asked):
+    """Mean losses of the asked documents, by counting: sides apart, the document's own words left out, the larger side scaled down."""
     uni, bi = [Counter(), Counter()], [Counter(), Counter()]
     for i, t in enumerate(texts):
-        for k in (0, 1):
-            if k == 1 or i in targets:
-                uni[k].update(t.split())
-                bi[k].update(itertools.pairwise(t.split()))
-    vocabulary = {w for w in uni[1] if uni[1][w] >= 2}
-    total = [sum(u.values()) for u in uni]
-
-    def loss(k, before, w):
-        other = total[k] - sum(uni[k][v] for v in vocabulary)
-        p = ((uni[k][w] if w in vocabulary else other) + 1) / (total[k] + len(vocabulary) + 1)
-        known = before in vocabulary
-        pair = bi[k][before, w] if known and w in vocabulary and bi[1][before, w] >= 2 else 0
-        return -math.log((pair + lm_scoring.PRIOR * p) / ((uni[k][before] if known else 0) + lm_scoring.PRIOR))
+        k = 0 if i in targets else 1
+        uni[k].update(t.split())
+        bi[k].update(itertools.pairwise(t.split()))
+    words_, pairs = uni[0] + uni[1], bi[0] + bi[1]
+    vocabulary, kept = {w for w in words_ if words_[w] >= 2}, {p for p in pairs if pairs[p] >= 2}
+
+    def contexts(u, b):
+        left = Counter(u)
+        for p, n in b.items():
+            if p not in kept:
+                left[p[0]] -= n
+        return left
+
+    totals = [sum(u.values()) for u in uni]
+    scale = [min(totals) / t for t in totals] if min(totals) else [1, 1]
+    context = [contexts(u, b) for u, b in zip(uni, bi, strict=True)]
+    other = [sum(n for w, n in u.items() if w not in vocabulary) for u in uni]
+    found = {}
+    for i in asked:
+        w = texts[i].split()
+        side, u, b = (0 if i in targets else 1), Counter(w), Counter(itertools.pairwise(w))
+        own_context, own_other = contexts(u, b), sum(n for v, n in u.items() if v not in vocabulary)
 
-    for i, t in enumerate(texts):
-        w = t.split()
-        if not w:
-            assert got[i].score is None
-            continue
-        means = [sum(loss(k, b, a) for b, a in zip([None, *w], w, strict=False)) / len(w) for k in (0, 1)]
-        assert got[i].target_loss == pytest.approx(means[0]) and got[i].score == pytest.approx(means[0] - means[1])
+        def loss(k, before, v):
+            mine = k == side
+            seen = uni[k][v] - mine * u[v] if v in vocabulary else other[k] - mine * own_other
+            p = (seen * scale[k] + 1) / ((totals[k] - mine * len(w)) * scale[k] + len(vocabulary) + 1)
+            pair = (bi[k][before, v] - mine * b[before, v]) * scale[k] if (before, v) in kept else 0
+            with_ = (context[k][before] - mine * own_context[before]) * scale[k] if before in vocabulary else 0
+            return -math.log((pair + lm_scoring.PRIOR * p) / (with_ + lm_scoring.PRIOR))
+
+        found[i] = [sum(loss(k, x, y) for x, y in zip([None, *w], w, strict=False)) / len(w) for k in (0, 1)] if w else None
+    return found
+
+
+def test_losses_agree_with_plain_counting(spark):
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("a b c d e the of and".split()) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    docs = documents(spark, texts)
+    for targets in (list(range(0, 60, 3)), []):
+        got = {r.doc_id: r for r in lm_scoring.score(docs, spark.createDataFrame([(i,) for i in targets], "doc_id long")).collect()}
+        for i, means in plain_losses(texts, targets, range(60)).items():
+            if means is None:
+                assert got[i].score is None
+            else:
+                assert got[i].target_loss == pytest.approx(means[0]) and got[i].score == pytest.approx(means[0] - means[1])
 
 
-@pytest.mark.parametrize("unit_words", [1 << 21, 1000])
+@pytest.mark.parametrize("unit_words", [1 << 20, 1000])
 def test_rare_words_and_bigrams_of_a_large_corpus_are_in_the_models(spark, monkeypatch, unit_words):
     """300,000 words, so that what occurs twice is far below 2^-17 of them; bigrams that occur once leave their context too."""
     monkeypatch.setattr(lm_scoring, "UNIT_WORDS", unit_words)
     monkeypatch.setattr(lm_scoring, "RANGE_WORDS", 16 * unit_words)
+    monkeypatch.setattr(lm_scoring, "STEP_WORDS", unit_words // 3)
     rng = random.Random(2)
     texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(1000)) for _ in range(300)] + ["rare own words w1 once", "w2 rare own words", "x own words rare w1"]
     targets = [*range(0, 300, 10), 300, 302]
     got = {r.doc_id: r for r in lm_scoring.score(documents(spark, texts), spark.createDataFrame([(i,) for i in targets], "doc_id long")).collect()}
-    uni, bi = [Counter(), Counter()], [Counter(), Counter()]
-    for i, t in enumerate(texts):
-        for k in (0, 1) if i in targets else (1,):
-            uni[k].update(t.split())
-            bi[k].update(itertools.pairwise(t.split()))
-    vocabulary = {w for w in uni[1] if uni[1][w] >= 2}
-    context = [Counter(u) for u in uni]
-    for pair, n in bi[1].items():
-        if n < 2:
-            for k in (0, 1):
-                context[k][pair[0]] -= bi[k][pair]
-
-    def loss(k, before, w):
-        total = sum(uni[k].values())
-        seen = uni[k][w] if w in vocabulary else total - sum(uni[k][v] for v in vocabulary)
-        p = (seen + 1) / (total + len(vocabulary) + 1)
-        pair = bi[k][before, w] if bi[1][before, w] >= 2 else 0
-        return -math.log((pair + lm_scoring.PRIOR * p) / ((context[k][before] if before in vocabulary else 0) + lm_scoring.PRIOR))
-
-    assert {"rare", "own", "words"} <= vocabulary and min(bi[1].values()) == 1
-    for i in (0, 1, 300, 301, 302):
-        w = texts[i].split()
-        means = [sum(loss(k, b, a) for b, a in zip([None, *w], w, strict=False)) / len(w) for k in (0, 1)]
+    for i, means in plain_losses(texts, targets, (0, 1, 300, 301, 302)).items():
         assert got[i].target_loss == pytest.approx(means[0]) and got[i].background_loss == pytest.approx(means[1])
     assert len(got) == len(texts)
 
@@ -254,22 +283,35 @@ def test_packing_holds_every_word_once_within_its_bin(spark):
         assert {s[2:] for s in spans} == {(min(c for c in (64, 256, 512) if c >= used), used)}
 
 
-def test_pack_agrees_with_a_plain_best_fit():
-    rng = random.Random(3)
-    sizes = sorted((rng.choice([0, 1, 5, 30, 64, 100, 250]) for _ in range(400)), reverse=True)
-    lengths, bins, to_come = (64, 128, 256), [], sum(sizes)
+def plain_best_fit(sizes, opening, lengths):
+    bins, to_come = [], sum(sizes)
     for s in sizes:
         fit = [b for b in bins if b[0] - b[1] >= s]
         if fit:
             room = min(b[0] - b[1] for b in fit)
             best = [b for b in fit if b[0] - b[1] == room][0]
         else:
-            best = [min((c for c in lengths if c >= s), key=lambda c: (packing.cost(c) / max(1, min(c, to_come)), c)), 0]
+            best = [min((c for c in opening if c >= s), key=lambda c: (packing.cost(c) / max(1, min(c, to_come)), c)), 0]
             bins.append(best)
         best[1] += s
         to_come -= s
-    _, _, found = packing.pack(sizes, lengths)
-    assert sorted(found) == sorted(min(c for c in lengths if c >= b[1]) for b in bins)
+    return sorted(min(c for c in lengths if c >= b[1]) for b in bins)
+
+
+def test_pack_takes_the_cheapest_set_of_lengths():
+    rng = random.Random(3)
+    lengths = (64, 128, 256)
+    for choices in ([0, 1, 5, 30, 64, 100, 250], [130, 140, 20], [60, 61, 62], [200]):
+        sizes = sorted((rng.choice(choices) for _ in range(300)), reverse=True)
+        found = [plain_best_fit(sizes, some, lengths) for some in ((256,), (64, 256), (128, 256), (64, 128, 256))]
+        least = min(sum(map(packing.cost, f)) for f in found)
+        got = sorted(packing.pack(sizes, lengths)[2])
+        assert got in found and sum(map(packing.cost, got)) == pytest.approx(least)
+
+
+def test_bins_are_nearly_full(spark):
+    rows = packing.fill(packing.packed(spark.read.parquet(f"{SF}/documents.parquet"))).collect()
+    assert sum(r.words for r in rows) > 0.98 * sum(r.bins * r.bin_length for r in rows) and len(rows) > 1
 
 
 def test_toxicity_is_accurate_on_held_out_rows_and_unseen_endings(spark):
@@ -283,14 +325,54 @@ def test_toxicity_is_accurate_on_held_out_rows_and_unseen_endings(spark):
     assert all((int(__import__("zlib").crc32(str(i).encode())) % 3) == 1 for i in ids)
 
 
-def test_toxicity_embeds_what_ngrams_share():
+def test_toxicity_embeds_what_ngrams_share(spark):
     rng = random.Random(4)
     plain = [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(40)) for _ in range(300)]
     bad = [" ".join([p, "vexo" + rng.choice(["ra", "ti", "num", "del"])]) for p in plain[:150]]
-    texts = [f"{t} {rng.random()}".encode() for t in bad + plain[150:]]
-    model = toxicity.train(texts, [1] * 150 + [0] * 150)
+    texts = [f"{t} {rng.random()}" for t in bad + plain[150:]]
+    labels = [(i, int(i < 150)) for i in range(300)] + [(160, 1), (200, None), (201, 7)]
+    model = toxicity.train(documents(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int"))
     s = toxicity.score_texts([b"alpha beta vexoshi gamma", b"alpha beta words gamma", b""], model.per_bucket(), model.offset())
     assert s[0] > 0.7 > s[1]
+    assert toxicity.train(documents(spark, texts), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")) is None
+
+
+def test_scores_agree_with_plain_ngrams():
+    """The score of a model by plain loops over words and n-grams, also across the slices' borders."""
+    rng = random.Random(5)
+    weights = np.random.default_rng(5).normal(0, 3, toxicity.BUCKETS).astype(np.float32)
+    texts = [b"", b"a", b"\t one  two one\n", ("ñandú " * 3).encode(), " ".join("".join(rng.choice("abcé") for _ in range(rng.randint(1, 30))) for _ in range(9000)).encode(), b"x" * (3 * toxicity.GRAM_BYTES)]
+
+    def bucket(gram):
+        code = int.from_bytes(gram, "big") + (len(gram) << 56) & (1 << 64) - 1
+        return int(toxicity.finish(np.array([code], np.uint64))[0]) & toxicity.BUCKETS - 1
+
+    known = {}
+    for text, got in zip(texts, toxicity.score_texts(texts, weights, 0.3), strict=True):
+        each = []
+        for word in text.split():
+            if word not in known:
+                marked = b"\x01" + word + b"\x02"
+                found = [weights[bucket(marked[i : i + n])] for n in toxicity.GRAMS for i in range(len(marked) - n + 1)] if len(set(word)) > 1 or len(word) < 99 else None
+                if found is None:
+                    ends = [marked[:n] for n in toxicity.GRAMS] + [marked[-n:] for n in toxicity.GRAMS]
+                    inner = [(b"x" * n, len(word) - n + 1) for n in toxicity.GRAMS]
+                    total = sum(float(weights[bucket(g)]) for g in ends) + sum(float(weights[bucket(g)]) * k for g, k in inner)
+                    known[word] = total / (len(ends) + sum(k for _, k in inner))
+                else:
+                    known[word] = float(np.sum(found, dtype=np.float64)) / max(1, len(found))
+            each.append(known[word])
+        assert got == pytest.approx(1 / (1 + math.exp(-(0.3 + (sum(each) / len(each) if each else 0)))), rel=1e-4)
+
+
+def test_scoring_a_block_of_distinct_words_takes_bounded_memory():
+    rng = random.Random(6)
+    text = " ".join("%010x" % rng.getrandbits(40) for _ in range(400_000)).encode()
+    tracemalloc.start()
+    toxicity.score_texts([text, b"y" * (4 << 20)], np.zeros(toxicity.BUCKETS, np.float32), 0.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text) > 4 << 20 and peak < 100 << 20, peak
 
 
 def brute_components(texts):
@@ -323,6 +405,27 @@ def test_near_duplicates_agree_with_all_pairs(spark, monkeypatch, pairwise, spre
     assert got == brute_components(texts)
 
 
+def test_long_texts_have_the_fingerprint_of_all_their_shingles():
+    rng = random.Random(7)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(200_000))
+    for t in (text, "z" * (10 << 20), "z" * (1 << 20) + " a b " + "q" * (1 << 20)):
+        w = t.split()
+        hashes = np.array([xxhash.xxh64_intdigest(" ".join(w[k : k + 3]), 42) for k in range(max(1, len(w) - 2))], np.uint64)
+        ones = np.array([(hashes >> np.uint64(k) & np.uint64(1)).sum() for k in range(64)])
+        assert int(simhash.fingerprints([t.encode()])[0]) == sum(1 << k for k in range(64) if 2 * ones[k] > len(hashes))
+
+
+def test_hashes_of_words_do_not_depend_on_slices(monkeypatch):
+    words_ = [bytes([97 + k % 7]) * n for k, n in enumerate((1, 5, 300, 7, 2000, 3, 64, 65, 63, 128, 1))]
+    data, starts, ends, _ = wordbytes.boundaries([b" ".join(words_)])
+    whole, pairs = wordbytes.word_hashes(data, starts, ends), None
+    pairs = wordbytes.windows(whole, 2)
+    monkeypatch.setattr(wordbytes, "SLICE_BYTES", 64)
+    assert (wordbytes.word_hashes(data, starts, ends) == whole).all()
+    long_ = np.arange(1000, dtype=np.uint64)
+    assert (wordbytes.windows(whole, 2) == pairs).all() and len(np.unique(wordbytes.windows(long_, 13))) == 988
+
+
 def test_chain_budgets_admit_every_pair_within_two_bits():
     rng = np.random.default_rng(5)
     left = rng.integers(0, 2**63, 3000, dtype=np.uint64)
@@ -368,6 +471,26 @@ def test_revisits(spark, duck):
     assert warc.resolve(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_damaged_files_give_what_is_before_the_damage():
+    records = [warc.write_record(f"r{k}", "response", f"http://a/{k}", "2020", {"etag": "x"}, b"body" * 500) for k in range(3)]
+    plain, packed = b"".join(records), b"".join(gzip.compress(r) for r in records)
+    assert [r[0] for r in warc.parse(packed)] == ["r0", "r1", "r2"] == [r[0] for r in warc.parse(plain)]
+    assert [r[0] for r in warc.parse(packed[:-20])] == ["r0", "r1"] == [r[0] for r in warc.parse(plain[:-20])]
+    garbled = bytearray(packed)
+    garbled[len(gzip.compress(records[0])) + 3] ^= 0xFF
+    garbled[-60] ^= 0xFF
+    assert [r[0] for r in warc.parse(bytes(garbled))][:1] == ["r0"]
+    negative = records[0].replace(b"Content-Length: ", b"Content-Length: -", 1)
+    assert [r[0] for r in warc.parse(negative + records[1])] == ["r1"] and list(warc.parse(b"\x1f\x8bxx")) == []
+
+
+def test_revisits_of_other_profiles_are_not_resolved(spark):
+    columns = "record_id string, url string, time long, kind string, headers map<string,string>, payload string"
+    revisit = lambda i, profile: (i, "http://a/", 5, "revisit", {"etag": "x"} | ({"warc-profile": profile} if profile else {}), None)
+    rows = [("f", "http://a/", 1, "response", {"etag": "x"}, "p"), revisit("a", None), revisit("b", "http://netpreserve.org/warc/1.1/revisit/server-not-modified"), revisit("c", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+    assert {r.record_id: r.status for r in warc.resolve(spark.createDataFrame(rows, columns)).collect()} == {"a": "resolved", "b": "resolved", "c": "other"}
+
+
 def test_warc_round_trip(spark):
     import gzip
 
