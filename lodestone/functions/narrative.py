@@ -213,15 +213,23 @@ def count_hints(text: Column, hints: tuple[str, ...]) -> Column:
     return sum((F.coalesce((low.rlike(guard(h)) if h.isascii() else text.contains(h)).cast("int"), F.lit(0)) for h in hints), F.lit(0))
 
 
+# Years and what makes them part of a standard's name; how questions name forms.
+QUESTION_YEAR = r"(?<!\d)(20\d{2})(?!\d)"
+YEAR_NOISE = r"\b(?:ASU|ASC|SAB|S-K|S-X|Topic|Item|Rule|No\.?|Note)\s*\.?\s*-?\s*(?:20\d{2})"
+QUESTION_FORMS = (
+    ("10-K", r"\b10-?Ks?\b|\bannual\s+reports?\b|年报|年度报告"),
+    ("10-Q", r"\b10-?Qs?\b|\bquarterly\s+reports?\b|季报|季度报告"),
+)
+
+
 def question_years(question: Column) -> Column:
     """Years 20xx in order, each once, but those that belong to the name of a standard or rule."""
-    bare = F.regexp_replace(question, r"(?i)\b(?:ASU|ASC|SAB|S-K|S-X|Topic|Item|Rule|No\.?|Note)\s*\.?\s*-?\s*20\d{2}", "~")
-    return F.array_distinct(F.regexp_extract_all(bare, F.lit(r"(?<!\d)(20\d{2})(?!\d)"), F.lit(1)))
+    bare = F.regexp_replace(question, f"(?iU){YEAR_NOISE}", "~")
+    return F.array_distinct(F.regexp_extract_all(bare, F.lit(f"(?U){QUESTION_YEAR}"), F.lit(1)))
 
 
 def question_forms(question: Column) -> Column:
-    asks = (("10-K", r"(?i)\b10-?Ks?\b|\bannual\s+reports?\b|年报|年度报告"), ("10-Q", r"(?i)\b10-?Qs?\b|\bquarterly\s+reports?\b|季报|季度报告"))
-    return F.array_compact(F.array(*[F.when(question.rlike(pattern), F.lit(form)) for form, pattern in asks]))
+    return F.array_compact(F.array(*[F.when(question.rlike(f"(?iU){pattern}"), F.lit(form)) for form, pattern in QUESTION_FORMS]))
 
 
 def is_advert(text: Column) -> Column:

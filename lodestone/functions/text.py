@@ -15,13 +15,6 @@ def clean_lines(text: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
-def selector_text(text: Column, limit: int = 1200) -> Column:
-    """Lower case, years and numbers masked, white space collapsed, cut to `limit`; for near-duplicate keys."""
-    t = F.regexp_replace(F.lower(text), r"\b(19|20)[0-9]{2}\b", "<year>")
-    t = F.regexp_replace(t, r"[0-9]+([.,][0-9]+)*", "<num>")
-    return F.left(F.trim(F.regexp_replace(t, r"[ \t\n\r\f]+", " ")), F.lit(limit))
-
-
 def preview(text: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.rtrim(F.left(text, F.lit(limit - 3))), F.lit("...")))
 
@@ -46,10 +39,15 @@ def trigrams(text: Column) -> Column:
     return F.when(F.length(t) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
 
 
+# Words that look like metric names and are none, and the pattern of such names.
+HINT_NOISE = ("Restated", "Consolidated", "Financial", "Statements", "Reporting", "Accounting", "Standard", "Disclosure", "Document", "Securities", "Exchange", "Commission")
+METRIC_NAME = r"\b[A-Z][a-z]+(?:[A-Z][a-z0-9]*)+\b"
+
+
 def metric_hints(question: Column, limit: int = 12) -> Column:
     """CamelCase words of 8 letters or more, each once, the first `limit`."""
-    found = F.regexp_extract_all(question, F.lit(r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b"), F.lit(0))
-    return F.slice(F.array_distinct(F.filter(found, lambda w: F.length(w) >= 8)), 1, limit)
+    found = F.regexp_extract_all(question, F.lit(f"(?U){METRIC_NAME}"), F.lit(0))
+    return F.slice(F.array_distinct(F.filter(found, lambda w: (F.length(w) >= 8) & ~w.isin(*HINT_NOISE))), 1, limit)
 
 
 def form_base(form: Column) -> Column:
@@ -59,24 +57,46 @@ def form_base(form: Column) -> Column:
 
 
 def period_dates(question: Column, limit: int = 8) -> Column:
-    return F.slice(F.array_distinct(F.regexp_extract_all(question, F.lit(r"\b(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}\b"), F.lit(0))), 1, limit)
+    """Dates 20xx-mm-dd, each once, the first `limit`; letters of any script end a word."""
+    return F.slice(F.array_distinct(F.regexp_extract_all(question, F.lit(r"(?U)\b(20[0-9]{2}-[0-9]{2}-[0-9]{2})\b"), F.lit(1))), 1, limit)
 
 
 def period_years(question: Column, limit: int = 6) -> Column:
-    return F.slice(F.array_distinct(F.regexp_extract_all(question, F.lit(r"\b20[0-9]{2}\b"), F.lit(0))), 1, limit)
+    return F.slice(F.array_distinct(F.regexp_extract_all(question, F.lit(r"(?U)\b(20[0-9]{2})\b"), F.lit(1))), 1, limit)
+
+
+# What asks for a comparison, and for the newest.
+YOY = ("year over year", "yoy", "同比", "去年同期")
+QOQ = ("quarter over quarter", "qoq", "环比", "上一季度")
+LATEST = r"(?U)\b(latest|most recent|newest)\b"
+RECENT = r"(?U)\b(latest|most recent|newest|filed)\b"
+
+
+def holds_any(text: Column, words: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for word in words:
+        found = found | text.contains(word)
+    return found
 
 
 def compare_mode(question: Column) -> Column:
-    q = F.lower(question)
+    """yoy, qoq, latest, point_in_time (a date is named) or generic; null counts as empty."""
+    q = F.lower(F.coalesce(question, F.lit("")))
     return (
-        F.when(q.rlike(r"year[ -]over[ -]year|yoy|同比"), "yoy")
-        .when(q.rlike(r"quarter[ -]over[ -]quarter|qoq|环比"), "qoq")
-        .when(q.rlike(r"latest|most recent|最新"), "latest")
-        .when(q.rlike(r"as of|截至"), "point_in_time")
+        F.when(holds_any(q, YOY), "yoy")
+        .when(holds_any(q, QOQ), "qoq")
+        .when(q.rlike(LATEST) | holds_any(q, ("最新", "最近")), "latest")
+        .when(F.size(period_dates(q)) > 0, "point_in_time")
         .otherwise("generic")
     )
 
 
+def prefers_recent(question: Column) -> Column:
+    """Whether the newest rows come first: always for latest and point_in_time, else where the words ask for it."""
+    q = F.lower(F.coalesce(question, F.lit("")))
+    return compare_mode(question).isin("latest", "point_in_time") | q.rlike(RECENT) | holds_any(q, ("最新", "最近", "申报"))
+
+
 def is_chinese(question: Column) -> Column:
     """4 Chinese characters, or 18 % of at least 10."""
     n = F.length(F.regexp_replace(question, r"[^\x{4e00}-\x{9fff}]", ""))

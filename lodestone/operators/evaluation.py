@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -20,16 +21,39 @@ def rank_metrics(hits: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     )
 
 
-def floor_percentile(values: Column, share: float) -> Column:
-    """The element at floor(share * (n - 1)) of the sorted values; null if there are none."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.get(ordered, F.floor(share * (F.size(ordered) - 1)).cast("int"))
+def floor_place(n: Column, share: float) -> Column:
+    """floor(share * (n - 1)), from 0."""
+    return F.floor(F.lit(share) * (n - 1)).cast("long")
 
 
-def bankers_percentile(values: Column, percent: float) -> Column:
-    """The element at percent / 100 * (n - 1), rounded half to even."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.get(ordered, F.bround(percent / 100 * (F.size(ordered) - 1), 0).cast("int"))
+def bankers_place(n: Column, percent: float) -> Column:
+    """percent / 100 * (n - 1), rounded half to even."""
+    return F.bround(F.lit(percent / 100) * (n - 1), 0).cast("long")
+
+
+def elements_at(rows: DataFrame, by: list[str], value: str, places: dict[str, Column], bins: int = 4096) -> DataFrame:
+    """One row a group: the elements of its sorted non-null values at `places`, functions of the column n from 0.
+
+    Values are counted in `bins` equal stretches of a group's range; only those of the stretch that holds a
+    place are then counted one by one, so no task sorts a whole group and equal values are one row. Groups of
+    nulls alone have no row. NaN and infinities have stretches of their own at the ends.
+    """
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    held = rows.filter(F.col(value).isNotNull()).select(group.alias("g"), F.col(value).cast("double").alias("v"))
+    finite = F.when(~F.isnan("v") & (F.abs("v") != float("inf")), F.col("v"))
+    ends = held.groupBy(F.col("g").alias("eg")).agg(F.min(finite).alias("low"), F.max(finite).alias("high"), F.count(F.lit(1)).alias("n"))
+    inner = F.least(F.lit(bins - 1), F.floor((F.col("v") / 2 - F.col("low") / 2) / F.nullif(F.col("high") / 2 - F.col("low") / 2, F.lit(0.0)) * bins))
+    spot = F.when(F.isnan("v"), bins + 1).when(F.col("v") == float("inf"), bins).when(F.col("v") == float("-inf"), -1).otherwise(F.coalesce(inner, F.lit(0)))
+    binned = held.join(ends, F.col("g").eqNullSafe(F.col("eg"))).select("g", "v", spot.cast("int").alias("spot"), "n")
+    sums = binned.groupBy("g", "spot", "n").agg(F.count(F.lit(1)).alias("size")).withColumn("end", F.sum("size").over(W.partitionBy("g").orderBy("spot")))
+    asked = sums.select("*", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), at.alias("at")) for name, at in places.items()])).alias("x")).select("*", "x.*")
+    asked = asked.filter((F.col("at") < F.col("end")) & (F.col("at") >= F.col("end") - F.col("size")))
+    asked = asked.select(F.col("g").alias("ag"), F.col("spot").alias("aspot"), "name", (F.col("at") - F.col("end") + F.col("size")).alias("at"))
+    there = F.col("g").eqNullSafe(F.col("ag")) & (F.col("spot") == F.col("aspot"))
+    near = binned.select("g", "v", "spot").join(asked, there, "left_semi").groupBy("g", "spot", "v").agg(F.count(F.lit(1)).alias("size"))
+    near = near.withColumn("upto", F.sum("size").over(W.partitionBy("g", "spot").orderBy("v")))
+    found = near.join(asked, there & (F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("size")))
+    return found.groupBy("g").agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in places]).select(*[F.col(f"g.{c}") for c in by], *places)
 
 
 def gate(current: DataFrame, baseline: DataFrame, threshold: float) -> DataFrame:

@@ -5,55 +5,177 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import narrative
 from lodestone.functions import text as T
 
-#: Phrases and the metrics they name, longer phrases first.
-ALIASES = (("net income", "NetIncomeLoss"), ("total assets", "Assets"), ("cash flow", "NetCashProvidedByUsedInOperatingActivities"), ("revenue", "Revenues"), ("equity", "StockholdersEquity"))
-#: Narrative targets and words that ask for them.
-TARGETS = (("risk", ("risk", "uncertaint")), ("drivers", ("why", "driver", "because", "reason")), ("outlook", ("outlook", "guidance", "expect")), ("liquidity", ("liquidity", "cash position")))
-#: (facts limit, passages, per filing, sub-queries, characters) for each question mode.
-BUDGETS = {"facts_only": (80, 4, 2, 1, 3000), "narrative_only": (0, 16, 4, 3, 6000), "mixed": (40, 12, 3, 2, 6000), "cross_filing_compare": (80, 12, 2, 3, 6000)}
+# Phrases and the metrics they name, in the order that breaks ties between phrases of one length.
+ALIASES = (
+    ("cost of revenue", ("CostOfRevenue", "CostOfGoodsAndServicesSold")),
+    ("gross profit", ("GrossProfit",)),
+    ("operating income", ("OperatingIncomeLoss",)),
+    ("accounts payable", ("AccountsPayableCurrent", "AccountsPayable")),
+    ("cash and cash equivalents", ("CashCashEquivalentsRestrictedCashAndRestrictedCashEquivalents", "Cash")),
+    ("net income", ("NetIncomeLoss", "NetIncomeLossAttributableToParent", "NetIncome")),
+    ("净利润", ("NetIncomeLoss", "NetIncomeLossAttributableToParent", "NetIncome")),
+    ("净亏损", ("NetIncomeLoss",)),
+    ("net loss", ("NetIncomeLoss",)),
+    ("revenue", ("Revenues", "Revenue", "SalesRevenueNet", "OperatingRevenues")),
+    ("sales", ("SalesRevenueNet", "Revenues")),
+    ("eps", ("EarningsPerShareBasic", "EarningsPerShareDiluted")),
+    ("ebitda", ("EarningsBeforeInterestTaxesDepreciationAmortization",)),
+    ("interest income", ("InvestmentIncomeInterest", "InterestIncomeExpenseNet")),
+    ("entity public float", ("EntityPublicFloat",)),
+    ("public float", ("EntityPublicFloat",)),
+)
+# Forms and how they are written, amended ones first.
+FORMS = (
+    ("10-Q/A", r"10\s*[-.]?\s*Q\s*/\s*A\b"),
+    ("10-K/A", r"10\s*[-.]?\s*K\s*/\s*A\b"),
+    ("8-K/A", r"8\s*[-.]?\s*K\s*/\s*A\b"),
+    ("10-Q", r"10\s*[-.]?\s*Q\b"),
+    ("10-K", r"10\s*[-.]?\s*K\b"),
+    ("8-K", r"8\s*[-.]?\s*K\b"),
+)
+# Words that ask for annual or quarterly reports where no form is written out.
+ANNUAL = ("annual", "full year", "fiscal year", "year-end", "year end", "fy", "全年", "年度", "年报")
+QUARTERLY = ("quarterly", "quarter", "qoq", "季度", "季报")
+# Narrative targets and words that ask for them.
+TARGETS = (
+    ("management_discussion", ("md&a", "management discussion", "management's discussion", "management discussion and analysis", "operating results", "results of operation", "results of operations", "讨论与分析", "管理层讨论")),
+    ("margin_cost_structure", ("cost structure", "cost of revenue", "gross margin", "operating margin", "成本结构", "毛利率", "营业利润率", "营业成本")),
+    ("liquidity", ("liquidity", "capital resources", "working capital", "cash runway", "流动性", "资本资源", "营运资金")),
+    ("going_concern", ("going concern", "substantial doubt", "持续经营")),
+    ("risk_factors", ("risk factors", "风险因素")),
+)
+# What the query of the narrative leg adds for a target.
+NARRATIVE_HINTS = {
+    "risk_factors": "Item 1A Risk Factors; concentration of revenue; customer dependence; major customers; single-customer risk",
+    "management_discussion": "Item 7 MD&A; management discussion and analysis; results of operations",
+    "margin_cost_structure": "gross margin; cost of revenue; operating expenses; cost structure",
+    "liquidity": "liquidity and capital resources; working capital; cash requirements",
+    "going_concern": "going concern; substantial doubt about ability to continue",
+}
+# Words that compare filings.
+COMPARES = ("compare", "versus", "vs", "变化", "对比", "trend", "evolution")
+# Rows of facts, summaries, leaves, leaves of one filing and filings of a second pass, by question mode.
+BUDGET_FIELDS = ("sql_rows", "summaries", "leaves", "per_filing", "second_pass")
+BUDGETS = {
+    "facts_only": (80, 6, 10, 3, 2),
+    "narrative_only": (32, 12, 30, 8, 3),
+    "cross_filing_compare": (96, 12, 30, 8, 4),
+    "mixed_narrative_first": (56, 10, 24, 6, 3),
+    "mixed_facts_first": (56, 10, 24, 6, 3),
+}
+# Sections a question names; they inform and filter nothing.
+SCOPE_SECTIONS = (
+    ("management_discussion", ("md&a", "management discussion", "管理层讨论")),
+    ("risk_factors", ("risk factor", "风险因素")),
+    ("liquidity", ("liquidity", "capital resources", "流动性")),
+    ("business_overview", ("business overview", "业务概览")),
+)
 
 
 def any_of(text: Column, words: tuple[str, ...]) -> Column:
-    found = F.lit(False)
-    for word in words:
-        found = found | text.contains(word)
-    return found
+    return T.holds_any(text, words)
 
 
-def plan(questions: DataFrame, question: str = "question") -> DataFrame:
-    """questions with metrics, forms, dates, years, compare mode, targets, mode and budget."""
-    q = F.coalesce(F.col(question), F.lit(""))
-    low = F.lower(q)
-    named = F.array_compact(F.array(*[F.when(low.contains(phrase), F.lit(tag)) for phrase, tag in ALIASES]))
-    forms = F.array_distinct(F.transform(F.regexp_extract_all(F.upper(q), F.lit(r"\b(10[ .-]?[KQ]|8[ .-]?K|20[ .-]?F|6[ .-]?K)(?:/A)?\b"), F.lit(1)), T.form_base))
-    annual, quarterly = any_of(low, ("annual", "full year", "fiscal year")), any_of(low, ("quarter",))
-    inferred = F.when(annual & ~quarterly, F.array(F.lit("10-K"))).when(quarterly & ~annual, F.array(F.lit("10-Q"))).otherwise(F.array().cast("array<string>"))
-    targets = F.array_compact(F.array(*[F.when(any_of(low, words), F.lit(name)) for name, words in TARGETS]))
-    planned = questions.select(
-        "*",
-        F.slice(F.array_distinct(F.concat(T.metric_hints(q), named)), 1, 16).alias("metrics"),
-        F.when(F.size(forms) > 0, forms).otherwise(inferred).alias("forms"),
-        T.period_dates(q).alias("period_dates"), T.period_years(q).alias("period_years"), T.compare_mode(q).alias("compare_mode"), targets.alias("targets"),
-    )
-    facts, narrative = F.size("metrics") > 0, F.size("targets") > 0
-    mode = F.when(F.col("compare_mode").isin("yoy", "qoq") & facts, "cross_filing_compare").when(facts & ~narrative, "facts_only").when(narrative & ~facts, "narrative_only").otherwise("mixed")
-    budget = F.create_map(*[x for m, b in BUDGETS.items() for x in (F.lit(m), F.struct(*[F.lit(v).alias(n) for v, n in zip(b, ("facts", "passages", "per_filing", "subqueries", "characters"), strict=True)]))])
-    return planned.withColumn("mode", mode).withColumn("budget", F.element_at(budget, F.col("mode")))
+def _named(text: Column, rules: tuple[tuple[str, tuple[str, ...]], ...]) -> Column:
+    return F.array_compact(F.array(*[F.when(any_of(text, words), F.lit(name)) for name, words in rules]))
+
+
+def metrics_asked(question: Column, limit: int = 16) -> Column:
+    """CamelCase names, then metrics of the phrases that occur, longest phrase first; each once."""
+    low = F.lower(question)
+    rules = sorted(ALIASES, key=lambda rule: -len(rule[0]))
+    phrased = F.flatten(F.array(*[F.when(low.contains(phrase), _texts(tags)).otherwise(_texts(())) for phrase, tags in rules]))
+    return F.slice(F.array_distinct(F.concat(T.metric_hints(question), phrased)), 1, limit)
+
 
+def listed_metrics(keys: Column, limit: int = 16) -> Column:
+    """Names without their namespace that the table of phrases knows, each once; for plans that a model wrote."""
+    bare = F.transform(keys, lambda k: F.trim(F.element_at(F.split(F.trim(k), r"\."), -1)))
+    known = sorted({tag for _, tags in ALIASES for tag in tags})
+    return F.slice(F.array_distinct(F.filter(bare, lambda k: k.isin(*known))), 1, max(1, limit))
 
-def narrowed(documents: DataFrame, plans: DataFrame, key: str = "query_id") -> DataFrame:
-    """(query_id, document_id): documents whose years and forms meet a plan's; a plan that meets none keeps all.
 
-    documents(document_id, years, forms). Plans are joined through exploded years, so no plan is
-    paired with documents it can't match before the fallback asks for them.
+def forms_asked(question: Column) -> Column:
+    """Forms written out; else 10-K or 10-Q where the words ask for one kind alone; else none."""
+    low = F.lower(question)
+    written = F.array_compact(F.array(*[F.when(question.rlike(f"(?iU){pattern}"), F.lit(form)) for form, pattern in FORMS]))
+    annual = any_of(low, ANNUAL) | low.rlike(r"(?U)\bfy\s*20[0-9]{2}\b")
+    quarterly = any_of(low, QUARTERLY) | low.rlike(r"(?U)\bq[1-3]\b") | low.contains("环比")
+    inferred = F.when(annual & ~quarterly, _texts(("10-K",))).when(quarterly & ~annual, _texts(("10-Q",))).otherwise(_texts(()))
+    return F.when(F.size(written) > 0, written).otherwise(inferred)
+
+
+def plan(questions: DataFrame, question: str = "question", kind: str | None = None) -> DataFrame:
+    """questions with what they ask for: metrics, forms, period_dates, period_years, compare_mode, prefer_recent,
+    targets, mode, budget, needs, terms, retrieval_query and narrative_query.
+
+    `kind` names a column that says numeric or narrative where that is known. A null question counts as
+    empty; what a question doesn't ask for is an empty array or text. Columns of these names are replaced.
+    """
+    q = F.coalesce(F.col(question), F.lit(""))
+    low = F.lower(q)
+    base = F.trim(F.regexp_replace(q, r"^\s+|\s+$", ""))
+    found = {
+        "metrics": metrics_asked(q), "forms": forms_asked(q), "period_dates": T.period_dates(q), "period_years": T.period_years(q),
+        "compare_mode": T.compare_mode(q), "prefer_recent": T.prefers_recent(q), "targets": _named(low, TARGETS),
+    }
+    planned = questions.withColumns(found)
+    facts, told = F.size("metrics") > 0, F.size("targets") > 0
+    asked = F.col(kind) if kind else F.lit(None).cast("string")
+    mode = (
+        F.when((F.size("period_years") >= 2) | any_of(low, COMPARES), "cross_filing_compare")
+        .when(asked == "numeric", "facts_only")
+        .when(asked == "narrative", "narrative_only")
+        .when(told, "mixed_narrative_first")
+        .when(facts | (F.size("period_dates") > 0), "mixed_facts_first")
+        .otherwise("facts_only")
+    )
+    planned = planned.withColumn("mode", mode)
+    budgets = F.create_map(*[x for m, b in BUDGETS.items() for x in (F.lit(m), F.struct(*[F.lit(v).alias(n) for n, v in zip(BUDGET_FIELDS, b, strict=True)]))])
+    aliases = F.create_map(*[x for name, words in TARGETS for x in (F.lit(name), _texts(words[:3]))])
+    hints = F.create_map(*[x for name, text in NARRATIVE_HINTS.items() for x in (F.lit(name), F.lit(text))])
+    terms = F.concat(F.flatten(F.transform("targets", lambda t: F.element_at(aliases, t))), F.slice("metrics", 1, 6), F.col("forms"), F.slice("period_years", 1, 4), F.slice("period_dates", 1, 4))
+    focus = F.slice(F.transform("targets", lambda t: F.element_at(hints, t)), 1, 4)
+    narrative = F.col("mode") != "facts_only"
+    return planned.withColumns({
+        "budget": F.element_at(budgets, F.col("mode")),
+        "needs": F.struct(narrative.alias("narrative"), (F.col("mode") != "narrative_only").alias("numeric"), (F.col("mode") == "cross_filing_compare").alias("cross_filing")),
+        "terms": F.slice(F.array_distinct(terms), 1, 16),
+        "retrieval_query": F.when((base == "") | ~facts, base).otherwise(F.concat(base, F.lit("\n\nXBRL metrics: "), F.array_join(F.slice("metrics", 1, 12), " "))),
+        "narrative_query": F.when(~narrative | (base == ""), "").when(~told, base).otherwise(F.concat(base, F.lit("\n\nNarrative focus: "), F.array_join(focus, "; "))),
+    })
+
+
+def scope(question: Column) -> Column:
+    """periods, forms, sections and whether one of the first two is explicit; null counts as empty."""
+    q = F.coalesce(question, F.lit(""))
+    periods, forms = narrative.question_years(q), narrative.question_forms(q)
+    explicit = (F.size(periods) > 0) | (F.size(forms) > 0)
+    return F.struct(periods.alias("periods"), forms.alias("forms"), _named(F.lower(q), SCOPE_SECTIONS).alias("sections"), explicit.alias("explicit"))
+
+
+def narrowed(documents: DataFrame, scopes: DataFrame, key: str = "query_id") -> DataFrame:
+    """(query_id, document_id): documents that have one of a scope's periods and one of its forms, as far as it names any.
+
+    documents(document_id, years, forms); scopes(query_id, periods, forms), ids unique in both. A scope that
+    names nothing, or that no document meets, has one row with a null document_id: the search isn't
+    narrowed. Its pairs with all documents are never written out. Documents and scopes meet on values,
+    and each kind of value is made distinct before kinds are counted. Null arrays hold nothing.
     """
-    wanted = plans.select(key, F.explode("period_years").alias("year"))
-    years = documents.select("document_id", F.explode("years").alias("year"))
-    hit = years.join(wanted, "year").select(key, "document_id").distinct()
-    none = plans.select(key).join(hit.select(key).distinct(), key, "left_anti")
-    return hit.unionByName(documents.select("document_id").crossJoin(none).select(key, "document_id"))
+    kinds = (("periods", "years"), ("forms", "forms"))
+
+    def valued(kind: str, column: str) -> Column:
+        return F.transform(F.array_distinct(F.coalesce(column, _texts(()))), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    wanted = scopes.select(key, F.explode(F.concat(*[valued(k, k) for k, _ in kinds])).alias("x")).select(key, "x.*")
+    has = documents.select("document_id", F.explode(F.concat(*[valued(k, c) for k, c in kinds])).alias("x")).select("document_id", "x.*")
+    asked = scopes.select(key, sum((F.coalesce(F.size(F.col(c)) > 0, F.lit(False)).cast("int") for c, _ in kinds), F.lit(0)).alias("asked"))
+    met = has.join(wanted, ["kind", "value"]).groupBy(key, "document_id").agg((F.max((F.col("kind") == "periods").cast("int")) + F.max((F.col("kind") == "forms").cast("int"))).alias("met"))
+    hit = met.join(asked, key).filter("met = asked").select(key, "document_id")
+    return asked.select(key).join(hit, key, "left")
 
 
 # What each narrative target looks for, in titles and as soft hints.

@@ -52,6 +52,8 @@ def nearest(value: Column, by: list[str], order: str) -> tuple[Column, Column]:
     return F.last(value, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)), F.first(value, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
 
 
-def recency_bonus(by: list[str], order: Column, most: float = 0.18) -> Column:
-    """`most` for the newest row down to 0 for the oldest."""
-    return F.lit(most) * (1 - F.percent_rank().over(W.partitionBy(*by).orderBy(order)))
+def recency_bonus(by: list[str], newest_first: list[Column], most: float = 0.18) -> Column:
+    """`most` for the newest row down to 0 for the oldest, in equal steps; rows of one date differ by the later columns."""
+    w = W.partitionBy(*by)
+    place, steps = F.row_number().over(w.orderBy(*newest_first)) - 1, F.greatest(F.lit(1), F.count(F.lit(1)).over(w) - 1)
+    return F.lit(most) * (1 - place / steps)

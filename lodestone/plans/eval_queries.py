@@ -24,9 +24,9 @@ def eval_panel(spark, sf_dir):
 
 
 def p95_floor(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.round(evaluation.floor_percentile(F.col("value"), 0.95), 6).alias("p95"), F.round(evaluation.bankers_percentile(F.col("value"), 50), 6).alias("p50")
-    )
+    n = F.col("n")
+    found = evaluation.elements_at(table(spark, sf_dir, "events"), ["event_type"], "value", {"p95": evaluation.floor_place(n, 0.95), "p50": evaluation.bankers_place(n, 50)})
+    return found.select("event_type", F.round("p95", 6).alias("p95"), F.round("p50", 6).alias("p50"))
 
 
 def gate_compare(spark, sf_dir):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import chunking, formats, narrative
 from lodestone.functions import text as T
 from lodestone.operators import evaluation, evidence, planning, sampling
+from lodestone.plans.questions import ASKED_SQL, asked_of_orders
 from lodestone.session import table
 from lodestone.sources import filings
 
@@ -92,9 +93,10 @@ def leak_check(spark, sf_dir):
 
 
 def question_plan(spark, sf_dir):
-    """Mode, targets and facts limit of every turn."""
-    planned = planning.plan(table(spark, sf_dir, "conversations"), "text")
-    return planned.select("conv_id", "turn", "mode", F.array_join("targets", ",").alias("targets"), F.col("budget.facts").cast("long").alias("facts_limit"))
+    """The plan of a question made from every order."""
+    planned = planning.plan(asked_of_orders(spark, sf_dir))
+    texts = [F.array_join(c, ",").alias(c) for c in ("metrics", "forms", "period_dates", "period_years", "targets", "terms")]
+    return planned.select("query_id", "mode", *texts, *[F.col(f"budget.{f}").cast("long").alias(f) for f in planning.BUDGET_FIELDS], "needs.narrative", "needs.numeric", "needs.cross_filing", "retrieval_query", "narrative_query")
 
 
 def sentence_chunks(spark, sf_dir):
@@ -164,9 +166,31 @@ ORACLES = {
       a AS (SELECT DISTINCT item_id, substr(t, i, 16) AS w FROM (SELECT item_id, t, unnest(range(1, length(t) - 14)) AS i FROM q)),
       b AS (SELECT DISTINCT doc_id, substr(t, i, 16) AS w FROM (SELECT doc_id, t, unnest(range(1, length(t) - 14)) AS i FROM d) WHERE substr(t, i, 16) IN (SELECT w FROM a))
       SELECT item_id AS question_id, doc_id AS text_id, count(*) AS shared FROM a JOIN b USING (w) GROUP BY ALL""",
-    "question_plan": rf"""WITH q AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS low,
-        len(list_filter(regexp_extract_all(coalesce(text, ''), '\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b'), lambda x: length(x) >= 8)) > 0 OR {_holds("lower(coalesce(text, ''))", tuple(p for p, _ in planning.ALIASES))} AS facts,
-        concat_ws(',', {", ".join(f"CASE WHEN {_holds("lower(coalesce(text, ''))", words)} THEN '{name}' END" for name, words in planning.TARGETS)}) AS targets FROM conversations),
-      m AS (SELECT *, CASE WHEN facts AND regexp_matches(low, 'year[ -]over[ -]year|yoy|同比|quarter[ -]over[ -]quarter|qoq|环比') THEN 'cross_filing_compare' WHEN facts AND targets = '' THEN 'facts_only' WHEN NOT facts AND targets <> '' THEN 'narrative_only' ELSE 'mixed' END AS mode FROM q)
-      SELECT conv_id, turn, mode, targets, CASE mode WHEN 'facts_only' THEN 80 WHEN 'narrative_only' THEN 0 WHEN 'mixed' THEN 40 ELSE 80 END AS facts_limit FROM m""",
+    "question_plan": rf"""WITH {ASKED_SQL}, l AS (SELECT *, lower(t) AS low, trim(t) AS base FROM q),
+      n AS (SELECT *,
+        list_concat(list_filter(regexp_extract_all(t, '\b[A-Z][a-z]+(?:[A-Z][a-z0-9]*)+\b'), lambda x: x IN ('NetIncomeLoss', 'GrossProfitRatio2')),
+          CASE WHEN contains(low, 'operating income') THEN ['OperatingIncomeLoss'] ELSE [] END, CASE WHEN contains(low, 'cost of revenue') THEN ['CostOfRevenue', 'CostOfGoodsAndServicesSold'] ELSE [] END,
+          CASE WHEN contains(low, 'net income') OR contains(low, '净利润') THEN ['NetIncomeLoss', 'NetIncomeLossAttributableToParent', 'NetIncome'] ELSE [] END,
+          CASE WHEN contains(low, 'revenue') THEN ['Revenues', 'Revenue', 'SalesRevenueNet', 'OperatingRevenues'] ELSE [] END, CASE WHEN contains(low, 'sales') THEN ['SalesRevenueNet', 'Revenues'] ELSE [] END,
+          CASE WHEN contains(low, 'eps') THEN ['EarningsPerShareBasic', 'EarningsPerShareDiluted'] ELSE [] END) AS named,
+        list_filter([CASE WHEN contains(low, '8-k/a') THEN '8-K/A' END, CASE WHEN contains(low, '10.k / a') THEN '10-K/A' END, CASE WHEN contains(low, '10-q') THEN '10-Q' END, CASE WHEN regexp_matches(low, '10[-.]?k') THEN '10-K' END, CASE WHEN contains(low, '8-k') THEN '8-K' END], lambda x: x IS NOT NULL) AS written,
+        regexp_matches(low, 'annual|fy|年报') AS annual, regexp_matches(low, 'quarter|\bq2\b') AS quarterly,
+        regexp_extract_all(t, '\b20[0-9][0-9]\b') AS years, regexp_extract_all(t, '20[0-9][0-9]-[0-9][0-9]-[0-9][0-9]') AS dates,
+        list_filter([CASE WHEN regexp_matches(low, 'management discussion|results of operations') THEN 'management_discussion' END, CASE WHEN regexp_matches(low, 'gross margin|cost of revenue') THEN 'margin_cost_structure' END, CASE WHEN contains(low, 'liquidity') THEN 'liquidity' END,
+                     CASE WHEN contains(low, 'substantial doubt') THEN 'going_concern' END, CASE WHEN contains(low, 'risk factors') THEN 'risk_factors' END], lambda x: x IS NOT NULL) AS targets FROM l),
+      u AS (SELECT *, list_filter(named, lambda x, i: list_position(named, x) = i)[1:16] AS metrics, list_filter(years, lambda x, i: list_position(years, x) = i)[1:6] AS ys,
+        CASE WHEN len(written) > 0 THEN written WHEN annual AND NOT quarterly THEN ['10-K'] WHEN quarterly AND NOT annual THEN ['10-Q'] ELSE [] END AS forms FROM n),
+      m AS (SELECT *, CASE WHEN len(ys) >= 2 OR regexp_matches(low, 'compare|trend') THEN 'cross_filing_compare' WHEN len(targets) > 0 THEN 'mixed_narrative_first' WHEN len(metrics) > 0 OR len(dates) > 0 THEN 'mixed_facts_first' ELSE 'facts_only' END AS mode,
+        list_concat(flatten(list_transform(targets, lambda x: CASE x WHEN 'management_discussion' THEN ['md&a', 'management discussion', 'management''s discussion'] WHEN 'margin_cost_structure' THEN ['cost structure', 'cost of revenue', 'gross margin']
+          WHEN 'liquidity' THEN ['liquidity', 'capital resources', 'working capital'] WHEN 'going_concern' THEN ['going concern', 'substantial doubt', '持续经营'] ELSE ['risk factors', '风险因素'] END)), metrics[1:6], forms, ys[1:4], dates[1:4]) AS terms FROM u)
+      SELECT query_id, mode, array_to_string(metrics, ',') AS metrics, array_to_string(forms, ',') AS forms, array_to_string(dates, ',') AS period_dates, array_to_string(ys, ',') AS period_years, array_to_string(targets, ',') AS targets,
+        array_to_string(list_filter(terms, lambda x, i: list_position(terms, x) = i)[1:16], ',') AS terms,
+        CASE mode WHEN 'facts_only' THEN 80 WHEN 'cross_filing_compare' THEN 96 ELSE 56 END AS sql_rows, CASE mode WHEN 'facts_only' THEN 6 WHEN 'cross_filing_compare' THEN 12 ELSE 10 END AS summaries,
+        CASE mode WHEN 'facts_only' THEN 10 WHEN 'cross_filing_compare' THEN 30 ELSE 24 END AS leaves, CASE mode WHEN 'facts_only' THEN 3 WHEN 'cross_filing_compare' THEN 8 ELSE 6 END AS per_filing,
+        CASE mode WHEN 'facts_only' THEN 2 WHEN 'cross_filing_compare' THEN 4 ELSE 3 END AS second_pass, mode <> 'facts_only' AS narrative, true AS numeric, mode = 'cross_filing_compare' AS cross_filing,
+        CASE WHEN len(metrics) > 0 THEN base || chr(10) || chr(10) || 'XBRL metrics: ' || array_to_string(metrics[1:12], ' ') ELSE base END AS retrieval_query,
+        CASE WHEN mode = 'facts_only' THEN '' WHEN len(targets) = 0 THEN base ELSE base || chr(10) || chr(10) || 'Narrative focus: ' || array_to_string(list_transform(targets, lambda x: CASE x
+          WHEN 'management_discussion' THEN 'Item 7 MD&A; management discussion and analysis; results of operations' WHEN 'margin_cost_structure' THEN 'gross margin; cost of revenue; operating expenses; cost structure'
+          WHEN 'liquidity' THEN 'liquidity and capital resources; working capital; cash requirements' WHEN 'going_concern' THEN 'going concern; substantial doubt about ability to continue'
+          ELSE 'Item 1A Risk Factors; concentration of revenue; customer dependence; major customers; single-customer risk' END)[1:4], '; ') END AS narrative_query FROM m""",
 }

@@ -44,7 +44,7 @@ def filing_distribution(spark, sf_dir):
 
 
 def recency_bonus(spark, sf_dir):
-    bonus = trees.recency_bonus(["o_custkey"], F.col("o_orderdate").desc())
+    bonus = trees.recency_bonus(["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()])
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(bonus, 6).alias("bonus"))
 
 
@@ -90,7 +90,7 @@ ORACLES = {
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey ORDER BY score DESC, l_orderkey, l_linenumber LIMIT 50""",
     "catalog_counts": "SELECT o_orderkey, o_orderstatus, coalesce(n, 0) AS nodes FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey",
     "filing_distribution": "SELECT l_suppkey, round(sum(greatest(0.25::DOUBLE, l_discount * 10)), 4) AS weight, count(*) AS n FROM lineitem GROUP BY 1",
-    "recency_bonus": "SELECT o_orderkey, round(0.18::DOUBLE * (1 - percent_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC)), 6) AS bonus FROM orders",
+    "recency_bonus": "SELECT o_orderkey, round(0.18::DOUBLE * (1 - (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) - 1) / greatest(1, count(*) OVER (PARTITION BY o_custkey) - 1)), 6) AS bonus FROM orders",
     "children_capped": "SELECT * FROM (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS place FROM lineitem) WHERE place <= 3",
     "tree_descendants": """WITH RECURSIVE edges AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer),
       below AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, 0 AS depth FROM region UNION ALL SELECT root, child, depth + 1 FROM below JOIN edges ON parent = node)

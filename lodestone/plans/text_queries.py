@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.functions import narrative
 from lodestone.functions import text as T
-from lodestone.operators import trees
-from lodestone.sources.html import visible_text
+from lodestone.operators import planning, trees
+from lodestone.plans.questions import ASKED_SQL, asked_of_orders
 from lodestone.session import table
+from lodestone.sources.html import visible_text
 
 
 def section_tree(spark, sf_dir):
@@ -46,7 +48,7 @@ def text_quality(spark, sf_dir):
 
 
 def normalize_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.selector_text(F.col("text"))).alias("key"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(narrative.selector_key(F.col("text"))).alias("key"))
 
 
 def dedup_prefix(spark, sf_dir):
@@ -96,17 +98,28 @@ def page_offset(spark, sf_dir):
 
 
 def query_scope(spark, sf_dir):
-    """Years, forms and how questions compare, of every turn."""
-    q = F.col("text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(T.period_years(q), ",").alias("years"), F.array_join(T.metric_hints(q), ",").alias("hints"), T.compare_mode(q).alias("compare_mode"))
+    """Years, forms, sections and how questions compare, of a question made from every order."""
+    asked = asked_of_orders(spark, sf_dir).withColumn("scope", planning.scope(F.col("question")))
+    texts = {c: F.array_join(f"scope.{c}", ",") for c in ("periods", "forms", "sections")}
+    q = F.col("question")
+    return asked.select("query_id", *[c.alias(n) for n, c in texts.items()], F.col("scope.explicit").alias("explicit"), T.compare_mode(q).alias("compare_mode"), T.prefers_recent(q).alias("prefer_recent"))
+
+
+def scope_narrowing(spark, sf_dir):
+    """Customers whose orders have a year and a form that a question about 1 of 60 combinations names; none where none do."""
+    documents = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("document_id")).agg(
+        F.collect_set((F.year("o_orderdate") + 10).cast("string")).alias("years"), F.collect_set(F.when(F.col("o_orderpriority") == "1-URGENT", "10-K").otherwise("10-Q")).alias("forms")
+    )
+    words = F.concat_ws(" ", F.lit("Risk"), F.when(F.col("n_nationkey") % 3 > 0, (F.col("n_nationkey") % 9 + 2002).cast("string")), F.when(F.col("n_nationkey") % 2 > 0, F.lit("annual report")))
+    scopes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), planning.scope(words).alias("s")).select("query_id", "s.*")
+    return planning.narrowed(documents, scopes)
 
 
 def previews(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text"), 80).alias("preview"))
 
 
-QUERIES = {f.__name__: f for f in (section_tree, html_title_counts, html_visible_text, table_density, text_quality, normalize_text, dedup_prefix, trigram_overlap, facets, set_staleness, reconcile_orphans, stratified_sample, page_offset, query_scope, previews)}
-_LOWER = "regexp_replace(lower(text), '\\b(19|20)[0-9]{2}\\b', '<year>', 'g')"
+QUERIES = {f.__name__: f for f in (section_tree, html_title_counts, html_visible_text, table_density, text_quality, normalize_text, dedup_prefix, trigram_overlap, facets, set_staleness, reconcile_orphans, stratified_sample, page_offset, query_scope, scope_narrowing, previews)}
 ORACLES = {
     "section_tree": r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/]*)', 1) AS host,
         list_filter(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://[^/]*', ''), '/'), lambda x: x <> '')[1:2] AS path FROM pages),
@@ -120,7 +133,11 @@ ORACLES = {
     "text_quality": r"""SELECT quality, count(*) AS n, round(avg(len(regexp_extract_all(text, '[.!?](\s|$)'))), 6) AS sentences,
       round(avg(list_sum(list_transform(['because', 'due to', 'as a result', 'driven by', 'primarily', 'resulted in'], lambda p: CAST(contains(lower(text), p) AS INTEGER)))), 6) AS causal,
       round(avg(length(text)), 6) AS mean_length FROM documents JOIN labels USING (doc_id) GROUP BY quality""",
-    "normalize_text": rf"SELECT doc_id, md5(left(trim(regexp_replace(regexp_replace({_LOWER}, '[0-9]+([.,][0-9]+)*', '<num>', 'g'), '[ \t\n\r\f]+', ' ', 'g')), 1200)) AS key FROM documents",
+    "normalize_text": r"""WITH a AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+      b AS (SELECT doc_id, replace(regexp_replace(t, '[a-z][a-z0-9 .,&''/-]*\|\s*q[1-4][^|\n]*form\s+10-[kq]\s*\|\s*\d+', ' ', 'g'), 'table |', ' table ') AS t FROM a),
+      c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\b(first|second|third|fourth|three|six|nine|twelve)\s+(quarter|months?)\b', ' ', 'g'), '\bq[1-4]\b', ' ', 'g') AS t FROM b),
+      d AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\b20\d{2}\b', ' <year> ', 'g'), '\b\d[\d,.\-$()%]*\b', ' <num> ', 'g') AS t FROM c)
+      SELECT doc_id, md5(left(trim(regexp_replace(t, '\s+', ' ', 'g')), 1200)) AS key FROM d""",
     "dedup_prefix": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY left(text, 200)",
     "trigram_overlap": r"""WITH b AS (SELECT item_id, regexp_replace(lower(text), '[ \t\n\r]+', '', 'g') AS t FROM benchmark),
       g AS (SELECT DISTINCT item_id, substr(t, i, 3) AS g FROM (SELECT item_id, t, unnest(range(1, length(t) - 1)) AS i FROM b)), s AS (SELECT item_id, count(*) AS n FROM g GROUP BY 1),
@@ -131,10 +148,15 @@ ORACLES = {
     "reconcile_orphans": "SELECT doc_id, 'unlabelled' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'missing' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
     "stratified_sample": "SELECT doc_id, source, lang, round FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY md5(CAST(doc_id AS VARCHAR))) AS round FROM documents) ORDER BY round, source, lang LIMIT 100",
     "page_offset": "SELECT doc_id, source, length(text) AS size FROM documents ORDER BY source, doc_id LIMIT 20 OFFSET 40",
-    "query_scope": r"""SELECT conv_id, turn, array_to_string(list_distinct_ordered, ',') AS years, array_to_string(hints, ',') AS hints, mode AS compare_mode FROM (
-      SELECT conv_id, turn, list_filter(regexp_extract_all(text, '\b20[0-9]{2}\b'), lambda x, i: i <= 6 AND list_position(regexp_extract_all(text, '\b20[0-9]{2}\b'), x) = i) AS list_distinct_ordered,
-             list_filter(regexp_extract_all(text, '\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b'), lambda x: length(x) >= 8) AS hints,
-             CASE WHEN regexp_matches(lower(text), 'year[ -]over[ -]year|yoy|同比') THEN 'yoy' WHEN regexp_matches(lower(text), 'quarter[ -]over[ -]quarter|qoq|环比') THEN 'qoq'
-                  WHEN regexp_matches(lower(text), 'latest|most recent|最新') THEN 'latest' WHEN regexp_matches(lower(text), 'as of|截至') THEN 'point_in_time' ELSE 'generic' END AS mode FROM conversations)""",
+    "query_scope": rf"""WITH {ASKED_SQL}, l AS (SELECT *, lower(t) AS low, regexp_extract_all(regexp_replace(t, '(?i)\b(ASU|Item) 20[0-9][0-9]', '~', 'g'), '20[0-9][0-9]') AS y FROM q)
+      SELECT query_id, array_to_string(list_filter(y, lambda x, i: list_position(y, x) = i), ',') AS periods,
+             concat_ws(',', CASE WHEN regexp_matches(low, '\b10-?ks?\b') OR contains(low, 'annual report') OR contains(t, '年报') THEN '10-K' END, CASE WHEN regexp_matches(low, '\b10-?qs?\b') OR contains(low, 'quarterly report') THEN '10-Q' END) AS forms,
+             concat_ws(',', CASE WHEN contains(low, 'management discussion') THEN 'management_discussion' END, CASE WHEN contains(low, 'risk factor') THEN 'risk_factors' END, CASE WHEN contains(low, 'liquidity') THEN 'liquidity' END) AS sections,
+             len(y) > 0 OR regexp_matches(low, '\b10-?[kq]s?\b|annual report|quarterly report|年报') AS explicit, compares AS compare_mode, compares IN ('latest', 'point_in_time') OR contains(low, 'filed') AS prefer_recent FROM l""",
+    "scope_narrowing": """WITH d AS (SELECT o_custkey AS document_id, year(o_orderdate) + 10 AS y, o_orderpriority = '1-URGENT' AS annual FROM orders),
+      s AS (SELECT n_nationkey AS query_id, CASE WHEN n_nationkey % 3 > 0 THEN n_nationkey % 9 + 2002 END AS y, n_nationkey % 2 > 0 AS k FROM nation),
+      p AS (SELECT query_id, document_id FROM s JOIN d ON d.y = s.y), f AS (SELECT query_id, document_id FROM s JOIN d ON s.k AND d.annual),
+      h AS (SELECT query_id, document_id FROM p WHERE query_id IN (SELECT query_id FROM s WHERE NOT k) UNION SELECT query_id, document_id FROM f WHERE query_id IN (SELECT query_id FROM s WHERE y IS NULL) UNION (SELECT * FROM p INTERSECT SELECT * FROM f))
+      SELECT s.query_id, h.document_id FROM s LEFT JOIN h USING (query_id)""",
     "previews": "SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE rtrim(left(text, 77), ' ') || '...' END AS preview FROM documents",
 }

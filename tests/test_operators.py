@@ -53,11 +53,21 @@ def test_section_tree_keeps_one_node_for_a_revisited_path(spark):
     assert [("/".join(r.prefix), r.leaves) for r in found] == [("a", 3), ("a/b", 2), ("c", 1)]
 
 
-def test_percentiles(spark):
-    rows = spark.createDataFrame([(float(v),) for v in range(10)], "v double")
-    row = rows.agg(evaluation.floor_percentile(F.col("v"), 0.95).alias("a"), evaluation.bankers_percentile(F.col("v"), 50).alias("b")).first()
-    assert (row.a, row.b) == (8.0, 4.0)
-    assert rows.limit(0).agg(evaluation.floor_percentile(F.col("v"), 0.95).alias("a")).first().a is None
+def test_elements_at(spark):
+    nan, inf = float("nan"), float("inf")
+    values = {"a": list(range(10)), "b": [5.0] * 7, "c": [None, None], None: [1.0, None, 2.0, inf, -inf, nan], "d": [1e308, -1e308, 0.5, 0.25, 0.125], "e": [(i * 37 % 1009) ** 3 / 7 for i in range(1000)]}
+    rows = spark.createDataFrame([(k, None if v is None else float(v)) for k, vs in values.items() for v in vs], "k string, x double")
+    places = {"p": evaluation.floor_place(F.col("n"), 0.95), "q": evaluation.bankers_place(F.col("n"), 50)}
+    for bins in (1, 3, 4096):
+        got = {r.k: (repr(r.p), repr(r.q)) for r in evaluation.elements_at(rows, ["k"], "x", places, bins).collect()}
+        want = {}
+        for k, vs in values.items():
+            held = sorted((float(v) for v in vs if v is not None), key=lambda v: (v != v, v))
+            if held:
+                want[k] = (repr(held[int(0.95 * (len(held) - 1))]), repr(held[round(0.5 * (len(held) - 1))]))
+        assert got == want
+    assert evaluation.elements_at(rows.limit(0), ["k"], "x", places).count() == 0
+    assert evaluation.elements_at(rows.filter("k = 'a'"), [], "x", places).collect() == [(8.0, 4.0)]
 
 
 def test_gate_directions(spark):
@@ -99,13 +109,33 @@ def test_text_functions(spark):
     assert (row.clean, row.form, row.rich, row.cut, row.cik, row.year) == ("a\nb", "10-K", "T\nT\nbody", "abc...", "0000000012", 1931)
 
 
-def test_plan_and_scope(spark):
-    questions = spark.createDataFrame([(1, "Why did revenue fall in the 2023 annual report?"), (2, "NetIncomeLoss 10-Q 2020"), (3, None)], "query_id long, question string")
+def test_plan(spark):
+    questions = spark.createDataFrame([(1, "Why did revenue fall in the 2023 annual report?"), (2, "NetIncomeLoss 10-Q 2020"), (3, None), (4, "gross margin 2021 vs 2022"), (5, "风险因素 and the 2022年 outlook"), (6, "Assets as of 2022-06-30"), (7, "eps 10.K/A")], "query_id long, question string")
     plans = {r.query_id: r for r in planning.plan(questions).collect()}
-    assert (plans[1].mode, plans[1].forms, plans[1].metrics) == ("mixed", ["10-K"], ["Revenues"])
-    assert (plans[2].mode, plans[2].forms, plans[2].budget.facts) == ("facts_only", ["10-Q"], 80)
-    documents = spark.createDataFrame([(7, ["2023"]), (8, ["2022"])], "document_id long, years array<string>")
-    assert {(r.query_id, r.document_id) for r in planning.narrowed(documents, planning.plan(questions)).collect()} == {(1, 7), (2, 7), (2, 8), (3, 7), (3, 8)}
+    assert [plans[i].mode for i in range(1, 8)] == ["mixed_facts_first", "mixed_facts_first", "facts_only", "cross_filing_compare", "mixed_narrative_first", "mixed_facts_first", "mixed_facts_first"]
+    assert (plans[1].forms, plans[1].metrics[0], plans[1].period_years, plans[1].budget.sql_rows) == (["10-K"], "Revenues", ["2023"], 56)
+    assert plans[2].retrieval_query == "NetIncomeLoss 10-Q 2020\n\nXBRL metrics: NetIncomeLoss" and plans[2].forms == ["10-Q"]
+    assert (plans[3].retrieval_query, plans[3].terms, plans[3].budget.sql_rows) == ("", [], 80)
+    assert (plans[4].targets, plans[4].needs.cross_filing) == (["margin_cost_structure"], True)
+    assert plans[5].period_years == [] and plans[5].targets == ["risk_factors"] and "Item 1A" in plans[5].narrative_query
+    assert (plans[6].compare_mode, plans[6].prefer_recent, plans[7].forms) == ("point_in_time", True, ["10-K/A", "10-K"])
+    kinds = planning.plan(spark.createDataFrame([("x", "numeric"), ("x", "narrative"), ("x vs y", "numeric")], "question string, kind string"), kind="kind")
+    assert [r.mode for r in kinds.collect()] == ["facts_only", "narrative_only", "cross_filing_compare"]
+
+
+def test_listed_metrics(spark):
+    row = spark.range(1).select(planning.listed_metrics(F.array(*[F.lit(x) for x in ("us-gaap.Revenues", " Revenues ", "Other", "", "Cash")])).alias("m")).first()
+    assert row.m == ["Revenues", "Cash"]
+
+
+def test_scope_and_narrowing(spark):
+    asked = {1: "Revenue of FY2023?", 2: "ASU 2014-15 and the 10-Ks", 3: None, 4: "quarterly reports of 2022, risk factors", 5: "in 1999", 6: "Item 2024 of 2025"}
+    scopes = spark.createDataFrame(list(asked.items()), "query_id long, question string").select("query_id", planning.scope(F.col("question")).alias("s")).select("query_id", "s.*")
+    got = {r.query_id: (r.periods, r.forms, r.sections, r.explicit) for r in scopes.collect()}
+    assert got[1] == (["2023"], [], [], True) and got[2] == ([], ["10-K"], [], True) and got[3] == ([], [], [], False)
+    assert got[4] == (["2022"], ["10-Q"], ["risk_factors"], True) and got[5] == ([], [], [], False) and got[6] == (["2025"], [], [], True)
+    documents = spark.createDataFrame([(7, ["2023", "2022"], ["10-K"]), (8, ["2022"], ["10-Q"]), (9, None, None)], "document_id long, years array<string>, forms array<string>")
+    assert {tuple(r) for r in planning.narrowed(documents, scopes).collect()} == {(1, 7), (2, 7), (3, None), (4, 8), (5, None), (6, None)}
 
 
 def test_visible_text():
