@@ -152,7 +152,7 @@ ORACLES = {
       SELECT query_id, array_to_string(list_filter(y, lambda x, i: list_position(y, x) = i), ',') AS periods,
              concat_ws(',', CASE WHEN regexp_matches(low, '\b10-?ks?\b') OR contains(low, 'annual report') OR contains(t, '年报') THEN '10-K' END, CASE WHEN regexp_matches(low, '\b10-?qs?\b') OR contains(low, 'quarterly report') THEN '10-Q' END) AS forms,
              concat_ws(',', CASE WHEN contains(low, 'management discussion') THEN 'management_discussion' END, CASE WHEN contains(low, 'risk factor') THEN 'risk_factors' END, CASE WHEN contains(low, 'liquidity') THEN 'liquidity' END) AS sections,
-             len(y) > 0 OR regexp_matches(low, '\b10-?[kq]s?\b|annual report|quarterly report|年报') AS explicit, compares AS compare_mode, compares IN ('latest', 'point_in_time') OR contains(low, 'filed') AS prefer_recent FROM l""",
+             len(y) > 0 OR regexp_matches(low, '\b10-?[kq]s?\b|annual report|quarterly report|年报') AS explicit, compares AS compare_mode, compares IN ('latest', 'point_in_time') OR regexp_matches(low, '\b(latest|most recent|newest|filed)\b') AS prefer_recent FROM l""",
     "scope_narrowing": """WITH d AS (SELECT o_custkey AS document_id, year(o_orderdate) + 10 AS y, o_orderpriority = '1-URGENT' AS annual FROM orders),
       s AS (SELECT n_nationkey AS query_id, CASE WHEN n_nationkey % 3 > 0 THEN n_nationkey % 9 + 2002 END AS y, n_nationkey % 2 > 0 AS k FROM nation),
       p AS (SELECT query_id, document_id FROM s JOIN d ON d.y = s.y), f AS (SELECT query_id, document_id FROM s JOIN d ON s.k AND d.annual),
