@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, exact_dedup, lm_scoring, mixing, packing, quality_rules, simhash, substring_dedup, toxicity, warc
+from lodestone.llm import chat, exact_dedup, fill_middle, lm_scoring, mixing, packing, personal_data, quality_rules, resampling, simhash, substring_dedup, toxicity, warc
 from lodestone.session import table
 
 
@@ -125,6 +125,49 @@ FROM (SELECT *, CAST((CASE WHEN 2 * begins + size < 2 * target THEN 1 ELSE 0 END
       FROM lined)
 """
 
+
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight, score and, if drawn, rank; the target is all of `benchmark`. Nulls and repeats as in resampling.resample."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's cut, with digests of the output and of the text rebuilt from it. Nulls and repeats as in fill_middle.fill_middle."""
+    found = fill_middle.fill_middle(table(spark, sf_dir, "documents"))
+    text = fill_middle.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+  FROM documents),
+h AS (SELECT *, len(units) AS n, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(hex, k, 8) AS BIGINT)) AS h FROM drawn),
+cut AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+              WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM h),
+parts AS (
+  SELECT *, coalesce(array_to_string(units[1:a], ''), '') AS prefix, coalesce(array_to_string(units[a + 1:b], ''), '') AS middle,
+         coalesce(array_to_string(units[b + 1:], ''), '') AS suffix
+  FROM cut)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base spans (counted, and their digest) and all its spans. Nulls and repeats as in personal_data.personal_data."""
+    found = personal_data.personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -136,5 +179,8 @@ QUERIES = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_tool_calls": op9_tool_calls,
     "op10_mixing": op10_mixing,
+    "op11_resampling": op11_resampling,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_personal_data": op13_personal_data,
 }
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op8_warc_revisits": OP8_SQL, "op10_mixing": OP10_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op8_warc_revisits": OP8_SQL, "op10_mixing": OP10_SQL, "op12_fill_middle": OP12_SQL}
