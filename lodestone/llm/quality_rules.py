@@ -4,14 +4,16 @@ Every text becomes a vector of transformed statistics. For each (lang, source),
 all rows a minimum-covariance-determinant estimate is fitted: from several starts, one by
 medians and median deviations and others by a few rows of least hash, concentration steps take
 the mean and covariance of the SHARE of rows that are nearest under the last estimate. After
-FIRST_STEPS of them the start of least determinant goes on, until determinants stay. A group's
-estimate is pooled with its language's, and that with the whole's, by numbers of rows, so a
-group of any size is judged. A document goes if its squared Mahalanobis distance, made
-consistent for normal data, exceeds the chi-square quantile.
+FIRST_STEPS of them the start of least determinant goes on. Each further step must lower the
+group's determinant by a least factor; at the first that doesn't, the group keeps the better of
+the two estimates and leaves the loop. Pivots have floors, so this ends. A group's estimate is
+pooled with its language's, and that with the whole's, by numbers of rows, so a group of any
+size is judged. A document goes if its squared Mahalanobis distance, made consistent for normal
+data, exceeds the chi-square quantile.
 
 A step is one pass: counts, sums and products are added up by group and bin of distance, with
-combination before the shuffle, and the nearest SHARE are the first bins. So a source that holds
-a third of all rows loads no single task. Pivots of the covariance's Cholesky factor have floors,
+combination before the shuffle, and the nearest SHARE are the first bins, the last of them in
+part. So a source that holds a third of all rows loads no single task. Pivots of the covariance's Cholesky factor have floors,
 as statistics that are constant in clean text, such as a share of symbols that is nearly always 0,
 would give a singular estimate.
 """
@@ -19,6 +21,7 @@ would give a singular estimate.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -38,9 +41,8 @@ STARTS = 3
 #: Rows of a start by hash, about.
 START_ROWS = 16
 FIRST_STEPS = 2
-#: Steps end when no logarithm of a determinant moves by more, or after MOST_STEPS.
+#: A group's steps end with the one by which the logarithm of its determinant doesn't fall by more.
 SETTLED = 0.01
-MOST_STEPS = 15
 #: Rows that a language's estimate weighs in its groups', and that of all rows in a language's.
 POOL = 200
 #: Standard deviations, given the statistics before, below which a statistic's spread isn't taken to shrink. No base rule looks at repeated lines, so a share near 1 alone must pass CUTOFF.
@@ -196,14 +198,14 @@ def _whitened(estimates: DataFrame) -> DataFrame:
 
 
 def _concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """One step: (g, start, n, centre, scatter, whitening, log_det) of the nearest SHARE of each group's rows, bins taken whole, and `moved`, by how much log_det changed."""
-    bins = rows.join(estimates.select("g", "start", "centre", "whitening", F.col("log_det").alias("was")), "g").withColumn("bin", F.floor(16 * F.log(_squared_distance() + 1e-6)))
-    sums = _sums(bins, "g", "start", "was", "bin")
+    """One step: (g, start, n, centre, scatter, whitening, log_det) of the nearest SHARE of each group's rows; of the bin in which that ends all rows count in part, so that n is that share."""
+    bins = rows.join(estimates.select("g", "start", "centre", "whitening"), "g").withColumn("bin", F.floor(16 * F.log(_squared_distance() + 1e-6)))
+    sums = _sums(bins, "g", "start", "bin")
     by = W.partitionBy("g", "start")
     before = F.coalesce(F.sum("n").over(by.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    near = sums.withColumn("before", before).withColumn("all", F.sum("n").over(by)).filter(F.col("before") < SHARE * F.col("all"))
-    found = _whitened(_covered(near.groupBy("g", "start", "was").agg(*[F.sum(m).alias(m) for m in _MOMENTS]), "g", "start", "was"))
-    return found.withColumn("moved", F.abs(F.col("log_det") - F.col("was"))).drop("was")
+    share = SHARE * F.sum("n").over(by)
+    near = sums.withColumn("part", F.least(F.lit(1.0), (share - before) / F.col("n"))).filter("part > 0")
+    return _whitened(_covered(near.groupBy("g", "start").agg(*[F.sum(F.col(m) * F.col("part")).alias(m) for m in _MOMENTS]), "g", "start"))
 
 
 def _starts(rows: DataFrame) -> DataFrame:
@@ -230,18 +232,28 @@ def estimates(stats: DataFrame) -> Staged:
     rows = Staged(stats.filter(~F.col("base_failed")).select("x", F.xxhash64("doc_id", "x").alias("h"), F.explode(levels).alias("g")))
     current = Staged(_whitened(_starts(rows.df)))
     small = current.rows() * 1200 <= BROADCAST_BYTES
-    for step in range(MOST_STEPS):
-        found = _concentrated(rows.df, F.broadcast(current.df) if small else current.df)
+    hinted = lambda df: F.broadcast(df) if small else df
+    for step in range(FIRST_STEPS):
+        found = _concentrated(rows.df, hinted(current.df))
         if step + 1 == FIRST_STEPS:
             least = F.row_number().over(W.partitionBy("g").orderBy("log_det", "start"))
             found = found.withColumn("place", least).filter("place = 1").drop("place")
         after = Staged(found)
         current.drop()
         current = after
-        if step >= FIRST_STEPS and current.df.filter(F.col("moved") > SETTLED).isEmpty():
-            break
-    rows.drop()
-    return current
+    columns, going, settled, steps = ["n", "centre", "scatter", "whitening", "log_det"], current.df, [], [current]
+    while not going.isEmpty():
+        after = _concentrated(rows.df, hinted(going)).select("g", F.struct(*columns).alias("new"))
+        both = going.select("g", "start", F.struct(*columns).alias("old")).join(after, "g", "left")
+        fell = F.coalesce(F.col("old.log_det") - F.col("new.log_det"), F.lit(0.0))
+        kept = F.when(fell > 0, F.col("new")).otherwise(F.col("old"))
+        steps.append(Staged(both.select("g", "start", kept.alias("e"), (fell > SETTLED).alias("moves")).select("g", "start", "e.*", "moves")))
+        settled.append(steps[-1].df.filter("not moves").drop("moves"))
+        going = steps[-1].df.filter("moves").drop("moves")
+    fitted = Staged(reduce(DataFrame.unionByName, settled, going))
+    for table in (rows, *steps):
+        table.drop()
+    return fitted
 
 
 def pooled(groups: DataFrame, fitted: DataFrame) -> DataFrame:

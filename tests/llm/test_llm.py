@@ -107,41 +107,85 @@ def test_base_statistics(spark, worst):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) in texts[r.doc_id]
 
 
-def plain_estimate(x):
-    """Mean, covariance and pivots of the Cholesky factor with their floors."""
-    centre, cov = x.mean(0), np.cov(x.T, bias=True)
-    low = np.zeros_like(cov)
-    for i in range(len(cov)):
+def plain_whitening(scatter):
+    """Inverse Cholesky factor with floors on its pivots, and the logarithm of the determinant."""
+    low = np.zeros((7, 7))
+    for i in range(7):
         for j in range(i + 1):
-            rest = cov[i, j] - low[i, :j] @ low[j, :j]
+            rest = scatter[i, j] - low[i, :j] @ low[j, :j]
             low[i, j] = math.sqrt(max(rest, quality_rules.FLOOR_SD[i] ** 2)) if i == j else rest / low[j, j]
-    return centre, cov, low
-
-
-def test_estimates_are_fixed_points_of_concentration_in_numpy(spark, monkeypatch):
-    monkeypatch.setattr(quality_rules, "FLOOR_SD", (0.02,) * 7)
-    monkeypatch.setattr(quality_rules, "SETTLED", 1e-9)
-    stats = Staged(quality_rules.base_statistics(spark.read.parquet(f"{SF}/documents.parquet"))).df
-    fitted = {r.g.lang: r for r in quality_rules.estimates(stats).df.filter("g.level = 1").collect()}
-    rows = [(r.lang, r.x) for r in stats.filter("not base_failed").collect()]
-    for lang, found in fitted.items():
-        x = np.array([v for k, v in rows if k == lang])
-        scatter = np.zeros((7, 7))
-        for k, (i, j) in enumerate(quality_rules._PAIRS):
-            scatter[i, j] = scatter[j, i] = found.scatter[k]
-        low = plain_estimate(x)[2] * 0
-        for i in range(7):
-            for j in range(i + 1):
-                rest = scatter[i, j] - low[i, :j] @ low[j, :j]
-                low[i, j] = math.sqrt(max(rest, 0.02**2)) if i == j else rest / low[j, j]
-        assert found.log_det == pytest.approx(2 * np.log(np.diag(low)).sum())
-        d = (((x - np.array(found.centre)) @ np.linalg.inv(low).T) ** 2).sum(1)
-        bins = np.floor(16 * np.log(d + 1e-6))
-        last = np.sort(bins)[math.ceil(quality_rules.SHARE * len(x)) - 1]
-        centre, cov, _ = plain_estimate(x[bins <= last])
-        assert np.allclose(centre, found.centre, atol=0.02) and np.allclose(cov, scatter, atol=0.05)
-        spread = plain_estimate(x)[2]
-        assert np.log(np.diag(low)).sum() < np.log(np.diag(spread)).sum()
+    return np.linalg.inv(low), 2 * np.log(np.diag(low)).sum()
+
+
+def plain_step(x, centre, white):
+    """Weighted mean and covariance of the nearest SHARE under an estimate, by bins of distance, the last one in part."""
+    d = ((white @ (x - centre).T) ** 2).sum(0)
+    bins = np.floor(16 * np.log(d + 1e-6))
+    weight, left = np.zeros(len(x)), quality_rules.SHARE * len(x)
+    for v in np.unique(bins):
+        mine = bins == v
+        weight[mine] = min(1.0, max(0.0, left / mine.sum()))
+        left -= mine.sum()
+    mean = weight @ x / weight.sum()
+    scatter = (x * weight[:, None]).T @ x / weight.sum() - np.outer(mean, mean)
+    return weight.sum(), mean, scatter, *plain_whitening(scatter)
+
+
+def plain_upper_edge(values):
+    bins = np.sort(np.floor(values * 64))
+    return (bins[math.ceil(0.5 * len(bins)) - 1] + 1) / 64
+
+
+def plain_fit(x, h):
+    """The estimate of one group's rows from its starts on, and the number of steps."""
+    middle = np.array([plain_upper_edge(c) for c in x.T])
+    spread = np.array([plain_upper_edge(np.abs(c - m)) for c, m in zip(x.T, middle, strict=True)])
+    starts = [(middle, np.diag((1.4826 * spread) ** 2))]
+    drawn = np.ceil((h % (1 << 30)) / (1 << 30) * len(x) / quality_rules.START_ROWS)
+    for k in range(1, quality_rules.STARTS):
+        some = x[drawn == k]
+        if len(some):
+            starts.append((some.mean(0), some.T @ some / len(some) - np.outer(some.mean(0), some.mean(0))))
+    found = []
+    for centre, scatter in starts:
+        white = plain_whitening(scatter)[0]
+        for _ in range(quality_rules.FIRST_STEPS):
+            e = plain_step(x, centre, white)
+            centre, white = e[1], e[3]
+        found.append(e)
+    best, steps = min(found, key=lambda e: e[4]), 0
+    while True:
+        after, steps = plain_step(x, best[1], best[3]), steps + 1
+        fell = best[4] - after[4]
+        best = after if fell > 0 else best
+        if fell <= quality_rules.SETTLED:
+            return best, steps
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_verdicts_agree_with_numpy_from_the_rows_and_every_group_settles(spark, monkeypatch, sf):
+    steps, real = [], quality_rules._concentrated
+    monkeypatch.setattr(quality_rules, "_concentrated", lambda *a: steps.append(1) or real(*a))
+    docs = spark.read.parquet(f"{SF.removesuffix('sf0.01')}{sf}/documents.parquet")
+    stats = quality_rules.base_statistics(docs).withColumn("h", F.xxhash64("doc_id", "x")).toPandas()
+    good = stats[~stats.base_failed]
+    fits = {}
+    for level, keys in ((0, ["lang", "source"]), (1, ["lang"]), (2, [])):
+        for name, rows in good.groupby(keys) if keys else [((), good)]:
+            fits[level, name] = plain_fit(np.stack(rows.x.to_numpy()), rows.h.to_numpy())
+    got = quality_rules.quality_verdicts(docs).toPandas().set_index("doc_id")
+    assert len(steps) == quality_rules.FIRST_STEPS + max(n for _, n in fits.values()) < 25
+    mix = lambda own, upper: upper if own is None else (own[0], *((own[0] * a + quality_rules.POOL * b) / (own[0] + quality_rules.POOL) for a, b in zip(own[1:3], upper[1:3], strict=True)))
+    get = lambda *key: fits.get(key, (None,))[0]
+    wrong = 0
+    for (lang, source), rows in stats.groupby(["lang", "source"]):
+        pool = mix(get(0, (lang, source)), mix(get(1, (lang,)), get(2, ())))
+        white, _ = plain_whitening(quality_rules.CONSISTENCY * pool[2])
+        d = ((white @ (np.stack(rows.x.to_numpy()) - pool[1]).T) ** 2).sum(0)
+        kept = ~rows.base_failed.to_numpy() & (d <= quality_rules.CUTOFF)
+        wrong += int((got.loc[rows.doc_id, "kept"].to_numpy() != kept).sum())
+        assert np.allclose(got.loc[rows.doc_id, "distance"], d, rtol=1e-3, atol=2e-3)
+    assert wrong == 0
 
 
 def test_quantiles_of_chi_square():
