@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import chat, exact_dedup, fill_middle, lm_scoring, mixing, packing, personal_data, quality_rules, resampling, simhash, substring_dedup, toxicity, warc
+from lodestone.llm.staging import Staged
 from lodestone.session import table
 
 
@@ -48,8 +49,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's second capture, resolved; the payload as its length and digest, headers in one line."""
-    found = warc.resolve(warc.captures(table(spark, sf_dir, "pages")))
+    """Every page's second capture, resolved; the payload as its length and digest, headers in one line.
+
+    The captures are written as WARC files and read from them. Pages without an id have no time and are `missing`.
+    """
+    captures = warc.captures(table(spark, sf_dir, "pages"))
+    files = Staged(warc.archived(captures.withColumn("time", F.date_format(F.timestamp_seconds("time"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))))
+    records = Staged(warc.read_records(files.df))
+    files.drop()
+    found = warc.resolve(records.df).withColumn("payload", F.col("payload").cast("string"))
     page = lambda c: F.substring(c, 2, 19).cast("long")
     line = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     return found.select(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.asof import latest_earlier
-from lodestone.llm.staging import BATCH_BYTES, Staged, in_small_batches
+from lodestone.llm.staging import BATCH_BYTES, Staged, in_small_batches, without_repeats
 
 #: Headers that a 304 answer may update in a stored response (RFC 9110, 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -74,9 +75,14 @@ _TYPES = [pa.string(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(
 
 
 def _headers(block: bytes) -> dict[str, str]:
-    lines = block.decode("utf-8", "replace").split("\r\n")
-    pairs = (line.split(":", 1) for line in lines if ":" in line)
-    return {k.strip().lower(): v.strip() for k, v in pairs}
+    """Names in lower case; the values of a name that comes several times are joined by commas, folded lines unfolded."""
+    found: dict[str, str] = {}
+    for line in re.sub(r"\r\n[ \t]+", " ", block.decode("utf-8", "replace")).split("\r\n"):
+        name, colon, value = line.partition(":")
+        if colon:
+            key = name.strip().lower()
+            found[key] = f"{found[key]}, {value.strip()}" if key in found else value.strip()
+    return found
 
 
 def parse(content: bytes) -> Iterator[tuple]:
@@ -113,7 +119,7 @@ def _record(warc: dict[str, str], stream: io.BufferedIOBase) -> tuple | None:
     return warc.get("warc-record-id"), warc["warc-type"], warc.get("warc-target-uri"), warc.get("warc-date"), list(http.items()), None if revisit else payload
 
 
-def write_record(record_id: str, kind: str, url: str, time: str, headers: dict[str, str], payload: bytes | None) -> bytes:
+def write_record(record_id: str | None, kind: str, url: str | None, time: str | None, headers: dict[str, str], payload: bytes | None) -> bytes:
     profile = headers.get("warc-profile")
     status = "304 Not Modified" if kind == "revisit" else "200 OK"
     http = f"HTTP/1.1 {status}\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers.items() if k != "warc-profile") + "\r\n"
@@ -121,18 +127,41 @@ def write_record(record_id: str, kind: str, url: str, time: str, headers: dict[s
     warc = {"WARC-Type": kind, "WARC-Record-ID": record_id, "WARC-Target-URI": url, "WARC-Date": time, "Content-Length": str(len(body))}
     if profile:
         warc["WARC-Profile"] = profile
-    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in warc.items()).encode() + b"\r\n" + body + b"\r\n\r\n"
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in warc.items() if v is not None).encode() + b"\r\n" + body + b"\r\n\r\n"
+
+
+def archived(records: DataFrame) -> DataFrame:
+    """records as in RECORDS -> files(content): WARC records, compressed one by one, about BATCH_BYTES of them in a file."""
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in _NAMES), strict=True)
+            packed = b"".join(gzip.compress(write_record(i, kind, url, time, dict(headers or ()), payload), 1) for i, kind, url, time, headers, payload in rows)
+            yield pa.record_batch([pa.array([packed], pa.binary())], names=["content"])
+
+    return in_small_batches(records.select(*_NAMES[:-1], F.col("payload").cast("binary").alias("payload")), run, "content binary")
+
+
+def instant(records: DataFrame) -> Column:
+    """The column `time` as a long to order by: numbers as they are, timestamps and ISO 8601 texts in microseconds; texts that are neither give null."""
+    kind = records.schema["time"].dataType.simpleString()
+    if kind.startswith("timestamp"):
+        return F.unix_micros(F.col("time").cast("timestamp"))
+    if kind != "string":
+        return F.col("time").cast("long")
+    return F.coalesce(F.col("time").try_cast("long"), F.unix_micros(F.try_to_timestamp("time")))
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """Revisits of records(record_id, url, time long, kind, headers, payload) with what they stand for.
+    """Revisits of records(record_id, url, time, kind, headers, payload) with what they stand for; time as in instant().
 
     record_id, canonical_url, refers_to, status, headers, payload. status is `resolved`;
     `changed` if a validator (etag, last-modified) that both carry differs; `unvalidated` if they
     share none; `missing` if no earlier full response of the URL exists; `other` if the revisit's
     profile says anything else than "not modified" (none says that). Unless resolved, refers_to, headers and payload are null. Header names are lower-case. Null URLs and times
     are `missing`; a response at a revisit's own time is not earlier; of several at one time the
-    one of the greatest record_id counts. Repeated revisits are resolved each. Other columns
+    one of the greatest record_id counts. Repeated revisits are resolved each; responses that share
+    a record_id, which repeated files bring, count once. Other columns
     are ignored, an empty table gives an empty result.
     """
     full, revisit = F.col("kind") == "response", F.col("kind") == "revisit"
@@ -140,7 +169,7 @@ def resolve(records: DataFrame) -> DataFrame:
     stored = F.struct("record_id", validators[0].alias("etag"), validators[1].alias("modified"))
     events = Staged(
         records.filter(full | revisit).select(
-            "record_id", canonical_url(F.col("url")).alias("canonical_url"), F.col("time").cast("long").alias("time"), "kind",
+            "record_id", canonical_url(F.col("url")).alias("canonical_url"), instant(records).alias("time"), "kind",
             F.when(revisit, F.col("headers")).alias("headers"), validators[0].alias("etag"), validators[1].alias("modified"), F.when(full, stored).alias("stored"),
         )
     )
@@ -153,7 +182,8 @@ def resolve(records: DataFrame) -> DataFrame:
     judged = found.withColumn("status", status).select(
         "record_id", "canonical_url", "status", F.col("headers").alias("fresh"), F.when(F.col("status") == "resolved", F.col("latest")["record_id"]).alias("refers_to")
     )
-    sources = records.filter(full).select(F.col("record_id").alias("source_id"), F.col("headers").alias("stored_headers"), F.col("payload").alias("source_payload"))
+    once = without_repeats(records.filter(full & F.col("record_id").isNotNull()).select("record_id", "headers", "payload").withColumn("headers", F.array_sort(F.map_entries("headers"))), ["record_id"])
+    sources = once.withColumn("headers", F.map_from_entries("headers")).select(F.col("record_id").alias("source_id"), F.col("headers").alias("stored_headers"), F.col("payload").alias("source_payload"))
     joined = judged.join(sources, F.col("refers_to") == F.col("source_id"), "left")
     update = F.map_filter("fresh", lambda k, _: k.isin(*PERMITTED))
     kept = F.map_filter("stored_headers", lambda k, _: ~F.array_contains(F.map_keys(F.coalesce(update, F.create_map().cast("map<string,string>"))), k))

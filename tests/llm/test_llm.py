@@ -515,6 +515,26 @@ def test_revisits(spark, duck):
     assert warc.resolve(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_records_that_are_read_are_resolved(spark):
+    one, two, gone = "2024-01-01T00:00:00Z", "2024-01-02T00:00:00.5Z", "not a time"
+    rows = [
+        ("<u:1>", "response", "http://a/", one, {"etag": '"x"', "vary": "a"}, b"body"), ("<u:2>", "revisit", "http://a/", two, {"etag": '"x"', "warc-profile": warc.NOT_MODIFIED}, None),
+        ("<u:3>", "revisit", "http://a/", one, {"etag": '"x"'}, None), ("<u:4>", "revisit", "http://a/", gone, {"etag": '"x"'}, None), (None, "response", None, None, {}, b""),
+    ]
+    content = b"".join(warc.write_record(*r) for r in rows)
+    files = spark.createDataFrame([(content,), (gzip.compress(content),)], "content binary")
+    found = warc.resolve(warc.read_records(files)).collect()
+    assert Counter((r.record_id, r.status, r.refers_to, r.payload and bytes(r.payload)) for r in found) == {("<u:2>", "resolved", "<u:1>", b"body"): 2, ("<u:3>", "missing", None, None): 2, ("<u:4>", "missing", None, None): 2}
+    times = lambda kind, *values: [r[0] for r in spark.createDataFrame([(v,) for v in values], "time string").select(F.col("time").cast(kind).alias("time")).select(warc.instant(spark.createDataFrame([], f"time {kind}"))).collect()]
+    assert times("string", "7", one, gone, None) == [7, 1704067200000000, None, None] and times("timestamp", one) == [1704067200000000] and times("int", "5") == [5]
+    again = [(i, c) for i, c in enumerate(warc.archived(warc.read_records(files)).collect())]
+    assert Counter(r[0] for _, c in again for r in warc.parse(bytes(c.content))) == {"<u:1>": 2, "<u:2>": 2, "<u:3>": 2, "<u:4>": 2, None: 2}
+
+
+def test_headers_of_one_name_are_joined_and_folded_ones_unfolded():
+    assert warc._headers(b"Vary: a\r\nvary: b,\r\n  c\r\nX: 1:2\r\njunk") == {"vary": "a, b, c", "x": "1:2"}
+
+
 def test_damaged_files_give_what_is_before_the_damage():
     records = [warc.write_record(f"r{k}", "response", f"http://a/{k}", "2020", {"etag": "x"}, b"body" * 500) for k in range(3)]
     plain, packed = b"".join(records), b"".join(gzip.compress(r) for r in records)
