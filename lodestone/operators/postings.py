@@ -1,25 +1,69 @@
 """A word index kept as postings: built and kept current batch by batch, and searched without reading texts.
 
-Under a folder, `postings` has a row for each term of each node and `nodes` one for each node,
-both dealt by batch, postings also by the term's hash. A node's row of the greatest batch is
-the one in force, so writing a node again or deleting it only adds rows. A batch that is written
-twice, as streams may, replaces itself.
+A row is a term with the nodes that hold it among some hundreds or thousands written together,
+and how often; rows without a term hold the nodes themselves and how many terms each has. Rows
+are dealt by batch and by the term's hash. What the greatest batch says of a node is in force,
+so writing a node again or deleting it only adds rows. A batch that is written twice, as streams
+may, replaces itself.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.operators import search
 
 BUCKETS = 64
-_NODES = "node_id {kind}, live boolean, length long, batch long"
-_POSTINGS = "node_id {kind}, term string, tf long, length long, batch long, bucket long"
+#: The bucket of rows without a term, and the length of a node that was deleted.
+NODES = DELETED = -1
+#: Nodes that a row can hold.
+ROW_NODES = 5000
 
 
 def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS))
+    return F.when(term.isNull(), F.lit(NODES).cast("long")).otherwise(F.pmod(F.xxhash64(term), F.lit(BUCKETS)))
+
+
+def inverted(docs: DataFrame, kind: str) -> DataFrame:
+    """docs(node_id, low, live) -> (term, nodes, counts), each task's nodes some at a time."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("node_id")
+            lengths, held = [], defaultdict(lambda: ([], []))
+            for i, (text, live) in enumerate(zip(batch.column("low").to_pylist(), batch.column("live").to_pylist(), strict=True)):
+                length, found = 0, Counter()
+                for piece in search.pieces(text if live else ""):
+                    own = search._TERM.findall(piece)
+                    length += len(own)
+                    found.update(own)
+                lengths.append(length if live else DELETED)
+                for term, n in found.items():
+                    held[term][0].append(i)
+                    held[term][1].append(n)
+            terms, places, counts = [None], [range(len(ids))], [lengths]
+            for term, (at, n) in held.items():
+                terms.append(term)
+                places.append(at)
+                counts.append(n)
+            offsets = pa.array([0, *(int(n) for n in _ends(places))], pa.int32())
+            nodes = pa.ListArray.from_arrays(offsets, ids.take(pa.array([i for at in places for i in at], pa.int64())))
+            yield pa.record_batch([pa.array(terms, pa.string()), nodes, pa.array(counts, pa.list_(pa.int64()))], names=["term", "nodes", "counts"])
+
+    return docs.mapInArrow(run, f"term string, nodes array<{kind}>, counts array<long>")
+
+
+def _ends(lists: list) -> list[int]:
+    total, found = 0, []
+    for x in lists:
+        total += len(x)
+        found.append(total)
+    return found
 
 
 class Index:
@@ -33,41 +77,48 @@ class Index:
 
         Batches are numbered upwards. Null texts are empty; null ids are left out. May be given to foreachBatch.
         """
-        rows = docs.filter("node_id is not null").select("node_id", F.struct(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("live", F.lit(True)).alias("live")).alias("x"))
-        once = rows.groupBy("node_id").agg(F.max("x").alias("x")).select("node_id", "x.*")
-        words = once.select("node_id", "live", F.when(F.col("live"), search.terms(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("words"))
-        nodes = words.select("node_id", "live", F.size("words").cast("long").alias("length"), F.lit(batch).cast("long").alias("batch"))
-        terms = words.select("node_id", F.size("words").cast("long").alias("length"), F.explode("words").alias("term"))
-        counted = terms.groupBy("node_id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
-        found = counted.select("node_id", "term", "tf", "length", F.lit(batch).cast("long").alias("batch"), bucket_of(F.col("term")).alias("bucket"))
-        found.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(f"{self.path}/postings")
-        nodes.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.path}/nodes")
+        rows = docs.filter("node_id is not null").select(F.col("node_id").cast(self.kind).alias("node_id"), F.lower(F.coalesce("text", F.lit(""))).alias("low"), F.coalesce("live", F.lit(True)).alias("live"))
+        if not rows.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+            greatest = W.partitionBy("node_id").orderBy(F.col("low").desc(), F.col("live").desc())
+            rows = rows.withColumn("n", F.row_number().over(greatest)).filter("n = 1").drop("n")
+        self._put(inverted(rows, self.kind), batch)
+
+    def _put(self, rows: DataFrame, batch: int) -> None:
+        dealt = rows.withColumn("bucket", bucket_of(F.col("term"))).hint("rebalance", "bucket").withColumn("batch", F.lit(batch).cast("long"))
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(self.path)
+
+    def _rows(self) -> DataFrame:
+        return self.spark.read.schema(f"term string, nodes array<{self.kind}>, counts array<long>, batch long, bucket long").parquet(self.path)
+
+    def _postings(self, rows: DataFrame) -> DataFrame:
+        return rows.select("term", "batch", F.explode(F.arrays_zip("nodes", "counts")).alias("x")).select("term", "batch", F.col("x.nodes").alias("node_id"), F.col("x.counts").alias("tf"))
 
     def nodes(self) -> DataFrame:
         """node_id, length, batch of the nodes in force."""
-        rows = self.spark.read.schema(_NODES.format(kind=self.kind)).parquet(f"{self.path}/nodes")
-        last = rows.groupBy("node_id").agg(F.max(F.struct("batch", "live", "length")).alias("x"))
-        return last.filter("x.live").select("node_id", "x.length", "x.batch")
+        said = self._postings(self._rows().filter(F.col("bucket") == NODES))
+        last = said.groupBy("node_id").agg(F.max(F.struct("batch", F.col("tf").alias("length"))).alias("x"))
+        return last.filter(F.col("x.length") != DELETED).select("node_id", "x.length", "x.batch")
 
     def search(self, queries: DataFrame, match_all: bool = False) -> DataFrame:
         """(query_id, node_id, score) of queries(query_id, query), as search.bm25 over the nodes in force; only the buckets of asked terms are read."""
         asked = search.asked_terms(queries)
+        held = search.held_terms(asked)
         wanted = asked.select("term").distinct()
         buckets = [r[0] for r in wanted.select(bucket_of(F.col("term"))).distinct().collect()]
         nodes = self.nodes()
-        rows = self.spark.read.schema(_POSTINGS.format(kind=self.kind)).parquet(f"{self.path}/postings").filter(F.col("bucket").isin(buckets))
-        counted = rows.join(search.bounded(wanted), "term", "left_semi").join(nodes.select("node_id", "batch"), ["node_id", "batch"], "left_semi")
-        counted = counted.select("node_id", "term", "tf", "length")
+        rows = self._rows().filter(F.col("bucket").isin(buckets)).join(F.broadcast(wanted) if held is not None else wanted, "term", "left_semi")
+        counted = self._postings(rows).join(nodes, ["node_id", "batch"]).select("node_id", "term", "tf", "length")
         frequency = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         corpus = nodes.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
-        return search.bm25_scores(counted, frequency, corpus, asked, match_all)
+        return search.bm25_scores(counted, frequency, corpus, asked, match_all, held is not None)
 
     def rebuilt(self, path: str) -> Index:
         """The same nodes as one batch in another folder, without what isn't in force any more."""
         other = Index(self.spark, path, self.kind)
         nodes = self.nodes()
-        rows = self.spark.read.schema(_POSTINGS.format(kind=self.kind)).parquet(f"{self.path}/postings").drop("bucket")
-        kept = rows.join(nodes.select("node_id", "batch"), ["node_id", "batch"], "left_semi")
-        kept.withColumns({"batch": F.lit(0).cast("long"), "bucket": bucket_of(F.col("term"))}).hint("rebalance", "bucket").write.partitionBy("batch", "bucket").parquet(f"{other.path}/postings")
-        nodes.select("node_id", F.lit(True).alias("live"), "length", F.lit(0).cast("long").alias("batch")).write.partitionBy("batch").parquet(f"{other.path}/nodes")
+        kept = self._postings(self._rows().filter(F.col("bucket") != NODES)).join(nodes.select("node_id", "batch"), ["node_id", "batch"], "left_semi")
+        every = kept.select("term", "node_id", "tf").unionByName(nodes.select(F.lit(None).cast("string").alias("term"), "node_id", F.col("length").alias("tf")))
+        share = F.floor(F.monotonically_increasing_id() / ROW_NODES)
+        rows = every.groupBy("term", share.alias("share")).agg(F.collect_list(F.struct("node_id", "tf")).alias("x"))
+        other._put(rows.select("term", F.col("x")["node_id"].alias("nodes"), F.col("x")["tf"].alias("counts")), 0)
         return other

@@ -185,12 +185,16 @@ def counted_terms(docs: DataFrame, asked: frozenset[str]) -> DataFrame:
     return spread(docs.select("node_id", F.lower("text").alias("low"))).mapInArrow(run, f"node_id {kind}, term string, tf long, length long")
 
 
-def bm25_scores(counted: DataFrame, frequency: DataFrame, corpus: DataFrame, asked: DataFrame, match_all: bool) -> DataFrame:
-    """(query_id, node_id, score) from counted(node_id, term, tf, length), frequency(term, df), corpus of one row (n, mean_length) and asked(query_id, term)."""
+def bm25_scores(counted: DataFrame, frequency: DataFrame, corpus: DataFrame, asked: DataFrame, match_all: bool, few: bool) -> DataFrame:
+    """(query_id, node_id, score) from counted(node_id, term, tf, length), frequency(term, df), corpus of one row (n, mean_length) and asked(query_id, term).
+
+    few says that asked fits BROADCAST_BYTES; then a word in a third of all rows is joined where its rows are.
+    """
     sizes = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.col("mean_length")))
-    joined = counted.join(frequency.join(asked, "term"), "term").crossJoin(F.broadcast(corpus))
+    weighed = frequency.join(asked, "term")
+    joined = counted.join(F.broadcast(weighed) if few else weighed, "term").crossJoin(F.broadcast(corpus))
     scores = joined.groupBy("query_id", "node_id").agg(F.round(F.sum(idf * weight), 6).alias("score"), F.count(F.lit(1)).alias("matched"))
     if match_all:
         scores = scores.join(sizes, "query_id").filter("matched = n_terms").drop("n_terms")
@@ -201,10 +205,10 @@ def asked_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
 
 
-def held_terms(wanted: DataFrame) -> frozenset[str] | None:
-    """The terms, if they fit BROADCAST_BYTES."""
+def held_terms(asked: DataFrame) -> frozenset[str] | None:
+    """The terms of asked(query_id, term), if its rows fit BROADCAST_BYTES."""
     held, size = set(), 0
-    for row in wanted.toLocalIterator():
+    for row in asked.toLocalIterator():
         held.add(row["term"])
         size += 64 + len(row["term"])
         if size > BROADCAST_BYTES:
@@ -221,8 +225,7 @@ def bm25(queries: DataFrame, docs: DataFrame, match_all: bool = False) -> DataFr
     (operators/postings.py) answers without reading texts.
     """
     asked = asked_terms(queries)
-    wanted = asked.select("term").distinct()
-    held = held_terms(wanted)
+    held = held_terms(asked)
     if held is not None:
         found = settled(counted_terms(docs, held))
         corpus = found.filter("term is null").agg(F.sum("tf").alias("n"), (F.sum("length") / F.sum("tf")).alias("mean_length"))
@@ -230,9 +233,9 @@ def bm25(queries: DataFrame, docs: DataFrame, match_all: bool = False) -> DataFr
     else:
         every = postings(docs)
         corpus = docs.select(F.size(terms(F.coalesce("text", F.lit("")))).alias("length")).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
-        counted = every.join(wanted, "term", "left_semi")
+        counted = every.join(asked.select("term").distinct(), "term", "left_semi")
     frequency = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return bm25_scores(counted, frequency, corpus, asked, match_all)
+    return bm25_scores(counted, frequency, corpus, asked, match_all, held is not None)
 
 
 def rrf(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:

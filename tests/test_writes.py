@@ -1,3 +1,5 @@
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,8 +10,8 @@ ROWS = "document_id long, part long, vector array<double>"
 
 
 @pytest.fixture
-def place(spark, request):
-    return f"{shared_folder(spark)}/tests/{request.node.name.replace('[', '-').replace(']', '')}"
+def place(spark):
+    return f"{shared_folder(spark)}/tests/{uuid.uuid4().hex}"
 
 
 def stored(spark, path, buckets=4):
