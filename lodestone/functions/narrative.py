@@ -189,19 +189,22 @@ def answerable(text: Column, explains: Column, rerank: Column, least: float = 0.
     return F.struct(blocked.alias("hard_blocked"), (~blocked & (F.coalesce(rerank, F.lit(0.0)) >= least)).alias("passed"))
 
 
+# Patterns that are masked for comparing passages, in this order, with what stands for them.
+MASKS = (
+    (r"[a-z][a-z0-9 .,&'/-]*\|\s*q[1-4][^|\n]*form\s+10-[kq]\s*\|\s*\d+", " "),
+    (r"table \|", " table "),
+    (r"\b(first|second|third|fourth|three|six|nine|twelve)\s+(quarter|months?)\b", " "),
+    (r"\bq[1-4]\b", " "),
+    (r"\b20\d{2}\b", " <year> "),
+    (r"\b\d[\d,.\-$()%]*\b", " <num> "),
+    (r"\s+", " "),
+)
+
+
 def selector_key(text: Column, limit: int = 1200) -> Column:
     """Lower case without page stamps and spans of quarters, years and numbers masked; for comparing passages."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    steps = (
-        (r"[a-z][a-z0-9 .,&'/-]*\|\s*q[1-4][^|\n]*form\s+10-[kq]\s*\|\s*\d+", " "),
-        (r"table \|", " table "),
-        (r"\b(first|second|third|fourth|three|six|nine|twelve)\s+(quarter|months?)\b", " "),
-        (r"\bq[1-4]\b", " "),
-        (r"\b20\d{2}\b", " <year> "),
-        (r"\b\d[\d,.\-$()%]*\b", " <num> "),
-        (r"\s+", " "),
-    )
-    for pattern, new in steps:
+    for pattern, new in MASKS:
         t = F.regexp_replace(t, pattern, new)
     return F.left(F.trim(t), F.lit(limit))
 

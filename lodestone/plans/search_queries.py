@@ -72,9 +72,8 @@ def bm25_enriched(spark, sf_dir):
 
 
 def fts_all_terms(spark, sf_dir):
-    """Every term of the query's first sentence must match."""
-    asked = _questions(spark, sf_dir).withColumn("query", F.array_join(F.slice(search.terms(F.col("query")), 1, 3), " "))
-    return search.ranked(search.bm25(asked, _docs(spark, sf_dir), match_all=True), "score", "node_id", ["query_id"])
+    """Every term of the query must match."""
+    return search.ranked(search.bm25(_questions(spark, sf_dir), _docs(spark, sf_dir), match_all=True), "score", "node_id", ["query_id"])
 
 
 def _two_lists(spark, sf_dir):
@@ -150,14 +149,12 @@ QUERIES = {
     "rank_metrics": rank_metrics, "scope_violation": scope_violation, "overlap_jaccard": overlap_jaccard, "rank_delta": rank_delta,
 }
 
-_FIRST_TERMS = _bm25_cte("text").replace("unnest(regexp_extract_all(lower(text), '[a-z0-9]+'))", "unnest(regexp_extract_all(lower(text), '[a-z0-9]+')[1:3])")
-
 ORACLES = {
     "dense_topk": f"WITH {_VECTORS} SELECT query_id, node_id, rank, score FROM dense WHERE rank <= 10",
     "dense_filtered": f"WITH {_VECTORS}, f AS (SELECT query_id, node_id, label, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM scored WHERE label IN (0, 1, 2)) SELECT * FROM f WHERE rank <= 10",
     "bm25_topk": f"WITH {_bm25_cte('text')} SELECT query_id, node_id, score, rank FROM sparse WHERE rank <= 10",
     "bm25_enriched": f"WITH {_bm25_cte("left(source || chr(10) || source || chr(10) || text, 65000)")} SELECT query_id, node_id, score, rank FROM sparse WHERE rank <= 10",
-    "fts_all_terms": f"""WITH {_FIRST_TERMS}, sizes AS (SELECT query_id, count(*) AS n_terms FROM asked GROUP BY query_id),
+    "fts_all_terms": f"""WITH {_bm25_cte('text')}, sizes AS (SELECT query_id, count(*) AS n_terms FROM asked GROUP BY query_id),
       hit AS (SELECT query_id, node_id, score FROM sparse_scored JOIN sizes USING (query_id) WHERE matched = n_terms)
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM hit""",
     "rrf_fusion": f"""WITH {_LISTS}, lists AS (SELECT query_id, node_id, rank FROM dense WHERE rank <= 30 UNION ALL SELECT query_id, node_id, rank FROM same WHERE rank <= 30)
