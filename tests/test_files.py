@@ -23,6 +23,13 @@ def test_encodings_are_told_by_their_bytes(text, encoding, found):
     assert files.encoding_of(raw) == found and raw.decode(found) == text
 
 
+def test_capitals_with_accents_side_by_side_are_western():
+    for text in ("TAQUE!! LA!! COÍBO!! ASÍÍCO!! " * 5, "Ééon. Le èêou", "Çèen", "Relepa ai èê èê Èê èê"):
+        assert files.encoding_of(text.encode("latin-1")) == "cp1252", text
+    for text in ("ABC公司 2019年 A股B股 CEO的 " * 5, "2019年", "FY 2019年3月5日", "中", "Plan 中"):
+        assert files.encoding_of(text.encode("gb18030")) == "gb18030", text
+
+
 def docx(paragraphs, rows):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
