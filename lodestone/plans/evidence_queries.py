@@ -15,9 +15,11 @@ from lodestone.sources import filings
 def filing_hypotheses(spark, sf_dir):
     """For each nation the orders that best fit its plan: yearly comparison for odd keys, the newest for even ones."""
     accession = F.concat(F.lit("0000000001-"), F.date_format("o_orderdate", "yy"), F.lit("-"), F.lpad(F.col("o_orderkey").cast("string"), 6, "0"))
+    # Six digits don't tell orders beyond 999,999 apart, so the whole key follows while filings are ranked.
+    whole = F.concat(accession, F.lit("."), F.lpad(F.col("o_orderkey").cast("string"), 20, "0"))
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     catalog = table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("document_id"), accession.alias("accession"), F.when(F.col("o_orderpriority") == "1-URGENT", "10-K").otherwise("10-Q").alias("form"), day("o_orderdate").alias("filed"),
+        F.col("o_custkey").alias("document_id"), whole.alias("accession"), F.when(F.col("o_orderpriority") == "1-URGENT", "10-K").otherwise("10-Q").alias("form"), day("o_orderdate").alias("filed"),
         F.array(day(F.col("o_orderdate") - F.expr("interval 30 days"))).alias("period_end_dates"), F.array().cast("array<int>").alias("period_years"),
     )
     odd = F.col("n_nationkey") % 2 == 1
@@ -26,7 +28,8 @@ def filing_hypotheses(spark, sf_dir):
         F.when(odd, "yoy").otherwise("generic").alias("compare_mode"), (~odd).alias("prefer_recent"),
     )
     scope = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("query_id"), F.col("c_custkey").alias("document_id"))
-    return evidence.filing_hypotheses(catalog, plans, scope)
+    found = evidence.filing_hypotheses(catalog, plans, scope)
+    return found.select("query_id", F.split("accession", r"\.")[0].alias("accession"), "weight", "rank")
 
 
 def facts_for_plan(spark, sf_dir):
