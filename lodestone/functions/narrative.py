@@ -190,8 +190,9 @@ def answerable(text: Column, explains: Column, rerank: Column, least: float = 0.
 
 
 # Patterns that are masked for comparing passages, in this order, with what stands for them.
+# The first one is tried once for each stretch of its characters, from the stretch's first letter, so it takes linear time.
 MASKS = (
-    (r"[a-z][a-z0-9 .,&'/-]*\|\s*q[1-4][^|\n]*form\s+10-[kq]\s*\|\s*\d+", " "),
+    (r"(?:\G|(?<![a-z0-9 .,&'/-]))([0-9 .,&'/-]*+)[a-z][a-z0-9 .,&'/-]*+\|\s*q[1-4][^|\n]*form\s+10-[kq]\s*\|\s*\d+", "$1 "),
     (r"table \|", " table "),
     (r"\b(first|second|third|fourth|three|six|nine|twelve)\s+(quarter|months?)\b", " "),
     (r"\bq[1-4]\b", " "),
@@ -202,11 +203,26 @@ MASKS = (
 
 
 def selector_key(text: Column, limit: int = 1200) -> Column:
-    """Lower case without page stamps and spans of quarters, years and numbers masked; for comparing passages."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    for pattern, new in MASKS:
-        t = F.regexp_replace(t, pattern, new)
-    return F.left(F.trim(t), F.lit(limit))
+    """Lower case without page stamps and spans of quarters, years and numbers masked; for comparing passages.
+
+    Only `limit` characters are kept, so of a long text its first sentences are masked, and the
+    whole text only where they give too few. No mask reaches over the white space after such a
+    sentence, which ends a line where the text has bars; without bars the first two masks can't match.
+    """
+    raw = F.coalesce(text, F.lit(""))
+
+    def masked(t: Column, masks: tuple) -> Column:
+        for pattern, new in masks:
+            t = F.regexp_replace(t, pattern, new)
+        return F.trim(t)
+
+    def key(masks: tuple, gap: str) -> Column:
+        whole = F.left(masked(F.lower(raw), masks), F.lit(limit))
+        head = F.regexp_extract(F.lower(F.left(raw, F.lit(2 * limit))), rf"(?s)^(.*\.){gap}[a-z]", 1)
+        first = F.transform(F.array(masked(head, masks)), lambda t: F.when(F.length(t) >= limit, F.left(t, F.lit(limit))))
+        return F.when(F.length(raw) > 2 * limit, F.coalesce(first[0], whole)).otherwise(whole)
+
+    return F.when(raw.contains("|"), key(MASKS, r"\n")).otherwise(key(MASKS[2:], r"\s"))
 
 
 def count_hints(text: Column, hints: tuple[str, ...]) -> Column:

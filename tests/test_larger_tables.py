@@ -32,3 +32,18 @@ def test_orders_whose_keys_have_seven_digits_stay_apart(spark, agrees):
     rows = [(1_200_000 + i, 1, "1-URGENT" if i % 2 else "5-LOW", dt.date(1995, 1 + i // 10, 1 + i % 10)) for i in range(40)]
     orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderpriority string, o_orderdate date")
     assert agrees("filing_hypotheses", orders=orders)
+
+
+def test_keys_of_long_texts_are_those_of_the_whole_text(spark):
+    prose = "The Board met in 2020. it paid $1,200 in the first\nquarter of Q3.\nthe rest | was left. " * 3
+    stamp = "Acme 5 Corp | Q3 2017 Form 10-Q | 15 b c | q1 form\n10-k | 7 "
+    texts = [prose * 20, prose.replace("|", "x") * 20, "1 2. a " * 900, "   .\n x" * 700, stamp * 60, ("word " * 30 + stamp) * 9, "a" * 3000, ("9" * 50 + ". b") * 60, "\n" * 3000 + "x.\ny" * 900, prose, "", None]
+    from lodestone.functions import narrative
+
+    plain = F.lower(F.coalesce("text", F.lit("")))
+    masks = ((r"[a-z][a-z0-9 .,&'/-]*\|\s*q[1-4][^|\n]*form\s+10-[kq]\s*\|\s*\d+", " "), *narrative.MASKS[1:])
+    for pattern, new in masks:
+        plain = F.regexp_replace(plain, pattern, new)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    found = rows.select("text", narrative.selector_key(F.col("text")).alias("got"), F.left(F.trim(plain), F.lit(1200)).alias("want")).collect()
+    assert [r.text for r in found if r.got != r.want] == []
