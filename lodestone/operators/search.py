@@ -22,6 +22,8 @@ BM25_K1 = 1.2
 BM25_B = 0.75
 #: The most a side that is broadcast may hold.
 BROADCAST_BYTES = 16 << 20
+#: Scores that a task holds at a time.
+SCORES = 1 << 21
 #: Characters of a text that are cut into words at a time.
 PIECE = 1 << 20
 
@@ -89,7 +91,7 @@ def dense_topk(queries: DataFrame, rows: DataFrame, limit: int, where: Column |
     """queries(query_id, query_vector, ...) x rows(node_id, vector, ...) -> the `limit` nearest rows of each query.
 
     Queries are held as one matrix a block, which every task multiplies with its rows batch by
-    batch; `limit` rows of each query leave a batch. Vectors that are null, hold a null, have
+    batch, SCORES products at a time; `limit` rows of each query leave a batch. Vectors that are null, hold a null, have
     length 0 or another size than the query's are no hits.
     """
     if where is not None:
@@ -111,14 +113,17 @@ def dense_topk(queries: DataFrame, rows: DataFrame, limit: int, where: Column |
                 ids = batch.column("node_id").to_numpy(zero_copy_only=False)
                 for size, asked, matrix in parts:
                     places, unit = unit_vectors(batch.column("vector"), size)
-                    products = np.round(unit @ matrix.T, 6) + 0.0
-                    found = [_nearest(products[:, k], ids[places], limit) for k in range(len(asked))]
-                    at = np.concatenate([np.zeros(0, np.int64), *found])
-                    of = np.repeat(np.arange(len(asked)), [len(f) for f in found])
-                    hits = batch.take(pa.array(places[at]))
-                    queries_of = names.take(pa.array(asked[of])).combine_chunks()
-                    columns = [hits.column(f.name) for f in carried] + [queries_of.column(f.name).combine_chunks() for f in own]
-                    yield pa.record_batch([*columns, pa.array(products[at, of])], names=schema.names)
+                    step = max(1, SCORES // max(1, len(unit)))
+                    for first in range(0, len(asked), step):
+                        products = np.round(unit @ matrix[first : first + step].T, 6) + 0.0
+                        some = asked[first : first + step]
+                        found = [_nearest(products[:, k], ids[places], limit) for k in range(len(some))]
+                        at = np.concatenate([np.zeros(0, np.int64), *found])
+                        of = np.repeat(np.arange(len(some)), [len(f) for f in found])
+                        hits = batch.take(pa.array(places[at]))
+                        queries_of = names.take(pa.array(some[of])).combine_chunks()
+                        columns = [hits.column(f.name) for f in carried] + [queries_of.column(f.name).combine_chunks() for f in own]
+                        yield pa.record_batch([*columns, pa.array(products[at, of])], names=schema.names)
 
         return rows.mapInArrow(run, schema)
 

@@ -47,3 +47,34 @@ def test_keys_of_long_texts_are_those_of_the_whole_text(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
     found = rows.select("text", narrative.selector_key(F.col("text")).alias("got"), F.left(F.trim(plain), F.lit(1200)).alias("want")).collect()
     assert [r.text for r in found if r.got != r.want] == []
+
+
+def test_scores_come_in_slices_and_lists_in_shares(spark, monkeypatch):
+    from lodestone.operators import evidence, search
+
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5) + 1]) for i in range(300)], "node_id long, vector array<double>")
+    asked = rows.limit(40).select(F.col("node_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    best = lambda: sorted(map(tuple, search.dense_topk(asked, rows, 3).select("query_id", "node_id", "score", "rank").collect()))
+    whole = best()
+    monkeypatch.setattr(search, "SCORES", 700)
+    assert best() == whole and len(whole) == 120
+
+    hits = spark.range(3000).select((F.col("id") % 3).alias("query_id"), (F.col("id") % 500).alias("node_id"), (F.col("id") * 7919 % 3001).alias("rank"))
+    parts = [hits.filter("rank % 4 = 0"), hits.filter("rank % 4 <> 0")]
+    union = lambda: sorted(map(tuple, evidence.priority_union(parts, 40).collect()))
+    whole = union()
+    monkeypatch.setattr(evidence, "ROWS_A_TASK", 100)
+    assert union() == whole and len(whole) == 120
+    assert evidence.priority_union(parts, 40).rdd.getNumPartitions() == 30
+
+
+def test_postings_of_long_batches_come_in_parts(spark, monkeypatch):
+    import pyarrow as pa
+
+    from lodestone.operators import postings
+
+    monkeypatch.setattr(postings, "PART_BYTES", 100)
+    batch = pa.record_batch([pa.array(range(50)), pa.array(["ab cd " * (i % 9) for i in range(49)] + [None])], names=["node_id", "low"])
+    parts = list(postings._parts(batch))
+    assert len(parts) > 5 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert [p.num_rows for p in postings._parts(batch.slice(0, 0))] == [0]
