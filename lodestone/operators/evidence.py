@@ -12,6 +12,11 @@ from lodestone.functions import formats
 from lodestone.functions import text as T
 
 
+#: Rows that a task of priority_union reads, and the buckets that a query's nodes are dealt into.
+ROWS_A_TASK = 500_000
+NODE_BUCKETS = 16
+
+
 def no_texts() -> Column:
     return F.array().cast("array<string>")
 
@@ -185,11 +190,19 @@ def merged_subqueries(hits: DataFrame, keep: int) -> DataFrame:
 
 
 def priority_union(lists: list[DataFrame], limit: int) -> DataFrame:
-    """lists of (query_id, node_id, rank), the first ones first, each node once, at most `limit`."""
+    """lists of (query_id, node_id, rank), the first ones first, each node once, at most `limit`.
+
+    Rows are dealt by query and a bucket of nodes to one task for every ROWS_A_TASK, so a task's
+    share doesn't grow with the lists; of a query only `limit` rows leave each bucket.
+    """
     rows = reduce(DataFrame.unionByName, [x.select("query_id", "node_id", "rank").withColumn("list", F.lit(i)) for i, x in enumerate(lists)])
-    once = rows.groupBy("query_id", "node_id").agg(F.min(F.struct("list", "rank")).alias("at"))
-    order = W.partitionBy("query_id").orderBy("at", "node_id")
-    return once.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= limit).select("query_id", "node_id", "rank")
+    tasks = max(1, -(-rows.count() // ROWS_A_TASK))
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("node_id"), F.lit(NODE_BUCKETS))).repartition(tasks, "query_id", "bucket")
+    once = dealt.groupBy("query_id", "bucket", "node_id").agg(F.min(F.struct("list", "rank")).alias("at"))
+    order = ["at", "node_id"]
+    few = once.withColumn("place", F.row_number().over(W.partitionBy("query_id", "bucket").orderBy(*order))).filter(F.col("place") <= limit).select("query_id", "node_id", "at")
+    last = F.row_number().over(W.partitionBy("query_id").orderBy(*order)).cast("long")
+    return few.repartition(tasks, "query_id").withColumn("rank", last).filter(F.col("rank") <= limit).select("query_id", "node_id", "rank")
 
 
 def overlaid(hits: DataFrame, scores: DataFrame, columns: list[str]) -> DataFrame:
