@@ -10,8 +10,11 @@ may, replaces itself.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +24,8 @@ from lodestone.operators import search
 BUCKETS = 64
 #: The bucket of rows without a term, and the length of a node that was deleted.
 NODES = DELETED = -1
+#: Bytes of texts whose postings a task holds at a time.
+PART_BYTES = 4 << 20
 #: Nodes that a row can hold.
 ROW_NODES = 5000
 
@@ -29,11 +34,21 @@ def bucket_of(term: Column) -> Column:
     return F.when(term.isNull(), F.lit(NODES).cast("long")).otherwise(F.pmod(F.xxhash64(term), F.lit(BUCKETS)))
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about PART_BYTES of texts."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("low")), 0).to_numpy(zero_copy_only=False)
+    of = np.cumsum(sizes) // PART_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+    for start, end in zip(cuts, cuts[1:], strict=False):
+        if end > start or not len(of):
+            yield batch.slice(start, end - start)
+
+
 def inverted(docs: DataFrame, kind: str) -> DataFrame:
     """docs(node_id, low, live) -> (term, nodes, counts), each task's nodes some at a time."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             ids = batch.column("node_id")
             lengths, held = [], defaultdict(lambda: ([], []))
             for i, (text, live) in enumerate(zip(batch.column("low").to_pylist(), batch.column("live").to_pylist(), strict=True)):
