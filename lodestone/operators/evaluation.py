@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,6 +78,8 @@ def first_mode(rows: DataFrame, by: list[str], value: str, position: str) -> Dat
     return counted.groupBy(*by).agg(F.max(F.struct("n", -F.col("first_at"), F.col(value).alias("mode"))).alias("m")).select(*by, "m.mode", F.col("m.n").alias("n"))
 
 
+#: White space that windows leave out.
+_WHITE = dict.fromkeys([*range(0x09, 0x0E), 0x20])
 #: Windows of questions up to which they are broadcast (about 16 MB).
 BROADCAST_WINDOWS = 100_000
 
@@ -98,15 +101,47 @@ def char_windows(rows: DataFrame, key: str, text: str, n: int, block: int = 512)
 def copied_runs(questions: DataFrame, texts: DataFrame, n: int = 16) -> DataFrame:
     """(question_id, text_id, shared): how many different runs of n characters a question(question_id, text) has in common with a text(text_id, text).
 
-    The windows of texts are met where they are read: those of the questions are broadcast as
-    long as few enough are counted, and joined by key beyond that.
+    The windows of texts are met where they are read: those of the questions are held by every
+    task as long as few enough are counted, and joined by key beyond that.
     """
     asked = char_windows(questions, "question_id", "text", n).distinct()
     few = asked.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    found = char_windows(texts, "text_id", "text", n).join(F.broadcast(asked) if few else asked, "w")
+    if few:
+        held = asked.select("w").distinct()
+        found = held_windows(texts, "text_id", "text", n, frozenset(r["w"] for r in held.toLocalIterator())).join(F.broadcast(asked), "w")
+    else:
+        found = char_windows(texts, "text_id", "text", n).join(asked, "w")
     return found.groupBy("question_id", "text_id").agg(F.count_distinct("w").alias("shared"))
 
 
+def held_windows(rows: DataFrame, key: str, text: str, n: int, windows: frozenset[str]) -> DataFrame:
+    """(key, w): the windows of char_windows that are among the given ones, each once a row.
+
+    A text is looked at every n // 2 characters, as each window holds a stretch of so many that
+    begins there; only around stretches that some given window holds are windows cut out.
+    """
+    half = max(1, n // 2)
+    parts = frozenset(w[i : i + half] for w in windows for i in range(n - half + 1))
+    sent = rows.sparkSession.sparkContext.broadcast((windows, parts))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches):
+        whole, some = sent.value
+        for batch in batches:
+            places, found = [], []
+            for i, raw in enumerate(batch.column("text").to_pylist()):
+                bare = (raw or "").translate(_WHITE)
+                hits = set()
+                for at in range(0, len(bare) - half + 1, half):
+                    if bare[at : at + half] in some:
+                        hits.update(w for j in range(max(0, at + half - n), at + 1) if (w := bare[j : j + n]) in whole)
+                places += [i] * len(hits)
+                found += hits
+            yield pa.record_batch([batch.column("key").take(pa.array(places, pa.int64())), pa.array(found, pa.string())], names=[key, "w"])
+
+    return rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"{key} {kind}, w string")
+
+
 def soft_scores(rows: DataFrame) -> DataFrame:
     """rows(metric, score) -> scored, skipped and the mean of each metric, 4 digits; null and NaN scores are skipped."""
     good = F.col("score").isNotNull() & ~F.isnan("score")

@@ -78,3 +78,17 @@ def test_postings_of_long_batches_come_in_parts(spark, monkeypatch):
     parts = list(postings._parts(batch))
     assert len(parts) > 5 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
     assert [p.num_rows for p in postings._parts(batch.slice(0, 0))] == [0]
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 16])
+def test_runs_are_the_same_held_or_joined(spark, monkeypatch, n):
+    from lodestone.operators import evaluation
+
+    words = ["alpha", "be ta", "gam\tma", "délta", "𝒳y", "o"]
+    texts = ["".join(words[(i * 7 + j * j) % 6] for j in range(i)) for i in range(30)] + [None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "text_id long, text string")
+    asked = rows.filter("text_id % 5 = 4").withColumnRenamed("text_id", "question_id")
+    runs = lambda: sorted(map(tuple, evaluation.copied_runs(asked, rows, n).collect()))
+    held = runs()
+    monkeypatch.setattr(evaluation, "BROADCAST_WINDOWS", 0)
+    assert runs() == held and len(held) > 20
