@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import holds_any, let
+
 # Names with the phrases that mean them; of roles the first that is met counts.
 SECTION_ROLES = (
     ("results_of_operations", ("results of operations", "operating results", "operating income", "operating loss")),
@@ -83,11 +85,7 @@ ADVERTISES = ("微信", "qq", "电话", "手机号", "客服", "官网", "官微
 
 def holds(text: Column, phrases: tuple[str, ...]) -> Column:
     """Whether the text holds any of the phrases, case aside."""
-    low = F.lower(text)
-    found = F.lit(False)
-    for phrase in phrases:
-        found = found | low.contains(phrase)
-    return found
+    return let(F.lower(text), lambda low: holds_any(low, phrases))
 
 
 def first_named(text: Column, rules: tuple) -> Column:
@@ -152,34 +150,52 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n?|\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def _sentences(bare: Column, lines: Column) -> Column:
+    ends = F.regexp_count(bare, F.lit(r"[.!?](\s|$)"))
+    return let(ends, lambda n: F.when(n > 0, n).otherwise(F.size(F.filter(lines, lambda x: F.length(x) >= 60))))
+
+
 def sentences(text: Column) -> Column:
     """Ends of sentences; where there are none, lines of 60 characters or more."""
-    ends = F.regexp_count(F.trim(text), F.lit(r"[.!?](\s|$)"))
-    return F.coalesce(F.when(ends > 0, ends).otherwise(F.size(F.filter(lines_of(text), lambda x: F.length(x) >= 60))), F.lit(0))
+    return F.coalesce(_sentences(F.trim(text), lines_of(text)), F.lit(0))
 
 
 def citable(text: Column, explains: Column) -> Column:
-    """score, blocked, flags, sentences and table_share of a passage; explains is its number of causal phrases. Null is empty."""
-    bare = F.trim(F.coalesce(text, F.lit("")))
-    low, n, lines = F.lower(bare), F.length(bare), lines_of(bare)
-    is_table = lambda x: F.lower(x).startswith("table |")
+    """score, blocked, flags, sentences and table_share of a passage; explains is its number of causal phrases. Null is empty.
+
+    What several rules look at is computed once; phrases are looked for only where a rule still depends on them.
+    """
+    is_table = lambda x: F.lower(F.left(x, F.lit(7))) == "table |"
     total = lambda rows: F.aggregate(rows, F.lit(0), lambda a, x: a + F.length(x))
-    ends = sentences(bare)
-    tables = total(F.filter(lines, is_table)) / F.greatest(n, F.lit(1))
-    told = total(F.filter(lines, lambda x: ~is_table(x))) / F.greatest(n, F.lit(1))
-    headed = (n > 0) & (holds(low, HEADINGS) | (n <= 420))
-    refers = holds(low, REFERS)
-    only_refers = refers & (explains == 0) & (ends <= 2)
-    contents, short, title = low.contains("table of contents"), (n < 120) & (ends < 2), headed & (ends == 0) & (F.size(lines) <= 4)
-    blocked = contents | short | title
-    scores = ((n >= 220, 0.8), (ends >= 2, 0.8), (told >= 0.6, 0.8), (ends == 0, -1.0), (tables >= 0.75, -0.8), (only_refers, -1.0), (refers & ~only_refers, -0.4), (headed & (n < 500), -0.4))
-    score = sum((F.when(met & ~blocked, w).otherwise(0.0) for met, w in scores), F.lit(0.0))
-    flags = (
-        (contents, "toc"), (short, "too_short"), (title, "heading_only"), (~blocked & (ends == 0), "no_sentence"), (~blocked & (tables >= 0.75), "table_heavy"),
-        (~blocked & only_refers, "cross_ref_only"), (~blocked & refers & ~only_refers, "cross_ref"), (~blocked & headed & (n < 500), "heading_like"),
-    )
-    named = F.array_compact(F.array(*[F.when(met, F.lit(name)) for met, name in flags]))
-    return F.struct(F.round(score, 4).alias("score"), blocked.alias("blocked"), named.alias("flags"), ends.alias("sentences"), F.round(tables, 4).alias("table_share"))
+
+    def seen(bare: Column, low: Column, lines: Column) -> Column:
+        n, tables = F.length(bare), total(F.filter(lines, is_table))
+        return F.struct(
+            n.alias("n"), F.size(lines).alias("lines"), _sentences(bare, lines).alias("ends"), tables.alias("tables"), total(lines).alias("all"),
+            low.contains("table of contents").alias("contents"), ((n > 0) & ((n <= 420) | holds_any(low, HEADINGS))).alias("headed"), holds_any(low, REFERS).alias("refers"),
+        )
+
+    def judged(s: Column) -> Column:
+        n, ends = s["n"], s["ends"]
+        short, title = (n < 120) & (ends < 2), s["headed"] & (ends == 0) & (s["lines"] <= 4)
+        return F.struct(
+            n.alias("n"), ends.alias("ends"), (s["tables"] / F.greatest(n, F.lit(1))).alias("tables"), ((s["all"] - s["tables"]) / F.greatest(n, F.lit(1))).alias("told"), s["contents"].alias("contents"), short.alias("short"), title.alias("title"),
+            (s["contents"] | short | title).alias("blocked"), s["headed"].alias("headed"), s["refers"].alias("refers"), (s["refers"] & (ends <= 2) & (explains == 0)).alias("only_refers"),
+        )
+
+    def scored(s: Column) -> Column:
+        n, ends, tables, blocked, only_refers = s["n"], s["ends"], s["tables"], s["blocked"], s["only_refers"]
+        other, heading = s["refers"] & ~only_refers, s["headed"] & (n < 500)
+        scores = ((n >= 220, 0.8), (ends >= 2, 0.8), (s["told"] >= 0.6, 0.8), (ends == 0, -1.0), (tables >= 0.75, -0.8), (only_refers, -1.0), (other, -0.4), (heading, -0.4))
+        score = sum((F.when(met & ~blocked, w).otherwise(0.0) for met, w in scores), F.lit(0.0))
+        flags = (
+            (s["contents"], "toc"), (s["short"], "too_short"), (s["title"], "heading_only"), (~blocked & (ends == 0), "no_sentence"), (~blocked & (tables >= 0.75), "table_heavy"),
+            (~blocked & only_refers, "cross_ref_only"), (~blocked & other, "cross_ref"), (~blocked & heading, "heading_like"),
+        )
+        named = F.array_compact(F.array(*[F.when(met, F.lit(name)) for met, name in flags]))
+        return F.struct(F.round(score, 4).alias("score"), blocked.alias("blocked"), named.alias("flags"), ends.alias("sentences"), F.round(tables, 4).alias("table_share"))
+
+    return let(F.trim(F.coalesce(text, F.lit(""))), lambda bare: let(let(let(F.lower(bare), lambda low: let(lines_of(bare), lambda lines: seen(bare, low, lines))), judged), scored))
 
 
 def answerable(text: Column, explains: Column, rerank: Column, least: float = 0.10) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 CAUSAL = ("because", "due to", "as a result", "driven by", "primarily", "resulted in")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def clean_lines(text: Column) -> Column:
     """Line ends unified, lines trimmed, empty ones dropped."""
     lines = F.transform(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"), lambda line: F.trim(line))
@@ -31,7 +38,7 @@ def sentence_count(text: Column) -> Column:
 
 
 def causal_signals(text: Column) -> Column:
-    return sum((F.lower(text).contains(p).cast("int") for p in CAUSAL), F.lit(0))
+    return let(F.lower(text), lambda low: sum((low.contains(p).cast("int") for p in CAUSAL), F.lit(0)))
 
 
 def trigrams(text: Column) -> Column:

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import formats, narrative
+from lodestone.functions import text as T
 
 
 def one(spark, *columns):
@@ -104,3 +105,11 @@ def test_questions_and_sources(spark):
     got = one(spark, narrative.source_quality(F.lit("Fees and time"), F.lit("x" * 150), F.lit("a.Example.org"), ("example.org",), ("fees", "time")))
     assert got[0] == pytest.approx(0.8 + 0.4 + 0.5)
     assert one(spark, narrative.selector_key(F.lit("Acme | Q3 2017 Form 10-Q | 15\nIn 2020, 1,200 units in Q2")))[0] == "in <year> , <num> units in"
+
+
+def test_citable_looks_at_a_text_once(spark):
+    rows = spark.createDataFrame([("x",)], "text string")
+    found = rows.select(narrative.citable(F.col("text"), T.causal_signals(F.col("text"))).alias("c"))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert [plan.count(name) for name in ("regexp_count(", "split(", "see item 1a", "resulted in")] == [1, 1, 1, 1]
+    assert plan.count("lower(") <= 3
