@@ -8,6 +8,12 @@ trees score each proposal by its format and its surroundings. They learn from th
 what these find, also rewritten in disguised forms, is personal data; what overlaps no base
 match, or only a part of a sound one, is none; what lies in a failed match is left to the model.
 
+All proposals of all texts are learnt from. Equal ones (in features and label) are counted
+together by Spark; trees and thresholds need only sums over these counts, which the driver takes
+from its own copy while that fits BROADCAST_BYTES, and beyond it from one pass of tasks for each
+level of a tree. Sums are of whole numbers, so both give the same model. Each kind has its own
+trees, as formats of one say nothing of another's.
+
 Texts are read whole, one after another, and proposals of a text are scored in blocks, so
 memory is bounded by the text. All patterns match in linear time.
 """
@@ -16,7 +22,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import batched
 
@@ -25,14 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.staging import Staged, in_small_batches
+from lodestone.llm.staging import BROADCAST_BYTES, Staged, in_small_batches
 
 KINDS = ("email", "ip", "card", "phone")
-#: Bound of the training sample: texts of least hash that hold a digit or an @, each distinct text once.
-SAMPLE_TEXTS = 6000
-#: Proposals of one sample text that are learnt from, those of least hash.
-SAMPLE_PROPOSALS = 64
-SAMPLE_PARTS = 8
 TREES = 60
 DEPTH = 4
 RATE = 0.2
@@ -47,6 +49,15 @@ LEAST_SCORE = 0.9
 CALIBRATION = 4
 #: Proposals scored at a time.
 BLOCK = 1 << 13
+#: Greater features count as this.
+MOST = 4095
+#: Different examples that a task counts at a time.
+COUNTED = 1 << 16
+#: Slopes and curvatures are summed as whole numbers of this part.
+SCALE = 1 << 20
+#: Steps of the log odds, up to CLIP, by which calibration counts.
+STEPS = 100
+CLIP = 50
 AROUND = 24
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -150,7 +161,7 @@ FEATURES = 27
 
 
 def features(text: str, span: Span) -> list[float]:
-    """Format and surroundings of a proposal, in FEATURES numbers."""
+    """Format and surroundings of a proposal, in FEATURES numbers up to MOST."""
     kind, start, end = span
     own = text[start:end]
     groups = [len(g) for g in _GROUP.findall(own)]
@@ -159,13 +170,14 @@ def features(text: str, span: Span) -> list[float]:
     before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
     left, right = before.rstrip(), after.lstrip()
     labels = re.split(r"\.|dot", own.rpartition("@")[2]) if kind == 0 else []
-    return [
+    found = (
         kind, len(own), len(digits), len(groups), max(groups, default=0), min(groups, default=0), groups[0] if groups else 0, groups[-1] if groups else 0,
         *marks, own[0] == "+", "@" in own, own.isupper(), luhn(digits) if digits else -1, sum(not octet(g) for g in _GROUP.findall(own)) if kind == 1 else -1,
         len(labels), len(labels[-1].strip()) if labels else 0,
         _side(before[-1:]), _side(after[:1]), _side(left[-1:]), _side(right[:1]),
         sum(c.isdecimal() for c in before), sum(c.isdecimal() for c in after), len(set(digits)),
-    ]
+    )
+    return [min(v, MOST) for v in found]
 
 
 def disguised(text: str, span: Span) -> tuple[str, Span]:
@@ -187,129 +199,237 @@ def disguised(text: str, span: Span) -> tuple[str, Span]:
     return text[:start] + new + text[end:], (kind, start, start + len(new))
 
 
-def examples(text: str) -> list[tuple[int, list[float]]]:
-    """(label, features) of a sample text's proposals, at most SAMPLE_PROPOSALS; one in two sound base spans also in a disguised form."""
+def examples(text: str) -> Iterator[tuple[int, list[float]]]:
+    """(label, features) of a text's proposals; one in two sound base spans also in a disguised form."""
     matches = list(base_matches(text))
     sound, failed = ({s for s, holds in matches if holds == which} for which in (True, False))
-    open_ = np.zeros((len(KINDS), len(text)), bool)
+    unclear = np.zeros((len(KINDS), len(text)), bool)
     for kind, start, end in failed:
-        open_[kind, start:end] = True
-    found = []
-    for span in {*proposals(text), *sound}:
-        if span in sound or span in failed or not open_[span[0], span[1] : span[2]].any():
-            found.append((zlib.crc32(f"{span}{text[span[1]:span[2]]}".encode()), int(span in sound), span))
-    rows = [(label, features(text, span)) for _, label, span in sorted(found)[:SAMPLE_PROPOSALS]]
-    for span in sorted(sound)[: SAMPLE_PROPOSALS // 2]:
-        if zlib.crc32(f"{text[span[1]:span[2]]}".encode()) % 2:
-            new, place = disguised(text, span)
-            rows.append((1, features(new, place)))
-    return rows
+        unclear[kind, start:end] = True
+    for span in proposals(text):
+        if span not in sound and (span in failed or not unclear[span[0], span[1] : span[2]].any()):
+            yield 0, features(text, span)
+    for kind, start, end in sound:
+        yield 1, features(text, (kind, start, end))
+        if zlib.crc32(text[start:end].encode()) % 2:
+            first = max(0, start - AROUND)
+            yield 1, features(*disguised(text[first : end + AROUND], (kind, start - first, end - first)))
 
 
 @dataclass
 class Forest:
-    """Trees of one depth as arrays: for each inner node its feature and edge, for each leaf its value."""
+    """Trees of one depth as arrays, each kind with its own: for each inner node its feature and edge, for each leaf its value."""
 
     feature: np.ndarray
     edge: np.ndarray
     leaf: np.ndarray
-    start: float
+    start: np.ndarray
     thresholds: np.ndarray
 
+    def margins(self, x: np.ndarray, first: int = 0) -> np.ndarray:
+        """Sums of leaves over the trees from the `first` on."""
+        total, kind = np.zeros(len(x)), x[:, 0].astype(np.int64)
+        for feature, edge, leaf in zip(self.feature[first:], self.edge[first:], self.leaf[first:], strict=True):
+            total += leaf[kind, leaves(x, kind, feature, edge, DEPTH)]
+        return total
+
     def scores(self, x: np.ndarray) -> np.ndarray:
-        total = np.full(len(x), self.start)
-        rows = np.arange(len(x))
-        for feature, edge, leaf in zip(self.feature, self.edge, self.leaf, strict=True):
-            node = np.zeros(len(x), np.int64)
-            for _ in range(DEPTH):
-                node = 2 * node + 1 + (x[rows, feature[node]] > edge[node])
-            total += leaf[node - (2**DEPTH - 1)]
-        return 1 / (1 + np.exp(-np.clip(total, -50, 50)))
-
-
-def grow(x: np.ndarray, bins: np.ndarray, edges: list[np.ndarray], slope: np.ndarray, curve: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A tree that lowers the loss most at each split, by sums of slopes and curvatures per bin; a node without a good split passes all rows left."""
+        return certainty(self.start[x[:, 0].astype(np.int64)] + self.margins(x))
+
+
+def certainty(margin: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(margin, -CLIP, CLIP)))
+
+
+def leaves(x: np.ndarray, kind: np.ndarray, feature: np.ndarray, edge: np.ndarray, depth: int) -> np.ndarray:
+    """The node of a level of its kind's tree that each row comes to, from 0."""
+    node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+    for _ in range(depth):
+        node = 2 * node + 1 + (x[rows, feature[kind, node]] > edge[kind, node])
+    return node - (2**depth - 1)
+
+
+class Part:
+    """Examples that are held at a time, with their numbers. Each method gives sums, which add up over parts."""
+
+    def __init__(self, x: np.ndarray, labels: np.ndarray, counts: np.ndarray):
+        self.x, self.labels, self.counts = x, labels, counts
+        self.kind = x[:, 0].astype(np.int64)
+        self.bins, self.margin, self.trees = None, np.zeros(len(x)), 0
+
+    def totals(self) -> np.ndarray:
+        """Numbers of rows of both labels by kind."""
+        return np.bincount(2 * self.kind + (self.labels > 0), self.counts, 2 * len(KINDS)).reshape(-1, 2).astype(np.int64)
+
+    def values(self) -> np.ndarray:
+        """How often each feature has each value from -1 to MOST."""
+        return np.stack([np.bincount(column.astype(np.int64) + 1, self.counts, MOST + 2) for column in self.x.T]).astype(np.int64)
+
+    def margins(self, forest: Forest) -> np.ndarray:
+        self.margin, self.trees = self.margin + forest.margins(self.x, self.trees), len(forest.leaf)
+        return forest.start[self.kind] + self.margin
+
+    def level(self, forest: Forest, edges: list[np.ndarray], feature: np.ndarray, edge: np.ndarray, depth: int) -> np.ndarray:
+        """Slopes, curvatures and numbers of rows by kind, node of a tree's level, feature and bin."""
+        if self.bins is None:
+            self.bins = np.stack([np.searchsorted(cuts, column, "left") for cuts, column in zip(edges, self.x.T, strict=True)], 1)
+        p = certainty(self.margins(forest))
+        weights = [np.rint(v * SCALE) * self.counts for v in (p - self.labels, p * (1 - p))] + [self.counts]
+        at = (self.kind * 2**depth + leaves(self.x, self.kind, feature, edge, depth)) * (EDGES + 1)
+        found = [[np.bincount(at + own, w, len(KINDS) * 2**depth * (EDGES + 1)) for w in weights] for own in self.bins.T]
+        return np.array(found).reshape(len(edges), 3, len(KINDS), 2**depth, EDGES + 1).transpose(2, 3, 0, 4, 1).astype(np.int64)
+
+    def graded(self, forest: Forest) -> np.ndarray:
+        """Numbers of rows of both labels by kind and step of the log odds."""
+        step = np.rint(np.clip(self.margins(forest), -CLIP, CLIP) * STEPS).astype(np.int64) + CLIP * STEPS
+        steps = 2 * CLIP * STEPS + 1
+        at = (self.kind * steps + step) * 2 + (self.labels > 0)
+        return np.bincount(at, self.counts, len(KINDS) * steps * 2).reshape(len(KINDS), steps, 2).astype(np.int64)
+
+
+#: A method of Part by name, with what it needs -> its sums over all examples.
+Ask = Callable[..., np.ndarray]
+
+
+def cuts_of(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The values (which ascend) that splits are tried at: quantiles, without the greatest."""
+    below = np.cumsum(counts)
+    places = np.rint(np.linspace(0, 1, EDGES + 1)[1:-1] * (below[-1] - 1))
+    cuts = np.unique(values[np.searchsorted(below, places, "right")])
+    return cuts[cuts < values[-1]]
+
+
+def grow(ask: Ask, forest: Forest, edges: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A tree for each kind that lowers the loss most at each split, by sums of slopes and curvatures per bin; a node without a good split passes all rows left."""
     inner = 2**DEPTH - 1
-    feature, edge, leaf = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(inner + 1)
-    node = np.zeros(len(x), np.int64)
-    for at in range(2 * inner + 1):
-        mine = np.flatnonzero(node == at)
-        g, h = slope[mine].sum(), curve[mine].sum()
-        if at >= inner:
-            leaf[at - inner] = -g / (h + 1)
-            continue
-        best = 1e-3
-        for k, cuts in enumerate(edges):
-            if not len(cuts) or len(mine) < 2 * LEAST_ROWS:
-                continue
-            own = bins[mine, k]
-            left_g, left_h, left_n = (np.cumsum(np.bincount(own, w, len(cuts) + 1))[:-1] for w in (slope[mine], curve[mine], np.ones(len(mine))))
+    feature, edge, leaf = np.zeros((len(KINDS), inner), np.int64), np.full((len(KINDS), inner), np.inf), np.zeros((len(KINDS), inner + 1))
+    for depth in range(DEPTH):
+        sums = ask("level", forest, edges, feature, edge, depth) / np.array([SCALE, SCALE, 1])
+        for kind, k in np.ndindex(sums.shape[:2]):
+            at = kind, 2**depth - 1 + k
+            own = sums[kind, k]
+            g, h, n = whole = own[0].sum(0)
+            left = np.cumsum(own, 1)[:, :-1]
+            left_g, left_h, left_n = np.moveaxis(left, 2, 0)
             gain = left_g**2 / (left_h + 1) + (g - left_g) ** 2 / (h - left_h + 1) - g**2 / (h + 1)
-            gain[(left_n < LEAST_ROWS) | (len(mine) - left_n < LEAST_ROWS)] = 0
-            if gain.max() > best:
-                best, feature[at], edge[at] = gain.max(), k, cuts[gain.argmax()]
-        node[mine] = 2 * at + 1 + (x[mine, feature[at]] > edge[at])
+            gain[(left_n < LEAST_ROWS) | (n - left_n < LEAST_ROWS)] = 0
+            best = np.unravel_index(gain.argmax(), gain.shape)
+            split = whole
+            if gain[best] > 1e-3:
+                feature[at], edge[at], split = best[0], edges[best[0]][best[1]], left[best]
+            if depth == DEPTH - 1:
+                leaf[kind, 2 * k : 2 * k + 2] = [-s[0] / (s[1] + 1) for s in (split, whole - split)]
     return feature, edge, leaf
 
 
-def fit(x: np.ndarray, labels: np.ndarray, calibration: np.ndarray) -> Forest | None:
-    """Boosted on the rows that aren't for calibration, thresholds on those that are; None if a class is missing."""
-    learnt, own = x[~calibration], labels[~calibration].astype(float)
-    if not len(own) or own.min() == own.max():
+def boosted(learnt: Ask, held: Ask, edges: list[np.ndarray]) -> Forest | None:
+    """Boosted on what is learnt from, thresholds on what is held for calibration; None if a class is missing."""
+    totals = learnt("totals")
+    if not totals.sum(0).all():
         return None
-    edges = [np.unique(np.quantile(column, np.linspace(0, 1, EDGES + 1)[1:-1], method="nearest")) for column in learnt.T]
-    edges = [cuts[cuts < column.max()] for cuts, column in zip(edges, learnt.T, strict=True)]
-    bins = np.stack([np.searchsorted(cuts, column, "left") for cuts, column in zip(edges, learnt.T, strict=True)], 1)
-    start = float(np.log(own.mean() / (1 - own.mean())))
-    total, trees = np.full(len(own), start), []
+    trees, start = [], np.log((totals[:, 1] + 1) / (totals[:, 0] + 1))
     for _ in range(TREES):
-        p = 1 / (1 + np.exp(-total))
-        feature, edge, leaf = grow(learnt, bins, edges, p - own, p * (1 - p))
+        forest = _forest(trees, start)
+        feature, edge, leaf = grow(learnt, forest, edges)
         trees.append((feature, edge, RATE * leaf))
-        one = Forest(*(v[None] for v in trees[-1]), 0.0, np.zeros(0))
-        q = one.scores(learnt)
-        total += np.log(q / (1 - q))
-    forest = Forest(*map(np.stack, zip(*trees, strict=True)), start, np.ones(0))
-    scores, held, kind = forest.scores(x[calibration]), labels[calibration], x[calibration][:, 0]
-    forest.thresholds = np.array([threshold(scores[kind == k], held[kind == k]) for k in range(len(KINDS))])
+    # A kind without examples is scored as the one with most; without calibration rows its threshold stays over 1.
+    used = np.where(totals.any(1), np.arange(len(KINDS)), totals.sum(1).argmax())
+    forest = _forest([tuple(v[used] for v in tree) for tree in trees], start[used])
+    grades = certainty((np.arange(2 * CLIP * STEPS + 1) - CLIP * STEPS) / STEPS)
+    forest.thresholds = np.array([threshold(grades[some], own[some, 1], own[some].sum(1)) for own in held("graded", forest) for some in [own.sum(1) > 0]])
     return forest
 
 
-def threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """Half way between the least score down to which PRECISION holds throughout and the next one, LEAST_SCORE at least; over 1 if there is none."""
+def _forest(trees: list[tuple], start: np.ndarray) -> Forest:
+    feature, edge, leaf = map(np.array, zip(*trees, strict=True)) if trees else [()] * 3
+    return Forest(feature, edge, leaf, start, np.full(len(KINDS), 2.0))
+
+
+def fit(x: np.ndarray, labels: np.ndarray, calibration: np.ndarray) -> Forest | None:
+    """Boosted on the rows that aren't for calibration, thresholds on those that are; None if a class is missing."""
+    parts = [Part(x[some], labels[some].astype(float), np.ones(some.sum())) for some in (~calibration, calibration)]
+    learnt, held = (lambda name, *state, part=part: getattr(part, name)(*state) for part in parts)
+    return boosted(learnt, held, [cuts_of(*np.unique(column, return_counts=True)) for column in parts[0].x.T])
+
+
+def threshold(scores: np.ndarray, labels: np.ndarray, counts: np.ndarray | None = None) -> float:
+    """Half way between the least score down to which PRECISION holds throughout and the next one, LEAST_SCORE at least; over 1 if there is none.
+
+    With counts, a score stands for so many rows, of which labels says how many are of the class.
+    """
     order = np.argsort(-scores, kind="stable")
     ranked = scores[order]
-    precision = np.cumsum(labels[order]) / np.arange(1, len(order) + 1)
+    precision = np.cumsum(labels[order]) / np.cumsum(np.ones(len(order)) if counts is None else counts[order])
     last = np.diff(ranked, append=-1.0) != 0
     failing = ranked[last & (precision < PRECISION)].max(initial=0.0)
     sure = ranked[ranked > failing]
     return max(LEAST_SCORE, (sure.min() + failing) / 2) if len(sure) else 2.0
 
 
-def sample(docs: DataFrame) -> Staged:
-    """The training texts, each with a hash; SAMPLE_TEXTS says which."""
-    held = docs.filter(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("hash"), "text")
-    chosen = Staged(held.select("hash").distinct().orderBy("hash").limit(SAMPLE_TEXTS))
-    rows = Staged(held.join(F.broadcast(chosen.df), "hash").groupBy("hash").agg(F.min("text").alias("text")).repartition(SAMPLE_PARTS, "hash"))
-    chosen.drop()
-    return rows
+def counted_examples(docs: DataFrame) -> Staged:
+    """x (features as two bytes each), label, held (for calibration, by the text), n: all different examples of all texts of docs(text), with their numbers."""
 
+    def run(batches):
+        found = Counter()
 
-def train(docs: DataFrame) -> Forest | None:
-    rows = sample(docs)
+        def rows():
+            keys = list(found)
+            columns = [pa.array([k[2] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[0] for k in keys], pa.bool_()), pa.array(list(found.values()), pa.int64())]
+            found.clear()
+            return pa.record_batch(columns, names=["x", "label", "held", "n"])
 
-    def run(batches):
         for batch in batches:
-            for own, text in zip(batch.column("hash").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = examples(text)
-                yield pa.record_batch([pa.array([own] * len(found), pa.int64()), pa.array([label for label, _ in found], pa.int32()), pa.array([np.array(x, np.float32).tobytes() for _, x in found], pa.binary())], names=["hash", "label", "x"])
+            for held, text in zip(batch.column("held").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for label, x in examples(text):
+                    found[held, label, np.array(x, np.int16).tobytes()] += 1
+                    if len(found) >= COUNTED:
+                        yield rows()
+        if found:
+            yield rows()
 
-    found = sorted(in_small_batches(rows.df, run, "hash long, label int, x binary").collect())
-    rows.drop()
-    if not found:
-        return None
-    x = np.frombuffer(b"".join(r["x"] for r in found), np.float32).reshape(-1, FEATURES).astype(float)
-    return fit(x, np.array([r["label"] for r in found]), np.array([r["hash"] % CALIBRATION == 0 for r in found]))
+    texts = docs.filter("text is not null").select("text", (F.xxhash64("text") % CALIBRATION == 0).alias("held"))
+    return Staged(in_small_batches(texts, run, "x binary, label int, held boolean, n long").groupBy("x", "label", "held").agg(F.sum("n").alias("n")))
+
+
+def part_of(rows: pa.Table | pa.RecordBatch) -> Part:
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.int16).reshape(-1, FEATURES).astype(float)
+    return Part(x, *(rows.column(c).to_numpy().astype(float) for c in ("label", "n")))
+
+
+def of_tasks(rows: DataFrame) -> Ask:
+    """Sums over rows(x, label, n) that stay where they are: one pass over them for each."""
+
+    def ask(name: str, *state) -> np.ndarray:
+        def run(batches):
+            found = None
+            for batch in batches:
+                own = getattr(part_of(batch), name)(*state)
+                found = own if found is None else found + own
+            if found is not None:
+                yield pa.record_batch([pa.array([found.tobytes()], pa.binary())], names=["sums"])
+
+        none = getattr(Part(np.zeros((0, FEATURES)), np.zeros(0), np.zeros(0)), name)(*state)
+        return sum((np.frombuffer(r["sums"], np.int64).reshape(none.shape) for r in in_small_batches(rows, run, "sums binary").toLocalIterator()), none)
+
+    return ask
+
+
+def train(docs: DataFrame) -> Forest | None:
+    counted = counted_examples(docs)
+    few = counted.rows() * (2 * FEATURES + 32) <= BROADCAST_BYTES
+
+    def ask(held: bool) -> Ask:
+        rows = counted.df.filter(F.col("held") == held).select("x", "label", "n")
+        if not few:
+            return of_tasks(rows)
+        part = part_of(rows.toArrow())
+        return lambda name, *state: getattr(part, name)(*state)
+
+    learnt, held = ask(False), ask(True)
+    values = learnt("values")
+    forest = boosted(learnt, held, [cuts_of(np.flatnonzero(own) - 1.0, own[own > 0]) for own in values]) if values.any() else None
+    counted.drop()
+    return forest
 
 
 def added(text: str, base: list[Span], forest: Forest) -> list[Span]:

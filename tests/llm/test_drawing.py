@@ -227,3 +227,22 @@ def test_trees_learn_a_step_and_thresholds_keep_precision():
     assert personal_data.threshold(np.array([0.99, 0.98, 0.97, 0.5]), np.array([1, 1, 0, 0])) == pytest.approx(0.975)
     assert personal_data.threshold(np.array([0.99]), np.array([0])) == 2
     assert personal_data.fit(x, np.ones(2000, int), np.arange(2000) % 4 == 0) is None
+
+
+def test_op13_learns_from_every_proposal_of_every_text(spark):
+    texts = [f"write to u{i % 7}@mail.org or call {i} of 10.0.0.{i % 300} today" for i in range(7000)] + [" and ".join(f"a{i}@b.example.org" for i in range(200)), None, ""]
+    counted = personal_data.counted_examples(spark.createDataFrame([(t,) for t in texts], "text string")).df.collect()
+    plain = Counter((label, np.array(x, np.int16).tobytes()) for t in texts for label, x in personal_data.examples(t or ""))
+    found = Counter()
+    for r in counted:
+        found[r.label, bytes(r.x)] += r.n
+    assert found == plain and sum(found.values()) > 14200
+
+
+def test_trees_are_the_same_from_sums_of_tasks(spark, model, monkeypatch):
+    monkeypatch.setattr(personal_data, "TREES", 3)
+    one = personal_data.train(model[1])
+    monkeypatch.setattr(personal_data, "BROADCAST_BYTES", 0)
+    two = personal_data.train(model[1])
+    for name in ("feature", "edge", "leaf", "start", "thresholds"):
+        assert np.array_equal(getattr(one, name), getattr(two, name))
