@@ -91,6 +91,21 @@ def test_facts_come_in_batches_with_their_lists(spark):
     assert found["f3.0"].text == "(no observations in facts payload)"
 
 
+def test_positions_of_a_key_of_many_ranges(spark):
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 > 0, F.lit(1)).when(F.col("id") % 2 == 0, F.col("id")).alias("key"), (F.col("id") * 7919 % 6000).alias("at"))
+    wanted = {}
+    for key, at in sorted(map(tuple, rows.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        wanted.setdefault(key, []).append(at)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = fact_nodes.numbered(rows, "key", ["at"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r.key, r.at): r.position for r in placed.collect()} == {(key, at): i for key, own in wanted.items() for i, at in enumerate(own)}
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" in plan and "Window" not in plan and "hashpartitioning" not in plan
+
+
 def test_counts_are_those_of_the_pairs(spark):
     documents = spark.createDataFrame([(i, f"b{i % 4}") for i in range(40)] + [(1, "b9"), (50, None)], "document_id long, book_id string")
     sets = spark.createDataFrame([("s1", "enumerated", None, None, None, ["c1", "c50", "zz"]), ("s2", "filter", ["b9"], [2], ["image"], None)], "set_id string, kind string, books array<string>, chapters array<long>, kinds array<string>, chunk_ids array<string>")
