@@ -96,8 +96,11 @@ def branch(questions: DataFrame, nodes: DataFrame, budget: Budget, limit: int, b
             scored = pairs.withColumn("score", F.round(search.cosine(F.col("vector"), F.col("query_vector")), 6)).filter("score is not null")
             near = search.ranked(scored.drop("vector", "query_vector"), "score", "node_id", ["query_id"], budget.per_side)
         lists.append(near.withColumnRenamed("score", "dense_score"))
-    words = search.bm25(questions, nodes.select("node_id", "text"))
-    scores = in_scope(words.join(payload.select("node_id", "document_id"), "node_id"), scope) if scope is not None else words
+    if scope is None:
+        scores = search.bm25(questions, nodes.select("node_id", "text"))
+    else:  # the document goes along, so that hits need no join with all nodes
+        words = search.bm25(questions, nodes.select(F.struct("node_id", "document_id").alias("node_id"), "text"))
+        scores = in_scope(words.select("query_id", "node_id.node_id", "node_id.document_id", "score"), scope)
     top = search.ranked(scores.select("query_id", "node_id", "score"), "score", "node_id", ["query_id"], budget.per_side)
     lists.append(small(top.withColumnRenamed("score", "sparse_score")).join(payload, "node_id"))
     hits = fused_items([x.withColumn("bucket", F.lit(bucket)) for x in lists], max(limit, budget.kept // 2))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import hierarchical, planning
-from lodestone.session import table
+from lodestone.session import stored, table
 
 #: Lines of a section.
 LINES = 4
@@ -45,7 +45,8 @@ def _rerank(nodes):
 
 
 def _setting(spark, sf_dir, every):
-    nodes = nodes_of(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    # Stored once: a dozen steps read nodes, most of them without texts, and would cut all texts into lines each time.
+    nodes = stored(nodes_of(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
     asked = _asked(spark, sf_dir, every)
     return nodes, asked, _vectors(spark, sf_dir, asked)
 

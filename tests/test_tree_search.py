@@ -76,3 +76,8 @@ def test_terms_asked_for_beyond_the_bound_score_alike(spark, monkeypatch):
     assert sorted(map(tuple, search.bm25(asked, docs).collect())) == plain and len(plain) == 6
     monkeypatch.setattr(search, "BROADCAST_BYTES", 1)
     assert sorted(map(tuple, search.bm25(asked, docs).collect())) == plain
+
+
+def test_nodes_are_cut_from_texts_once(spark):
+    nodes, _, _ = tree_queries._setting(spark, "/root/testdata/sf0.001", 100)
+    assert "explode" not in nodes._jdf.queryExecution().optimizedPlan().toString()
